@@ -268,7 +268,7 @@ sessions AS (
   SELECT {run_keys}, run, starttime, stoptime,
          CAST(epoch(date_trunc('second', stoptime)) - epoch(date_trunc('second', starttime))
               AS BIGINT) AS runtime,
-         closed, avg(c.measure) AS current
+         closed, round(avg(c.measure), 9) AS current
   FROM runs LEFT JOIN states c
     ON c.sensor = 'view' AND {same} AND c.ts BETWEEN starttime AND stoptime
   GROUP BY {run_keys}, run, starttime, stoptime, closed),

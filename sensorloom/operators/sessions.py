@@ -21,6 +21,9 @@ DAY_SECONDS = 86_400
 # Supply voltage while a device runs, and watt seconds per kilowatt hour.
 VOLTAGE = 10_000
 WATT_SECONDS = 1_000 * 3_600
+# The mean current is cut here, so that the order in which tasks add up doubles cannot turn the
+# rounding of the energy.
+MEAN_DECIMALS = 9
 
 
 def restart_count(
@@ -181,7 +184,7 @@ def _with_mean_current(
             F.max("starttime").alias("starttime"),
             F.max("stoptime").alias("stoptime"),
             F.max("closed").alias("closed"),
-            F.try_divide(F.sum("amount"), F.sum("number")).alias("avg_current"),
+            F.round(F.try_divide(F.sum("amount"), F.sum("number")), MEAN_DECIMALS).alias("avg_current"),
         )
     )
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def local_session(name: str = "sensorloom", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
+def local_session(
+    name: str = "sensorloom",
+    cpus: int | str = "*",
+    partitions: int = 8,
+    settings: Mapping[str, str] | None = None,
+) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.config(map=dict(settings or {}))
+        .master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -5,12 +5,17 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from sensorloom.session import local_session  # noqa: E402
+from sensorloom.session import CHECKPOINT_SETTING, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("sensorloom-tests", cpus=4, partitions=4)
+def spark(tmp_path_factory):
+    session = local_session(
+        "sensorloom-tests",
+        cpus=4,
+        partitions=4,
+        settings={CHECKPOINT_SETTING: str(tmp_path_factory.mktemp("shared"))},
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

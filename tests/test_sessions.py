@@ -1,0 +1,195 @@
+import datetime as dt
+import random
+
+import pytest
+
+from sensorloom.operators import sessions
+from tests.build import at, dicts, hourly_states, readings
+
+HOT = pytest.mark.parametrize("hot_rows", [2, 7, 10**6])
+
+
+def restart(df, **options):
+    row = dicts(sessions.restart_count(df, "state", **options))[0]
+    return row["restart_count"], row["spendtime"]
+
+
+@HOT
+@pytest.mark.parametrize(
+    ("states", "first_hour", "expected"),
+    [
+        ([0, 5, 5, 0, 0, 7], 0, (2, 72000)),
+        ([5, 0, 5], 1, (1, 7200)),
+        ([5, 5], 0, (0, 86400)),
+        ([0, 0], 0, (0, 0)),
+        ([5], 0, (0, 86400)),
+        ([0], 0, (0, 0)),
+        ([-1, 5, -1], 0, (0, 0)),
+    ],
+)
+def test_restarts(spark, states, first_hour, expected, hot_rows):
+    df = hourly_states(spark, states, first_hour)
+    assert restart(df, hot_rows=hot_rows) == expected
+
+
+def test_restarts_with_open_start(spark):
+    df = hourly_states(spark, [5, 0, 5], 1)
+    # Runs from 01:00 to 01:00 (the last running row) and from 03:00 to midnight.
+    assert restart(df, open_start=True) == (2, 21 * 3600)
+
+
+def test_restart_date_is_the_local_day(spark):
+    df = readings(spark, [("d", "state", 5, "2017-06-17T16:00:00")])
+    row = dicts(sessions.restart_count(df, "state"))[0]
+    assert row["date"] == dt.date(2017, 6, 18)
+    assert list(row) == ["date", "deviceid", "restart_count", "spendtime"]
+
+
+def currents(value, hours=range(6)):
+    return [("d", "amps", value, f"2017-06-17T{hour:02d}:00:00") for hour in hours]
+
+
+def run(df, **options):
+    return sessions.run_sessions(df, "state", "amps", **options)
+
+
+@HOT
+def test_sessions(spark, hot_rows):
+    df = hourly_states(spark, [0, 5, 5, 0, 7], extra=currents(2.0))
+    rows = dicts(run(df, hot_rows=hot_rows), "starttime")
+    assert [(r["starttime"].hour, r["stoptime"].hour, r["runtime"], r["kwh"]) for r in rows] == [
+        (1, 3, 7200, 40.0),
+        (4, 4, 0, 0.0),
+    ]
+    assert [r["closed"] for r in rows] == [True, False]
+    total = dicts(sessions.device_statistics(run(df, hot_rows=hot_rows), df))[0]
+    assert (total["restart_count"], total["total_runtime"], total["total_kwh"]) == (1, 7200, 40.0)
+
+
+def test_sessions_without_current(spark):
+    df = hourly_states(spark, [0, 5, 5, 0, 7])
+    assert [r["kwh"] for r in dicts(run(df))] == [None, None]
+    total = dicts(sessions.device_statistics(run(df), df))[0]
+    assert total["total_kwh"] == 0.0
+
+
+def test_never_ran(spark):
+    df = hourly_states(spark, [0, 0], extra=currents(1.0))
+    assert dicts(run(df)) == []
+    total = dicts(sessions.device_statistics(run(df), df))[0]
+    assert (total["restart_count"], total["total_runtime"], total["total_kwh"]) == (0, 0, 0.0)
+    status = dicts(sessions.device_status(run(df), df, "state"))
+    assert [(r["starttime"], r["stoptime"], r["kwh"]) for r in status] == [(None, None, 0.0)]
+
+
+def test_status_rows_of_a_device_that_ran(spark):
+    df = hourly_states(spark, [0, 5, 0], extra=currents(2.0))
+    status = dicts(sessions.device_status(run(df), df, "state"))
+    assert [(r["starttime"].hour, r["stoptime"].hour, r["kwh"]) for r in status] == [(1, 2, 20.0)]
+
+
+def test_run_over_midnight_is_cut(spark):
+    df = readings(
+        spark,
+        [
+            ("d", "state", 1, "2017-06-17T22:00:00"),
+            ("d", "state", 1, "2017-06-17T23:00:00"),
+            ("d", "state", 1, "2017-06-18T01:00:00"),
+            ("d", "state", 0, "2017-06-18T02:00:00"),
+        ],
+        offset_hours=0,
+    )
+    rows = dicts(run(df), "starttime")
+    assert [(r["starttime"], r["stoptime"]) for r in rows] == [
+        (at("2017-06-17T22:00:00"), at("2017-06-17T23:00:00")),
+        (at("2017-06-18T01:00:00"), at("2017-06-18T02:00:00")),
+    ]
+
+
+# Row-by-row models of the two sequence operators.
+
+
+def model_restart(rows, open_start=False):
+    times, before = [], None
+    for ts, state in rows:
+        if before is None:
+            if open_start and state > 0:
+                times.append(ts)
+        elif before[1] == 0 and state > 0:
+            times.append(ts)
+        elif before[1] > 0 and state == 0:
+            times.append(before[0])
+        before = (ts, state)
+    if not times:
+        return 0, 86400 if before[1] > 0 else 0
+    count = -(-len(times) // 2)
+    if len(times) % 2:
+        midnight = dt.datetime.combine(times[-1].date(), dt.time()) + dt.timedelta(days=1)
+        times.append(midnight)
+    spent = sum((b - a).total_seconds() for a, b in zip(times[::2], times[1::2]))
+    return count, int(spent)
+
+
+def model_sessions(rows, amps):
+    found, start, last = [], None, None
+    for ts, state in rows:
+        last = ts
+        if start is None and state != 0:
+            start = ts
+        elif start is not None and state == 0:
+            found.append((start, ts))
+            start = None
+    if start is not None:
+        found.append((start, last))
+    result = []
+    for start, stop in found:
+        inside = [value for ts, value in amps if start <= ts <= stop]
+        seconds = (stop - start).total_seconds()
+        mean = sum(inside) / len(inside) if inside else None
+        result.append((start, stop, len(inside), mean, int(seconds)))
+    return result
+
+
+def random_device(rng, length, span):
+    """States and currents with many equal times."""
+    start = dt.datetime(2017, 6, 17)
+    states = sorted(start + dt.timedelta(seconds=rng.randrange(span)) for _ in range(length))
+    amps = [
+        (start + dt.timedelta(seconds=rng.randrange(span)), float(rng.randrange(1, 9)))
+        for _ in range(length)
+    ]
+    return [(ts, float(rng.choice([0, 0, 5, 5, -1, 3]))) for ts in states], amps
+
+
+@pytest.mark.parametrize("seed", range(3))
+@HOT
+def test_random_sequences_against_models(spark, seed, hot_rows):
+    rng = random.Random(seed)
+    devices = {f"d{i}": random_device(rng, rng.randrange(1, 25), rng.choice([3, 20, 5000])) for i in range(8)}
+    devices["hot"] = random_device(rng, 120, rng.choice([10, 80000]))
+    rows = []
+    for device, (states, amps) in devices.items():
+        rows += [(device, "state", state, ts) for ts, state in states]
+        rows += [(device, "amps", value, ts) for ts, value in amps]
+    df = readings(spark, rows, offset_hours=0).cache()
+    for open_start in (False, True):
+        found = sessions.restart_count(df, "state", ("deviceid",), open_start, hot_rows)
+        assert {r["deviceid"]: (r["restart_count"], r["spendtime"]) for r in dicts(found)} == {
+            device: model_restart(states, open_start) for device, (states, _) in devices.items()
+        }
+    found = {}
+    for r in dicts(run(df, keys=("deviceid",), hot_rows=hot_rows)):
+        found.setdefault(r["deviceid"], []).append(r)
+    for device, (states, amps) in devices.items():
+        expected = model_sessions(states, amps)
+        actual = sorted(found.get(device, []), key=lambda r: r["run"])
+        assert [(r["starttime"], r["stoptime"], r["runtime"]) for r in actual] == [
+            (start, stop, seconds) for start, stop, _, _, seconds in expected
+        ]
+        for r, (_, _, number, mean, seconds) in zip(actual, expected):
+            if number == 0:
+                assert r["avg_current"] is None and r["kwh"] is None
+            else:
+                assert r["avg_current"] == pytest.approx(mean, abs=1e-8)
+                assert r["kwh"] == pytest.approx(10000 * mean * seconds / 3.6e6, abs=0.0051)
+    df.unpersist()
