@@ -53,7 +53,7 @@ def _raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("sensor"),
         F.when(kind == "error", F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("measure"),
         F.when(kind == "signup", F.lit("unknown"))
-        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .otherwise(F.concat(F.translate(F.col("ts").cast("string"), " ", "T"), F.lit("Z")))
         .alias("timestamp"),
         F.col("event_id").alias("seq"),
     )
@@ -116,8 +116,8 @@ def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("measure"),
         F.col("ts").alias("timestamp"),
     )
-    start = dt.datetime(2024, 1, 10)
-    return source.ingest_documents(documents, start, start + dt.timedelta(days=1), ["error"])
+    start, end = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 30)
+    return source.ingest_documents(documents, start, end, ["error"])
 
 
 def _device_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +527,7 @@ FROM raw WHERE sensor <> 'signup' GROUP BY ALL""",
         """SELECT user_id AS deviceid, props AS topic, event_type AS sensor, value AS measure,
        ts AS timestamp
 FROM events
-WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' AND event_type <> 'error'""",
+WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-30' AND event_type <> 'error'""",
     ),
     "day_windows": (
         _over_readings(source.day_windows),

@@ -14,7 +14,7 @@ from sensorloom.operators.ordered import (
     WHOLE,
     GroupSizes,
     OrderedGroups,
-    by_value,
+    by_merged_size,
     grouping,
     measure_groups,
 )
@@ -39,11 +39,11 @@ def top_rank(fraction: float) -> Rank:
     return lambda n: n - F.floor(n * F.lit(float(fraction))).cast("long")
 
 
-def _ranked(
-    rows: DataFrame, keys: list[str], sizes: GroupSizes, keep: Sequence[str] = ()
-) -> OrderedGroups:
-    ordered = by_value(rows, keys, "measure", sizes, keep)
-    return ordered.running_total(F.col(WEIGHT), "_before", "_n")
+def _ranked(rows: DataFrame, keys: list[str], hot: GroupSizes | None) -> OrderedGroups:
+    """Measures in ascending order with the rows before each and the group size."""
+    return OrderedGroups.of(rows, keys, ["measure"], hot).running_total(
+        F.col(WEIGHT), "_before", "_n"
+    )
 
 
 def _at(rank: Rank) -> Column:
@@ -56,14 +56,17 @@ def _at(rank: Rank) -> Column:
 def _order_statistics(
     rows: DataFrame, keys: list[str], ranks: Mapping[str, Rank], sizes: GroupSizes
 ) -> DataFrame:
-    return (
-        _ranked(rows, keys, sizes)
-        .rows.groupBy(*keys)
-        .agg(
-            *(F.max(_at(rank)).alias(name) for name, rank in ranks.items()),
-            F.max("_n").alias("count"),
+    def pick(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        return (
+            _ranked(part, keys, hot)
+            .rows.groupBy(*keys)
+            .agg(
+                *(F.max(_at(rank)).alias(name) for name, rank in ranks.items()),
+                F.max("_n").alias("count"),
+            )
         )
-    )
+
+    return by_merged_size(rows.select(*keys, "measure"), keys, sizes, pick)
 
 
 def order_statistics(
@@ -157,10 +160,15 @@ def exceed_by_hour(
     Threshold and comparison share one sorted pass; the readings are not joined to themselves.
     """
     rows, by = grouping(readings, keys)
-    ranked = _ranked(rows, by, measure_groups(rows, by, hot_rows), keep=["hour"])
-    compared = ranked.group_max(_at(top_rank(fraction)), "_top").rows
-    return (
-        compared.filter(F.col("measure") > F.col("_top"))
-        .groupBy(*keys, "hour")
-        .agg(F.sum(WEIGHT).alias("count"))
-    )
+    sizes = measure_groups(rows, by, hot_rows)
+
+    def count(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        compared = _ranked(part, by, hot).group_max(_at(top_rank(fraction)), "_top").rows
+        return (
+            compared.filter(F.col("measure") > F.col("_top"))
+            .groupBy(*dict.fromkeys([*by, "hour"]))
+            .agg(F.sum(WEIGHT).alias("count"))
+        )
+
+    compared_columns = dict.fromkeys([*by, "hour", "measure"])
+    return by_merged_size(rows.select(*compared_columns), by, sizes, count).drop(WHOLE)

@@ -29,6 +29,8 @@ HOT_ROWS = 5_000_000
 MAX_CHUNKS = 20_000
 # Largest table, in rows of a few numbers and keys, that is sent to every executor.
 BROADCAST_ROWS = 500_000
+# Mean group size, in rows, from which equal measures are merged before they are sorted.
+MERGE_ROWS = 50_000
 
 CHUNK = "_chunk"
 WEIGHT = "_weight"
@@ -47,8 +49,14 @@ class GroupSizes:
     """What counting the groups told: how many there are and which exceed the row limit."""
 
     groups: int
-    hot: DataFrame | None
-    chunks: int
+    rows: int
+    limit: int
+    hot: DataFrame | None = None
+    chunks: int = 0
+
+    @property
+    def mean_rows(self) -> float:
+        return self.rows / self.groups if self.groups else 0.0
 
 
 def measure_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> GroupSizes:
@@ -58,17 +66,21 @@ def measure_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROW
     hot = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .observe(seen, F.count(F.lit(1)).alias("groups"))
+        .observe(
+            seen,
+            F.count(F.lit(1)).alias("groups"),
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+        )
         .filter(F.col("_rows") > hot_rows)
     )
     found = hot.collect()
-    groups = seen.get["groups"]
+    groups, counted = seen.get["groups"], seen.get["rows"]
     if not found:
-        return GroupSizes(groups, None, 0)
+        return GroupSizes(groups, counted, hot_rows)
     total = sum(row["_rows"] for row in found)
     chunks = min(MAX_CHUNKS, math.ceil(2 * total / hot_rows))
     frame = rows.sparkSession.createDataFrame(found, hot.schema).select(*keys)
-    return GroupSizes(groups, frame, chunks)
+    return GroupSizes(groups, counted, hot_rows, frame, chunks)
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -81,9 +93,50 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
     return joined.drop(*(f"_to_{name}" for name in on))
 
 
+def by_size(
+    rows: DataFrame,
+    keys: Sequence[str],
+    sizes: GroupSizes,
+    work: Callable[[DataFrame, GroupSizes | None], DataFrame],
+) -> DataFrame:
+    """Apply work that treats each group on its own: with None to the groups that may stay whole and,
+    if there are any, with the sizes to the hot ones."""
+    if sizes.hot is None:
+        return work(rows, None)
+    whole = work(lookup(rows, sizes.hot, keys, "left_anti"), None)
+    return whole.unionByName(work(lookup(rows, sizes.hot, keys, "left_semi"), sizes))
+
+
+def by_merged_size(
+    rows: DataFrame,
+    keys: Sequence[str],
+    sizes: GroupSizes,
+    work: Callable[[DataFrame, GroupSizes | None], DataFrame],
+) -> DataFrame:
+    """Like by_size, for work on rows with a weight: equal rows of large groups become one.
+
+    Measures are bound to repeat in a large group. Merging them shrinks the sort, keeps a hot value
+    out of a single task, and often leaves a hot group small enough to stay whole. For small groups
+    it would only add a shuffle.
+    """
+
+    def merged(part: DataFrame) -> DataFrame:
+        return part.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+    def prepared(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        if hot is not None:
+            fewer = stored(merged(part), "merged")
+            return by_size(fewer, keys, measure_groups(fewer, keys, sizes.limit), work)
+        if sizes.mean_rows >= MERGE_ROWS:
+            return work(merged(part), None)
+        return work(part.withColumn(WEIGHT, F.lit(1).cast("long")), None)
+
+    return by_size(rows, keys, sizes, prepared)
+
+
 @dataclass(frozen=True)
 class OrderedGroups:
-    """Rows whose groups are either whole (chunk 0) or cut into chunks numbered from 1."""
+    """Rows whose groups are either all whole or all cut into numbered chunks."""
 
     rows: DataFrame
     keys: list[str]
@@ -92,24 +145,16 @@ class OrderedGroups:
 
     @classmethod
     def of(
-        cls,
-        rows: DataFrame,
-        keys: Sequence[str],
-        order: Sequence[str],
-        sizes: GroupSizes,
-        condense: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+        cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: GroupSizes | None
     ) -> OrderedGroups:
-        """``condense`` may shrink the rows of hot groups before they are sorted; it has to keep the
-        columns."""
+        """``hot`` tells how many chunks to cut the rows into; None leaves the groups whole."""
         keys, order = list(keys), list(order)
-        if sizes.hot is None:
+        if hot is None:
             return cls(rows, keys, order, False)
-        cold = lookup(rows, sizes.hot, keys, "left_anti").withColumn(CHUNK, F.lit(0))
-        hot = condense(lookup(rows, sizes.hot, keys, "left_semi"))
-        cut = hot.repartitionByRange(sizes.chunks, *keys, *order).withColumn(
-            CHUNK, F.spark_partition_id() + 1
+        cut = rows.repartitionByRange(hot.chunks, *keys, *order)
+        return cls(
+            stored(cut.withColumn(CHUNK, F.spark_partition_id()), "chunks"), keys, order, True
         )
-        return cls(cold.unionByName(stored(cut, "chunks")), keys, order, True)
 
     @property
     def _cell(self) -> list[str]:
@@ -124,12 +169,7 @@ class OrderedGroups:
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
     def _per_chunk(self, value: Column) -> DataFrame:
-        """One row per chunk of the hot groups."""
-        return (
-            self.rows.filter(F.col(CHUNK) > 0)
-            .groupBy(*self.keys, CHUNK)
-            .agg(value.alias("_value"))
-        )
+        return self.rows.groupBy(*self.keys, CHUNK).agg(value.alias("_value"))
 
     def _with(self, rows: DataFrame) -> OrderedGroups:
         return replace(self, rows=rows)
@@ -159,7 +199,7 @@ class OrderedGroups:
             rows = lookup(rows, offsets, self.keys + [CHUNK])
             rows = rows.withColumn(before, F.col(before) + F.coalesce("_earlier", F.lit(0)))
             if total:
-                rows = rows.withColumn(total, F.coalesce("_all", total))
+                rows = rows.withColumn(total, F.col("_all"))
             rows = rows.drop("_earlier", "_all")
         return self._with(rows)
 
@@ -191,40 +231,12 @@ class OrderedGroups:
 
     def group_max(self, value: Column, name: str) -> OrderedGroups:
         """Largest ``value`` of the group on each of its rows."""
-        rows = self.rows.withColumn(name, F.max(value).over(Window.partitionBy(*self._cell)))
-        if self.split:
-            largest = (
-                self.rows.filter(F.col(CHUNK) > 0)
-                .groupBy(*self.keys)
-                .agg(F.max(value).alias("_value"))
-            )
-            rows = lookup(rows, largest, self.keys)
-            rows = rows.withColumn(name, F.coalesce("_value", name)).drop("_value")
-        return self._with(rows)
+        if not self.split:
+            whole = Window.partitionBy(*self.keys)
+            return self._with(self.rows.withColumn(name, F.max(value).over(whole)))
+        largest = self.rows.groupBy(*self.keys).agg(F.max(value).alias(name))
+        return self._with(lookup(self.rows, largest, self.keys))
 
     def _filled(self, rows: DataFrame, carried: DataFrame, name: str) -> DataFrame:
         joined = lookup(rows, carried, self.keys + [CHUNK])
         return joined.withColumn(name, F.coalesce(name, "_value")).drop("_value")
-
-
-def by_value(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    sizes: GroupSizes,
-    keep: Sequence[str] = (),
-) -> OrderedGroups:
-    """Groups ordered by ``value`` with the columns keys, value, ``keep`` and a row weight.
-
-    In hot groups equal rows are merged into one weighted row before the shuffle, so neither a hot
-    group nor a hot value ends up in one task.
-    """
-    columns = [*keys, value, *keep]
-    weighted = rows.select(*columns).withColumn(WEIGHT, F.lit(1).cast("long"))
-    return OrderedGroups.of(
-        weighted,
-        keys,
-        [value],
-        sizes,
-        condense=lambda hot: hot.groupBy(*columns).agg(F.sum(WEIGHT).alias(WEIGHT)),
-    )

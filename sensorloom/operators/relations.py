@@ -16,6 +16,7 @@ from sensorloom.operators.ordered import (
     WHOLE,
     GroupSizes,
     OrderedGroups,
+    by_size,
     grouping,
     measure_groups,
 )
@@ -46,18 +47,18 @@ def align(
 def _align(
     listed: DataFrame, sensors: Sequence[str], by: list[str], drop_last: bool, sizes: GroupSizes
 ) -> DataFrame:
-    numbered = (
-        OrderedGroups.of(
-            listed.select(*by, "sensor", "ts", "seq", "measure"),
-            [*by, "sensor"],
-            ["ts", "seq"],
-            sizes,
-        )
-        .running_total(F.lit(1).cast("long"), POSITION, "_length" if drop_last else None)
-        .rows
-    )
-    if drop_last:
-        numbered = numbered.filter(F.col(POSITION) < F.col("_length") - 1)
+    order = ["ts", "seq"]
+    columns = [*by, "sensor"]
+
+    def number(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        ordered = OrderedGroups.of(part, columns, order, hot)
+        one = F.lit(1).cast("long")
+        numbered = ordered.running_total(one, POSITION, "_length" if drop_last else None).rows
+        if drop_last:
+            numbered = numbered.filter(F.col(POSITION) < F.col("_length") - 1)
+        return numbered.select(*columns, POSITION, "measure")
+
+    numbered = by_size(listed.select(*columns, *order, "measure"), columns, sizes, number)
     side_by_side = numbered.groupBy(*by, POSITION).agg(
         *(F.max(F.when(F.col("sensor") == s, F.col("measure"))).alias(s) for s in sensors)
     )
@@ -108,18 +109,23 @@ def spearman(
         F.count(F.lit(1)).alias(WEIGHT)
     )
 
+    if sizes.hot is not None:
+        # Chunked ranks start jobs of their own, which should not align the readings once more.
+        pairs = stored(pairs, "pairs")
+
     def ranks(value: str) -> DataFrame:
-        counted = pairs.groupBy(*by, value).agg(F.sum(WEIGHT).alias(WEIGHT))
-        ordered = OrderedGroups.of(counted, by, [value], sizes)
-        rank = F.col("_before") + (F.col(WEIGHT) + 1) / 2 - (F.col("_n") + 1) / 2
-        return (
-            ordered.running_total(F.col(WEIGHT), "_before", "_n")
-            .rows.select(
+        def rank(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+            ordered = OrderedGroups.of(part, by, [value], hot)
+            centred = F.col("_before") + (F.col(WEIGHT) + 1) / 2 - (F.col("_n") + 1) / 2
+            return ordered.running_total(F.col(WEIGHT), "_before", "_n").rows.select(
                 *(F.col(name).alias(f"_of_{name}") for name in by),
                 F.col(value).alias(f"_of{value}"),
-                rank.alias(f"_rank{value}"),
+                centred.alias(f"_rank{value}"),
             )
-        )
+
+        counted = pairs.groupBy(*by, value).agg(F.sum(WEIGHT).alias(WEIGHT))
+        left = sizes if sizes.hot is None else measure_groups(counted, by, hot_rows)
+        return by_size(counted, by, left, rank)
 
     def ranked(rows: DataFrame, value: str) -> DataFrame:
         same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]

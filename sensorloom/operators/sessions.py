@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from sensorloom.operators.ordered import (
     HOT_ROWS,
     GroupSizes,
     OrderedGroups,
+    by_size,
     measure_groups,
 )
 
@@ -26,6 +26,14 @@ WATT_SECONDS = 1_000 * 3_600
 MEAN_DECIMALS = 9
 
 
+def round_cents(amount: Column) -> Column:
+    """Two decimals, decided by the stored binary value: 1.005 is slightly less and gives 1.0.
+
+    round(amount, 2) would decide by the shortest decimal text instead.
+    """
+    return F.round(amount * 100) / 100
+
+
 def restart_count(
     readings: DataFrame,
     status_sensor: str,
@@ -47,8 +55,6 @@ def restart_count(
     status = readings.filter(F.col("sensor") == status_sensor).select(
         *dict.fromkeys([*keys, "ts", "seq", "local_ts", "measure"])
     )
-    sizes = measure_groups(status, keys, hot_rows)
-    ordered = OrderedGroups.of(status, keys, ["ts", "seq"], sizes)
     before, now = F.col("_prev.measure"), F.col("measure")
     started = (before == 0) & (now > 0)
     if open_start:
@@ -56,20 +62,25 @@ def restart_count(
     recorded = F.when(started, wall_seconds(F.col("local_ts"))).when(
         (before > 0) & (now == 0), wall_seconds(F.col("_prev.local_ts"))
     )
-    numbered = (
-        ordered.previous_row(["measure", "local_ts"], "_prev")
-        .map(lambda rows: rows.withColumn("_time", recorded))
-        .running_total(F.col("_time").isNotNull().cast("long"), "_index")
-    )
     # The index counts from 0: openings of a pair are even, closings odd.
     signed = F.when(F.col("_index") % 2 == 0, -F.col("_time")).otherwise(F.col("_time"))
-    summary = numbered.rows.groupBy(*keys).agg(
-        F.count("_time").alias("_times"),
-        F.sum(signed).alias("_paired"),
-        F.max("_time").alias("_last_time"),
-        F.max_by("measure", F.struct("ts", "seq")).alias("_last_state"),
-        F.max("local_ts").cast("date").alias("_last_day"),
-    )
+
+    def summarise(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        numbered = (
+            OrderedGroups.of(part, keys, ["ts", "seq"], hot)
+            .previous_row(["measure", "local_ts"], "_prev")
+            .map(lambda rows: rows.withColumn("_time", recorded))
+            .running_total(F.col("_time").isNotNull().cast("long"), "_index")
+        )
+        return numbered.rows.groupBy(*keys).agg(
+            F.count("_time").alias("_times"),
+            F.sum(signed).alias("_paired"),
+            F.max("_time").alias("_last_time"),
+            F.max_by("measure", F.struct("ts", "seq")).alias("_last_state"),
+            F.max("local_ts").cast("date").alias("_last_day"),
+        )
+
+    summary = by_size(status, keys, measure_groups(status, keys, hot_rows), summarise)
     times = F.col("_times")
     midnight = (F.floor(F.col("_last_time") / DAY_SECONDS) + 1) * DAY_SECONDS
     spent = (
@@ -87,13 +98,13 @@ def restart_count(
     return result.select(*dict.fromkeys(["date", *keys, "restart_count", "spendtime"]))
 
 
-def _runs(status: DataFrame, keys: list[str], sizes: GroupSizes) -> DataFrame:
+def _runs(status: DataFrame, keys: list[str], hot: GroupSizes | None) -> DataFrame:
     """One row per run: it starts at the first row with a state other than 0 and stops at the next
     row with state 0, or at the group's last row when there is none."""
     running = F.col("measure") != 0
     starts = running & ~F.coalesce(F.col("_prev.measure") != 0, F.lit(False))
     rows = (
-        OrderedGroups.of(status, keys, ["ts", "seq"], sizes)
+        OrderedGroups.of(status, keys, ["ts", "seq"], hot)
         .previous_row(["measure"], "_prev")
         .map(lambda rows: rows.withColumn("_starts", starts.cast("long")))
         .running_total(F.col("_starts"), "_earlier_runs")
@@ -116,7 +127,7 @@ START, CURRENT, STOP = 0, 1, 2
 
 
 def _with_mean_current(
-    runs: DataFrame, current: DataFrame, keys: list[str], sizes: GroupSizes
+    runs: DataFrame, current: DataFrame, keys: list[str], hot: GroupSizes | None
 ) -> DataFrame:
     """Add the mean current measured from start to stop, both ends included.
 
@@ -150,7 +161,7 @@ def _with_mean_current(
     kind = F.col("kind")
     events = edges.unionByName(points)
     seen = (
-        OrderedGroups.of(events, keys, ["ts", "kind", "run"], sizes)
+        OrderedGroups.of(events, keys, ["ts", "kind", "run"], hot)
         .last_seen(
             {
                 "_run": F.when(kind == START, F.struct("run", "stoptime")),
@@ -205,12 +216,13 @@ def run_sessions(
     used = readings.filter(F.col("sensor").isin(status_sensor, current_sensor)).select(
         *dict.fromkeys([*keys, "sensor", "ts", "seq", "measure"])
     )
-    sizes = measure_groups(used, keys, hot_rows)
-    # Every status row may start or stop a run, and both become events beside the current readings.
-    event_sizes = replace(sizes, chunks=2 * sizes.chunks)
-    status = used.filter(F.col("sensor") == status_sensor).drop("sensor")
-    current = used.filter(F.col("sensor") == current_sensor).drop("sensor", "seq")
-    runs = _with_mean_current(_runs(status, keys, sizes), current, keys, event_sizes)
+
+    def work(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        status = part.filter(F.col("sensor") == status_sensor).drop("sensor")
+        current = part.filter(F.col("sensor") == current_sensor).drop("sensor", "seq")
+        return _with_mean_current(_runs(status, keys, hot), current, keys, hot)
+
+    runs = by_size(used, keys, measure_groups(used, keys, hot_rows), work)
     runtime = wall_seconds(F.col("stoptime")) - wall_seconds(F.col("starttime"))
     energy = VOLTAGE * F.col("avg_current") * F.col("runtime") / WATT_SECONDS
     return runs.withColumn("runtime", runtime).select(
@@ -221,7 +233,7 @@ def run_sessions(
         "runtime",
         "closed",
         "avg_current",
-        F.round(energy, 2).alias("kwh"),
+        round_cents(energy).alias("kwh"),
     )
 
 
@@ -245,7 +257,7 @@ def device_statistics(
         .agg(
             F.sum("stop").alias("restart_count"),
             F.sum("runtime").alias("total_runtime"),
-            F.round(F.sum("kwh"), 2).alias("total_kwh"),
+            round_cents(F.sum("kwh")).alias("total_kwh"),
         )
     )
 

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordered import OrderedGroups, measure_groups
+from sensorloom.operators.ordered import OrderedGroups, by_size, measure_groups
 from sensorloom.session import CHECKPOINT_SETTING, scratch_path, shared_folder, stored
 
 
@@ -27,16 +27,20 @@ def test_group_sizes(spark):
 @pytest.mark.parametrize("hot_rows", [3, 10, 1000])
 def test_sequence_columns(spark, hot_rows):
     data, df = rows_of(spark)
-    ordered = OrderedGroups.of(df, ["k"], ["t", "seq"], measure_groups(df, ["k"], hot_rows))
-    assert ordered.split == (hot_rows < 100)
-    found = (
-        ordered.running_total(F.col("seq"), "before", "total")
-        .previous_row(["seq"], "prev")
-        .last_seen({"seen": F.col("v"), "none": F.lit(None).cast("int")})
-        .group_max(F.col("v"), "largest")
-        .rows.select("seq", "before", "total", F.col("prev.seq").alias("prev"), "seen", "none", "largest")
-        .collect()
-    )
+
+    def work(part, hot):
+        return (
+            OrderedGroups.of(part, ["k"], ["t", "seq"], hot)
+            .running_total(F.col("seq"), "before", "total")
+            .previous_row(["seq"], "prev")
+            .last_seen({"seen": F.col("v"), "none": F.lit(None).cast("int")})
+            .group_max(F.col("v"), "largest")
+            .rows.select(
+                "seq", "before", "total", F.col("prev.seq").alias("prev"), "seen", "none", "largest"
+            )
+        )
+
+    found = by_size(df, ["k"], measure_groups(df, ["k"], hot_rows), work).collect()
     expected = {}
     for key in {row[0] for row in data}:
         group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]))
