@@ -1,18 +1,19 @@
 """The daily reports: which readings each uses, what it computes and which table it fills.
 
-    spark-submit -m sensorloom.plans.daily <report> <date> --input '/data/{date}.csv' --output /results
+    spark-submit sensorloom/plans/daily.py <report> <date> --input '/data/{date}.csv' --output /results
 """
 
 from __future__ import annotations
 
 import argparse
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import limits, relations, sessions, stats
+from sensorloom.session import stored
 from sensorloom.sinks.tables import (
     CONTRACTS,
     has_rows,
@@ -26,8 +27,13 @@ from sensorloom.sources.readings import parse_readings, read_raw, read_readings
 
 @dataclass(frozen=True)
 class Report:
+    """``sensors`` limits the readings. ``passes`` above one tells that they are read repeatedly; they
+    are then parsed once and kept in columns."""
+
     table: str
     compute: Callable[[DataFrame], DataFrame]
+    sensors: Sequence[str] | None = None
+    passes: int = 1
 
 
 def _run_sessions(readings: DataFrame) -> DataFrame:
@@ -38,6 +44,14 @@ def _status(readings: DataFrame) -> DataFrame:
     return sessions.device_status(_run_sessions(readings), readings, sensors.STATUS)
 
 
+def _statistic(readings: DataFrame) -> DataFrame:
+    return sessions.device_statistics(_run_sessions(readings), readings)
+
+
+def _restarts(readings: DataFrame) -> DataFrame:
+    return sessions.restart_count(readings, sensors.STATUS)
+
+
 def _clusters(readings: DataFrame) -> DataFrame:
     return relations.kmeans_clusters(readings, sensors.CLUSTERED, keys=("date",))
 
@@ -47,43 +61,29 @@ def _matrix(readings: DataFrame) -> DataFrame:
     return relations.wide_matrix(matrix, sensors.MATRIX)
 
 
+def _total(readings: DataFrame) -> DataFrame:
+    return stats.daily_total(readings, sensors.DEVICE_LABEL)
+
+
+def _devices(readings: DataFrame) -> DataFrame:
+    return stats.device_type(readings, None, sensors.DEVICE_LABEL)
+
+
 REPORTS: Mapping[str, Report] = {
-    "sensor-count": Report(
-        "sensor_count", lambda r: stats.sensor_count(r, sensors.COUNTED)
-    ),
-    "sensor-sum": Report(
-        "sensor_data_count", lambda r: stats.daily_total(r, sensors.DEVICE_LABEL)
-    ),
+    "sensor-count": Report("sensor_count", stats.sensor_count, sensors.COUNTED),
+    "sensor-sum": Report("sensor_data_count", _total),
     "max-min": Report("limo_max_min", stats.daily_stats),
     "hour-max-min": Report("limo_hour_max_min", stats.hourly_stats),
-    "top-value": Report(
-        "sensor_top_value",
-        lambda r: limits.top_value(stats.only_sensors(r, sensors.LIMITED)),
-    ),
-    "exceed": Report(
-        "sensor_exceed",
-        lambda r: limits.exceed_by_hour(stats.only_sensors(r, sensors.LIMITED)),
-    ),
-    "boxplot": Report(
-        "sensor_boxplot", lambda r: limits.boxplot(stats.only_sensors(r, [sensors.OUTLIER]))
-    ),
-    "outliers": Report(
-        "sensor_outliers", lambda r: limits.outliers(stats.only_sensors(r, [sensors.OUTLIER]))
-    ),
-    "matrix": Report("sensor_matrix", _matrix),
-    "kmeans": Report("sensor_temperature_kmeans", _clusters),
-    "restarts": Report(
-        "sensor_restart_count", lambda r: sessions.restart_count(r, sensors.STATUS)
-    ),
-    "device-type": Report(
-        "sensor_device_type",
-        lambda r: stats.device_type(r, sensors.COUNTED, sensors.DEVICE_LABEL),
-    ),
-    "device-status": Report("etl_device_status_info", _status),
-    "device-statistic": Report(
-        "etl_device_statistic",
-        lambda r: sessions.device_statistics(_run_sessions(r), r),
-    ),
+    "top-value": Report("sensor_top_value", limits.top_value, sensors.LIMITED, passes=2),
+    "exceed": Report("sensor_exceed", limits.exceed_by_hour, sensors.LIMITED, passes=2),
+    "boxplot": Report("sensor_boxplot", limits.boxplot, [sensors.OUTLIER], passes=2),
+    "outliers": Report("sensor_outliers", limits.outliers, [sensors.OUTLIER], passes=3),
+    "matrix": Report("sensor_matrix", _matrix, sensors.MATRIX, passes=2),
+    "kmeans": Report("sensor_temperature_kmeans", _clusters, sensors.CLUSTERED, passes=2),
+    "restarts": Report("sensor_restart_count", _restarts, [sensors.STATUS], passes=2),
+    "device-type": Report("sensor_device_type", _devices, sensors.COUNTED),
+    "device-status": Report("etl_device_status_info", _status, passes=3),
+    "device-statistic": Report("etl_device_statistic", _statistic, passes=3),
 }
 
 # Reports that only show their result.
@@ -108,6 +108,9 @@ def compute(spark: SparkSession, name: str, path: str, date: str) -> DataFrame:
     if name in VIEWS:
         return VIEWS[name](readings)
     report = REPORTS[name]
+    readings = stats.only_sensors(readings, report.sensors)
+    if report.passes > 1:
+        readings = stored(readings, "readings")
     result = report.compute(readings)
     if "date" in CONTRACTS[report.table].names and "date" not in result.columns:
         result = result.withColumn("date", F.lit(date))
