@@ -168,8 +168,10 @@ class OrderedGroups:
     def _chunk_order(self):
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
-    def _per_chunk(self, value: Column) -> DataFrame:
-        return self.rows.groupBy(*self.keys, CHUNK).agg(value.alias("_value"))
+    def _per_chunk(self, **values: Column) -> DataFrame:
+        """One row per chunk."""
+        aggregates = (value.alias(name) for name, value in values.items())
+        return self.rows.groupBy(*self.keys, CHUNK).agg(*aggregates)
 
     def _with(self, rows: DataFrame) -> OrderedGroups:
         return replace(self, rows=rows)
@@ -190,11 +192,11 @@ class OrderedGroups:
         rows = self.rows.withColumns(columns)
         if self.split:
             earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
-            offsets = self._per_chunk(F.sum(amount)).select(
+            offsets = self._per_chunk(_amount=F.sum(amount)).select(
                 *self.keys,
                 CHUNK,
-                F.sum("_value").over(earlier).alias("_earlier"),
-                F.sum("_value").over(Window.partitionBy(*self.keys)).alias("_all"),
+                F.sum("_amount").over(earlier).alias("_earlier"),
+                F.sum("_amount").over(Window.partitionBy(*self.keys)).alias("_all"),
             )
             rows = lookup(rows, offsets, self.keys + [CHUNK])
             rows = rows.withColumn(before, F.col(before) + F.coalesce("_earlier", F.lit(0)))
@@ -208,9 +210,10 @@ class OrderedGroups:
         value = F.struct(*fields)
         rows = self.rows.withColumn(name, F.lag(value).over(self._ordered))
         if self.split:
-            last = self._per_chunk(F.max_by(value, F.struct(*self.order)))
-            carried = last.withColumn("_value", F.lag("_value").over(self._chunk_order))
-            rows = self._filled(rows, carried, name)
+            last = self._per_chunk(_last=F.max_by(value, F.struct(*self.order)))
+            carried = last.withColumn("_last", F.lag("_last").over(self._chunk_order))
+            rows = lookup(rows, carried, self.keys + [CHUNK])
+            rows = rows.withColumn(name, F.coalesce(name, "_last")).drop("_last")
         return self._with(rows)
 
     def last_seen(self, values: Mapping[str, Column]) -> OrderedGroups:
@@ -220,13 +223,22 @@ class OrderedGroups:
             {name: F.last(value, ignorenulls=True).over(so_far) for name, value in values.items()}
         )
         if self.split:
+            place = F.struct(*self.order)
+            latest = self._per_chunk(
+                **{
+                    f"_latest_{name}": F.max_by(value, F.when(value.isNotNull(), place))
+                    for name, value in values.items()
+                }
+            )
             earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
-            for name, value in values.items():
-                place = F.when(value.isNotNull(), F.struct(*self.order))
-                carried = self._per_chunk(F.max_by(value, place)).withColumn(
-                    "_value", F.last("_value", ignorenulls=True).over(earlier)
-                )
-                rows = self._filled(rows, carried, name)
+            carried = {f"_latest_{name}" for name in values}
+            latest = latest.withColumns(
+                {name: F.last(name, ignorenulls=True).over(earlier) for name in carried}
+            )
+            rows = lookup(rows, latest, self.keys + [CHUNK])
+            rows = rows.withColumns(
+                {name: F.coalesce(name, f"_latest_{name}") for name in values}
+            ).drop(*carried)
         return self._with(rows)
 
     def group_max(self, value: Column, name: str) -> OrderedGroups:
@@ -236,7 +248,3 @@ class OrderedGroups:
             return self._with(self.rows.withColumn(name, F.max(value).over(whole)))
         largest = self.rows.groupBy(*self.keys).agg(F.max(value).alias(name))
         return self._with(lookup(self.rows, largest, self.keys))
-
-    def _filled(self, rows: DataFrame, carried: DataFrame, name: str) -> DataFrame:
-        joined = lookup(rows, carried, self.keys + [CHUNK])
-        return joined.withColumn(name, F.coalesce(name, "_value")).drop("_value")

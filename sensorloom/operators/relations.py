@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.ordered import (
@@ -95,23 +95,47 @@ def spearman(
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rank correlation of two aligned sensors per group; equal values share their mean rank.
-
-    Equal pairs and equal values are merged into counts first, so a value that holds a large part of
-    the rows is ranked as one row. Ranks are taken relative to the mean rank, which is known.
-    """
+    """Rank correlation of two aligned sensors per group; equal values share their mean rank."""
     rows, by = grouping(only_sensors(readings, [a, b]), keys)
     # Aligned rows are at most as many as readings, so the sizes of the readings bound theirs.
     sizes = measure_groups(rows, by, hot_rows)
     of_sensors = sizes if sizes.hot is None else measure_groups(rows, [*by, "sensor"], hot_rows)
     aligned = _align(rows, [a, b], by, drop_last, of_sensors)
-    pairs = aligned.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
-        F.count(F.lit(1)).alias(WEIGHT)
+
+    def correlate(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        return _spearman_whole(part, a, b, by) if hot is None else _spearman_hot(part, a, b, by, hot)
+
+    return by_size(aligned, by, sizes, correlate).drop(WHOLE)
+
+
+def _spearman_whole(aligned: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    def mean_rank(value: str) -> Column:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+
+    return (
+        aligned.withColumn("_rank_a", mean_rank(a))
+        .withColumn("_rank_b", mean_rank(b))
+        .groupBy(*by)
+        .agg(_correlation("_rank_a", "_rank_b").alias("corr"), F.count(F.lit(1)).alias("pairs"))
     )
 
-    if sizes.hot is not None:
-        # Chunked ranks start jobs of their own, which should not align the readings once more.
-        pairs = stored(pairs, "pairs")
+
+def _spearman_hot(
+    aligned: DataFrame, a: str, b: str, by: list[str], sizes: GroupSizes
+) -> DataFrame:
+    """Equal pairs and equal values are merged into counts first, so a value that holds a large part
+    of the rows is ranked as one row. Ranks are taken relative to the mean rank, which is known.
+
+    The pairs are stored because the ranks start jobs of their own, which should not align again. In
+    the join a frequent value meets a single rank, and adaptive execution splits its pairs.
+    """
+    pairs = stored(
+        aligned.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
+            F.count(F.lit(1)).alias(WEIGHT)
+        ),
+        "pairs",
+    )
 
     def ranks(value: str) -> DataFrame:
         def rank(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
@@ -124,8 +148,7 @@ def spearman(
             )
 
         counted = pairs.groupBy(*by, value).agg(F.sum(WEIGHT).alias(WEIGHT))
-        left = sizes if sizes.hot is None else measure_groups(counted, by, hot_rows)
-        return by_size(counted, by, left, rank)
+        return by_size(counted, by, measure_groups(counted, by, sizes.limit), rank)
 
     def ranked(rows: DataFrame, value: str) -> DataFrame:
         same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]
@@ -141,7 +164,6 @@ def spearman(
             F.try_divide(F.sum(weight * x * y), spread).alias("corr"),
             F.sum(weight).alias("pairs"),
         )
-        .drop(WHOLE)
     )
 
 

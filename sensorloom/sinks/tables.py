@@ -153,17 +153,21 @@ def has_rows(spark: SparkSession, table: str, path: str, fmt: str = "parquet") -
         raise
 
 
-def write_device_days(readings: DataFrame, path: str, mode: str = "append") -> None:
+def write_device_days(
+    readings: DataFrame, path: str, mode: str = "append", files: int | None = None
+) -> None:
     """Split readings by local day and device, in time order.
 
     One directory per day; inside it rows are laid out by device and time, so a scan for one device
     skips the other row groups. The range partitioning gives files of even size however unequal the
-    devices are: a large device-day spans several files, many small ones share a file.
+    devices are: a large device-day spans several files, many small ones share a file. ``files`` sets
+    their number; by default it follows from the session's shuffle partitions.
     """
     layout = ["date", "deviceid", "ts", "seq"]
+    ranges = layout if files is None else [files, *layout]
     (
         readings.select("deviceid", "sensor", "measure", "ts", "date", "seq")
-        .repartitionByRange(*layout)
+        .repartitionByRange(*ranges)
         .sortWithinPartitions(*layout)
         .drop("seq")
         .write.mode(mode)
