@@ -331,7 +331,7 @@ FROM ranks GROUP BY {keys}"""
 def _matrix_sql() -> str:
     pairs = "\nUNION ALL ".join(
         f"""SELECT date, '{a}' AS sensor_a, '{b}' AS sensor_b,
-       {'1.0' if a == b else _corr_sql(a, b)} AS corr FROM aligned GROUP BY date"""
+       {'CAST(1 AS DOUBLE)' if a == b else _corr_sql(a, b)} AS corr FROM aligned GROUP BY date"""
         for a in SENSORS
         for b in SENSORS
     )
@@ -341,7 +341,7 @@ def _matrix_sql() -> str:
 def _wide_matrix_sql() -> str:
     rows = "\nUNION ALL ".join(
         f"SELECT date, '{a}' AS sensor, "
-        + ", ".join(f"{'1.0' if a == b else _corr_sql(a, b)} AS {b}" for b in SENSORS)
+        + ", ".join(f"{'CAST(1 AS DOUBLE)' if a == b else _corr_sql(a, b)} AS {b}" for b in SENSORS)
         + " FROM aligned GROUP BY date"
         for a in SENSORS
     )

@@ -52,8 +52,13 @@ class GroupSizes:
     rows: int
     limit: int
     hot: DataFrame | None = None
+    hot_groups: int = 0
     chunks: int = 0
 
+    @property
+    def mixed(self) -> bool:
+        return 0 < self.hot_groups < self.groups
+
     @property
     def mean_rows(self) -> float:
         return self.rows / self.groups if self.groups else 0.0
@@ -80,7 +85,7 @@ def measure_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROW
     total = sum(row["_rows"] for row in found)
     chunks = min(MAX_CHUNKS, math.ceil(2 * total / hot_rows))
     frame = rows.sparkSession.createDataFrame(found, hot.schema).select(*keys)
-    return GroupSizes(groups, counted, hot_rows, frame, chunks)
+    return GroupSizes(groups, counted, hot_rows, frame, len(found), chunks)
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -101,8 +106,8 @@ def by_size(
 ) -> DataFrame:
     """Apply work that treats each group on its own: with None to the groups that may stay whole and,
     if there are any, with the sizes to the hot ones."""
-    if sizes.hot is None:
-        return work(rows, None)
+    if not sizes.mixed:
+        return work(rows, sizes if sizes.hot_groups else None)
     whole = work(lookup(rows, sizes.hot, keys, "left_anti"), None)
     return whole.unionByName(work(lookup(rows, sizes.hot, keys, "left_semi"), sizes))
 

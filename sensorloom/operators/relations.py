@@ -99,8 +99,10 @@ def spearman(
     rows, by = grouping(only_sensors(readings, [a, b]), keys)
     # Aligned rows are at most as many as readings, so the sizes of the readings bound theirs.
     sizes = measure_groups(rows, by, hot_rows)
-    of_sensors = sizes if sizes.hot is None else measure_groups(rows, [*by, "sensor"], hot_rows)
+    of_sensors = measure_groups(rows, [*by, "sensor"], hot_rows) if sizes.hot_groups else sizes
     aligned = _align(rows, [a, b], by, drop_last, of_sensors)
+    if sizes.mixed:
+        aligned = stored(aligned, "aligned")
 
     def correlate(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
         return _spearman_whole(part, a, b, by) if hot is None else _spearman_hot(part, a, b, by, hot)
