@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sensorloom.operators import limits
+from sensorloom.operators import limits, ordered
 from tests.build import dicts, readings, sequence
 
 SENSOR = ("sensor",)
@@ -119,3 +119,29 @@ def test_keys_of_result(spark):
     assert limits.exceed_by_hour(df, SENSOR, 0.1, 5).columns == ["sensor", "hour", "count"]
     assert set(limits.quartiles(df, (), 5).columns) == {"q1", "median", "q3", "count"}
     assert limits.outliers(df, SENSOR).columns == ["sensor", "measure"]
+
+
+@pytest.mark.parametrize("hot_rows", [25, 10**6])
+def test_merging_equal_measures_changes_nothing(spark, monkeypatch, hot_rows):
+    rng = random.Random(9)
+    rows = [
+        (rng.choice(["a", "b", None]), "s", rng.randrange(9), f"2017-06-17T{rng.randrange(15):02d}:00:00")
+        for _ in range(300)
+    ]
+    df = readings(spark, rows)
+    keys = ("deviceid",)
+
+    def results():
+        return [
+            sorted(map(str, dicts(result)))
+            for result in (
+                limits.quartiles(df, keys, hot_rows),
+                limits.top_value(df, keys, 0.2, hot_rows),
+                limits.exceed_by_hour(df, keys, 0.2, hot_rows),
+            )
+        ]
+
+    plain = results()
+    monkeypatch.setattr(ordered, "MERGE_ROWS", 1)
+    assert results() == plain
+    assert plain[2]

@@ -76,14 +76,14 @@ def test_device_days(spark, tmp_path):
     assert tables.read_device_days(spark, path).count() == 3
 
 
-def test_files_of_a_day_are_in_time_order(spark, tmp_path):
+def test_files_of_a_day_are_cut_by_time(spark, tmp_path):
     rows = [("a", "L1", i, f"2017-06-17T00:{59 - i:02d}:00") for i in range(60)]
     path = str(tmp_path / "slices")
-    tables.write_device_days(readings(spark, rows), path)
-    spark_rows = (
-        spark.read.parquet(path).withColumn("file", F.input_file_name()).collect()
-    )
+    tables.write_device_days(readings(spark, rows), path, files=4)
     by_file = {}
-    for row in spark_rows:
+    for row in spark.read.parquet(path).withColumn("file", F.input_file_name()).collect():
         by_file.setdefault(row["file"], []).append(row["ts"])
+    assert len(by_file) > 1
     assert all(times == sorted(times) for times in by_file.values())
+    spans = sorted((times[0], times[-1]) for times in by_file.values())
+    assert all(before[1] < after[0] for before, after in zip(spans, spans[1:]))
