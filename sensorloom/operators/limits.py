@@ -16,6 +16,7 @@ from sensorloom.operators.ordered import (
     OrderedGroups,
     by_merged_size,
     grouping,
+    join_per_group,
     measure_groups,
 )
 
@@ -117,25 +118,17 @@ def outliers(
     hot_rows: int = HOT_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Measures above the upper fence of their group or, with ``side="both"``, outside the fences.
-
-    The fences have one row per group. They are broadcast when the groups were counted and are few;
-    otherwise this is an ordinary shuffle join whose skewed partitions adaptive execution splits.
-    """
+    """Measures above the upper fence of their group or, with ``side="both"``, outside the fences."""
     if side not in ("upper", "both"):
         raise ValueError("side must be 'upper' or 'both'")
     rows, by = grouping(readings, keys)
     sizes = measure_groups(rows, by, hot_rows)
-    fences = _fences(rows, by, sizes).select(
-        *(F.col(name).alias(f"_of_{name}") for name in by), "lower", "upper"
-    )
-    if sizes.groups <= broadcast_rows:
-        fences = F.broadcast(fences)
-    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]
+    fences = _fences(rows, by, sizes).select(*by, "lower", "upper")
     outside = F.col("measure") > F.col("upper")
     if side == "both":
         outside = outside | (F.col("measure") < F.col("lower"))
-    return rows.select(*by, "measure").join(fences, [*same, outside]).select(*keys, "measure")
+    compared = join_per_group(rows.select(*by, "measure"), fences, by, sizes, broadcast_rows)
+    return compared.filter(outside).select(*keys, "measure")
 
 
 def top_value(

@@ -88,13 +88,15 @@ def measure_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROW
     return GroupSizes(groups, counted, hot_rows, frame, len(found), chunks)
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe broadcast join with a table of bounded size that has unique ``on`` columns."""
+def lookup(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool = True
+) -> DataFrame:
+    """Null-safe join with a table that has unique ``on`` columns; a small one is broadcast."""
     renamed = table.withColumnsRenamed({name: f"_to_{name}" for name in on})
     same = reduce(
         lambda a, b: a & b, (F.col(name).eqNullSafe(F.col(f"_to_{name}")) for name in on)
     )
-    joined = rows.join(F.broadcast(renamed), same, how)
+    joined = rows.join(F.broadcast(renamed) if small else renamed, same, how)
     return joined.drop(*(f"_to_{name}" for name in on))
 
 
@@ -112,6 +114,29 @@ def by_size(
     return whole.unionByName(work(lookup(rows, sizes.hot, keys, "left_semi"), sizes))
 
 
+def join_per_group(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    sizes: GroupSizes,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Inner join of rows with a table that has one row per group, whose sizes are known.
+
+    The table is broadcast if the groups are few. Beyond that the groups below the row limit are
+    joined by a shuffle, and only the table rows of the hot ones, which are few, are broadcast.
+    """
+    if sizes.groups <= broadcast_rows:
+        return lookup(rows, table, keys, "inner")
+
+    def joined(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        if hot is None:
+            return lookup(part, table, keys, "inner", small=False)
+        return lookup(part, lookup(table, sizes.hot, keys, "left_semi"), keys, "inner")
+
+    return by_size(rows, keys, sizes, joined)
+
+
 def by_merged_size(
     rows: DataFrame,
     keys: Sequence[str],

@@ -18,6 +18,7 @@ from sensorloom.operators.ordered import (
     OrderedGroups,
     by_size,
     grouping,
+    join_per_group,
     measure_groups,
 )
 from sensorloom.operators.stats import only_sensors
@@ -129,8 +130,7 @@ def _spearman_hot(
     """Equal pairs and equal values are merged into counts first, so a value that holds a large part
     of the rows is ranked as one row. Ranks are taken relative to the mean rank, which is known.
 
-    The pairs are stored because the ranks start jobs of their own, which should not align again. In
-    the join a frequent value meets a single rank, and adaptive execution splits its pairs.
+    The pairs are stored because the ranks start jobs of their own, which should not align again.
     """
     pairs = stored(
         aligned.groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(
@@ -139,23 +139,18 @@ def _spearman_hot(
         "pairs",
     )
 
-    def ranks(value: str) -> DataFrame:
+    def ranked(rows: DataFrame, value: str) -> DataFrame:
         def rank(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
             ordered = OrderedGroups.of(part, by, [value], hot)
             centred = F.col("_before") + (F.col(WEIGHT) + 1) / 2 - (F.col("_n") + 1) / 2
             return ordered.running_total(F.col(WEIGHT), "_before", "_n").rows.select(
-                *(F.col(name).alias(f"_of_{name}") for name in by),
-                F.col(value).alias(f"_of{value}"),
-                centred.alias(f"_rank{value}"),
+                *by, value, centred.alias(f"_rank{value}")
             )
 
         counted = pairs.groupBy(*by, value).agg(F.sum(WEIGHT).alias(WEIGHT))
-        return by_size(counted, by, measure_groups(counted, by, sizes.limit), rank)
-
-    def ranked(rows: DataFrame, value: str) -> DataFrame:
-        same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]
-        joined = rows.join(ranks(value), [*same, F.col(value).eqNullSafe(F.col(f"_of{value}"))])
-        return joined.drop(*(f"_of_{name}" for name in by), f"_of{value}")
+        ranks = by_size(counted, by, measure_groups(counted, by, sizes.limit), rank)
+        of_values = measure_groups(pairs, [*by, value], sizes.limit)
+        return join_per_group(rows, ranks, [*by, value], of_values)
 
     weight, x, y = F.col(WEIGHT), F.col("_rank_a"), F.col("_rank_b")
     spread = F.sqrt(F.sum(weight * x * x)) * F.sqrt(F.sum(weight * y * y))
