@@ -16,8 +16,7 @@ from sensorloom.operators import limits, relations, sessions, stats
 from sensorloom.session import stored
 from sensorloom.sinks.tables import (
     CONTRACTS,
-    has_rows,
-    read_result,
+    existing_result,
     without_existing,
     write_result,
 )
@@ -129,15 +128,17 @@ def run(
 ) -> None:
     """Compute a report and append it to its table, or show it if it has none.
 
-    ``skip_existing`` leaves out rows whose key a file table already holds.
+    ``skip_existing`` leaves out rows whose key the table already holds.
     """
     result = compute(spark, name, path, date)
     if name in VIEWS:
         result.show()
         return
     table = REPORTS[name].table
-    if skip_existing and CONTRACTS[table].key and has_rows(spark, table, output, fmt):
-        result = without_existing(result, read_result(spark, table, output, fmt), table)
+    if skip_existing:
+        existing = existing_result(spark, table, output, fmt, options)
+        if existing is not None:
+            result = without_existing(result, existing, table)
     write_result(result, table, output, fmt, options)
 
 

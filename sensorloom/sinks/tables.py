@@ -139,17 +139,32 @@ def table_path(path: str | None, table: str) -> str:
     return f"{path.rstrip('/')}/{table}"
 
 
-def read_result(spark: SparkSession, table: str, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).schema(CONTRACTS[table].columns).load(table_path(path, table))
+def read_result(
+    spark: SparkSession,
+    table: str,
+    path: str | None = None,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    reader = spark.read.format(fmt).options(**sink_options(fmt, table, options))
+    if fmt == "jdbc":
+        return reader.load()
+    return reader.schema(CONTRACTS[table].columns).load(table_path(path, table))
 
 
-def has_rows(spark: SparkSession, table: str, path: str, fmt: str = "parquet") -> bool:
-    """Whether the table has been written before."""
+def existing_result(
+    spark: SparkSession,
+    table: str,
+    path: str | None = None,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+) -> DataFrame | None:
+    """The table, or None if its files have not been written yet."""
     try:
-        return not read_result(spark, table, path, fmt).isEmpty()
+        return read_result(spark, table, path, fmt, options)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return False
+            return None
         raise
 
 

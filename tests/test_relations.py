@@ -96,7 +96,11 @@ def test_wide_matrix_of_thirteen(spark):
 
 def test_clusters_of_tight_groups(spark):
     rng = random.Random(1)
-    points = [(c + rng.random(), 2 * c + rng.random()) for c, n in ((0, 5), (50, 7), (100, 9)) for _ in range(n)]
+    points = [
+        (centre + rng.random(), 2 * centre + rng.random())
+        for centre, n in ((0, 5), (50, 7), (100, 9))
+        for _ in range(n)
+    ]
     rng.shuffle(points)
     df = columns(spark, a=[p[0] for p in points] + [0], b=[p[1] for p in points] + [0])
     first = dicts(relations.kmeans_clusters(df, ["a", "b"]), "clusterid")

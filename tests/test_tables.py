@@ -13,7 +13,8 @@ ROWS = [
 
 
 def test_conform_selects_by_name(spark):
-    result = spark.createDataFrame([(1, "s", "d", "2017-06-17", 0)], ["count", "sensor", "deviceid", "date", "x"])
+    names = ["count", "sensor", "deviceid", "date", "x"]
+    result = spark.createDataFrame([(1, "s", "d", "2017-06-17", 0)], names)
     fixed = tables.conform(result, "sensor_count")
     assert fixed.dtypes == [
         ("date", "string"), ("deviceid", "string"), ("sensor", "string"), ("count", "bigint"),
@@ -26,7 +27,7 @@ def test_conform_selects_by_name(spark):
 def test_append_and_read_back(spark, tmp_path):
     result = stats.daily_stats(readings(spark, ROWS))
     path = str(tmp_path)
-    assert not tables.has_rows(spark, "limo_max_min", path)
+    assert tables.existing_result(spark, "limo_max_min", path) is None
     tables.write_result(result, "limo_max_min", path)
     written = tables.read_result(spark, "limo_max_min", path)
     assert [tuple(r) for r in written.orderBy("deviceid").collect()] == [
@@ -34,7 +35,7 @@ def test_append_and_read_back(spark, tmp_path):
         ("2017-06-18", "b", "L2", 5.0, 5.0, 5.0),
     ]
     assert tables.duplicate_keys(written, "limo_max_min").count() == 0
-    assert tables.has_rows(spark, "limo_max_min", path)
+    assert tables.existing_result(spark, "limo_max_min", path).count() == 2
     assert tables.without_existing(result, written, "limo_max_min").count() == 0
     tables.write_result(result, "limo_max_min", path)
     again = tables.read_result(spark, "limo_max_min", path)
