@@ -235,41 +235,48 @@ class OrderedGroups:
             rows = rows.drop("_earlier", "_all")
         return self._with(rows)
 
-    def previous_row(self, fields: Sequence[str], name: str) -> OrderedGroups:
-        """Struct of ``fields`` of the row before; NULL on the first row of the group."""
-        value = F.struct(*fields)
-        rows = self.rows.withColumn(name, F.lag(value).over(self._ordered))
-        if self.split:
-            last = self._per_chunk(_last=F.max_by(value, F.struct(*self.order)))
-            carried = last.withColumn("_last", F.lag("_last").over(self._chunk_order))
-            rows = lookup(rows, carried, self.keys + [CHUNK])
-            rows = rows.withColumn(name, F.coalesce(name, "_last")).drop("_last")
-        return self._with(rows)
+    def previous_row(self, **fields: str) -> OrderedGroups:
+        """Columns of the row before under new names; NULL on the first row of the group.
 
-    def last_seen(self, values: Mapping[str, Column]) -> OrderedGroups:
-        """For each named value the latest non-null one up to and including the row."""
+        Plain columns, because Spark would compute expressions before the shuffle and ship them too.
+        """
+        ordered = self._ordered
+        earlier = {name: F.lag(field).over(ordered) for name, field in fields.items()}
+        if not self.split:
+            return self._with(self.rows.withColumns(earlier))
+        values = F.struct(*(F.col(field).alias(name) for name, field in fields.items()))
+        last = self._per_chunk(_last=F.max_by(values, F.struct(*self.order)))
+        carried = last.withColumn("_last", F.lag("_last").over(self._chunk_order))
+        rows = self.rows.withColumns({**earlier, "_place": F.row_number().over(ordered)})
+        rows = lookup(rows, carried, self.keys + [CHUNK])
+        first = F.col("_place") == 1
+        filled = {name: F.when(first, F.col(f"_last.{name}")).otherwise(F.col(name)) for name in fields}
+        return self._with(rows.withColumns(filled).drop("_place", "_last"))
+
+    def last_seen(self, **fields: str) -> OrderedGroups:
+        """For each new name the latest non-null value of a column up to and including the row."""
         so_far = self._ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = self.rows.withColumns(
-            {name: F.last(value, ignorenulls=True).over(so_far) for name, value in values.items()}
+        seen = {
+            name: F.last(field, ignorenulls=True).over(so_far) for name, field in fields.items()
+        }
+        rows = self.rows.withColumns(seen)
+        if not self.split:
+            return self._with(rows)
+        place = F.struct(*self.order)
+        latest = self._per_chunk(
+            **{
+                f"_latest_{name}": F.max_by(field, F.when(F.col(field).isNotNull(), place))
+                for name, field in fields.items()
+            }
         )
-        if self.split:
-            place = F.struct(*self.order)
-            latest = self._per_chunk(
-                **{
-                    f"_latest_{name}": F.max_by(value, F.when(value.isNotNull(), place))
-                    for name, value in values.items()
-                }
-            )
-            earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
-            carried = {f"_latest_{name}" for name in values}
-            latest = latest.withColumns(
-                {name: F.last(name, ignorenulls=True).over(earlier) for name in carried}
-            )
-            rows = lookup(rows, latest, self.keys + [CHUNK])
-            rows = rows.withColumns(
-                {name: F.coalesce(name, f"_latest_{name}") for name in values}
-            ).drop(*carried)
-        return self._with(rows)
+        earlier = self._chunk_order.rowsBetween(Window.unboundedPreceding, -1)
+        carried = [f"_latest_{name}" for name in fields]
+        latest = latest.withColumns(
+            {name: F.last(name, ignorenulls=True).over(earlier) for name in carried}
+        )
+        rows = lookup(rows, latest, self.keys + [CHUNK])
+        filled = {name: F.coalesce(name, f"_latest_{name}") for name in fields}
+        return self._with(rows.withColumns(filled).drop(*carried))
 
     def group_max(self, value: Column, name: str) -> OrderedGroups:
         """Largest ``value`` of the group on each of its rows."""

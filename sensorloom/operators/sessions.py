@@ -53,22 +53,22 @@ def restart_count(
     """
     keys = list(keys)
     status = readings.filter(F.col("sensor") == status_sensor).select(
-        *dict.fromkeys([*keys, "ts", "seq", "local_ts", "measure"])
+        *dict.fromkeys([*keys, "local_ts", "seq", "measure"])
     )
-    before, now = F.col("_prev.measure"), F.col("measure")
+    before, now = F.col("_before"), F.col("measure")
     started = (before == 0) & (now > 0)
     if open_start:
-        started = started | (F.col("_prev").isNull() & (now > 0))
+        started = started | (before.isNull() & (now > 0))
     recorded = F.when(started, wall_seconds(F.col("local_ts"))).when(
-        (before > 0) & (now == 0), wall_seconds(F.col("_prev.local_ts"))
+        (before > 0) & (now == 0), wall_seconds(F.col("_before_ts"))
     )
     # The index counts from 0: openings of a pair are even, closings odd.
     signed = F.when(F.col("_index") % 2 == 0, -F.col("_time")).otherwise(F.col("_time"))
 
     def summarise(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
         numbered = (
-            OrderedGroups.of(part, keys, ["ts", "seq"], hot)
-            .previous_row(["measure", "local_ts"], "_prev")
+            OrderedGroups.of(part, keys, ["local_ts", "seq"], hot)
+            .previous_row(_before="measure", _before_ts="local_ts")
             .map(lambda rows: rows.withColumn("_time", recorded))
             .running_total(F.col("_time").isNotNull().cast("long"), "_index")
         )
@@ -76,7 +76,7 @@ def restart_count(
             F.count("_time").alias("_times"),
             F.sum(signed).alias("_paired"),
             F.max("_time").alias("_last_time"),
-            F.max_by("measure", F.struct("ts", "seq")).alias("_last_state"),
+            F.max_by("measure", F.struct("local_ts", "seq")).alias("_last_state"),
             F.max("local_ts").cast("date").alias("_last_day"),
         )
 
@@ -102,10 +102,10 @@ def _runs(status: DataFrame, keys: list[str], hot: GroupSizes | None) -> DataFra
     """One row per run: it starts at the first row with a state other than 0 and stops at the next
     row with state 0, or at the group's last row when there is none."""
     running = F.col("measure") != 0
-    starts = running & ~F.coalesce(F.col("_prev.measure") != 0, F.lit(False))
+    starts = running & ~F.coalesce(F.col("_before") != 0, F.lit(False))
     rows = (
         OrderedGroups.of(status, keys, ["ts", "seq"], hot)
-        .previous_row(["measure"], "_prev")
+        .previous_row(_before="measure")
         .map(lambda rows: rows.withColumn("_starts", starts.cast("long")))
         .running_total(F.col("_starts"), "_earlier_runs")
         .rows.withColumn("run", F.col("_earlier_runs") + F.col("_starts"))
@@ -125,6 +125,17 @@ def _runs(status: DataFrame, keys: list[str], hot: GroupSizes | None) -> DataFra
 # Order of events that fall on the same time.
 START, CURRENT, STOP = 0, 1, 2
 
+EVENT_FIELDS = {
+    "run": "long",
+    "open_run": "long",
+    "open_until": "timestamp_ntz",
+    "point_ts": "timestamp_ntz",
+    "amount": "double",
+    "number": "long",
+    "starttime": "timestamp_ntz",
+    "closed": "boolean",
+}
+
 
 def _with_mean_current(
     runs: DataFrame, current: DataFrame, keys: list[str], hot: GroupSizes | None
@@ -136,58 +147,43 @@ def _with_mean_current(
     that time belong to both; the stop event of the earlier run picks them up. One sorted pass over
     starts, readings and stops therefore replaces a join on overlapping times.
     """
-    nothing = F.lit(None)
-
-    def edge(time: str, kind: int) -> Column:
-        return F.struct(
-            F.col(time).alias("ts"), F.lit(kind).alias("kind"), "run", "starttime", "stoptime", "closed"
+    def event(time: str, kind: int, **fields: str) -> Column:
+        """Every kind of event has all columns, and fills those that belong to it."""
+        filled = (
+            (F.col(fields[name]) if name in fields else F.lit(None)).cast(data_type).alias(name)
+            for name, data_type in EVENT_FIELDS.items()
         )
-
-    edges = runs.select(
-        *keys, F.inline(F.array(edge("starttime", START), edge("stoptime", STOP)))
-    ).select(
-        "*", nothing.cast("double").alias("amount"), nothing.cast("long").alias("number")
+        return F.struct(F.col(time).alias("ts"), F.lit(kind).alias("kind"), *filled)
+
+    start = event("starttime", START, run="run", open_run="run", open_until="stoptime")
+    stop = event("stoptime", STOP, run="run", starttime="starttime", closed="closed")
+    point = event("ts", CURRENT, point_ts="ts", amount="_amount", number="_number")
+    points = current.groupBy(*keys, "ts").agg(
+        F.coalesce(F.sum("measure"), F.lit(0.0)).alias("_amount"),
+        F.count("measure").alias("_number"),
     )
-    points = (
-        current.groupBy(*keys, "ts")
-        .agg(F.sum("measure").alias("amount"), F.count("measure").alias("number"))
-        .select(
-            *keys, "ts", F.lit(CURRENT).alias("kind"), nothing.cast("long").alias("run"),
-            nothing.cast("timestamp_ntz").alias("starttime"),
-            nothing.cast("timestamp_ntz").alias("stoptime"),
-            nothing.cast("boolean").alias("closed"), "amount", "number",
-        )
+    events = runs.select(*keys, F.inline(F.array(start, stop))).unionByName(
+        points.select(*keys, point.alias("_event")).select(*keys, "_event.*")
     )
-    kind = F.col("kind")
-    events = edges.unionByName(points)
     seen = (
         OrderedGroups.of(events, keys, ["ts", "kind", "run"], hot)
         .last_seen(
-            {
-                "_run": F.when(kind == START, F.struct("run", "stoptime")),
-                "_point": F.when(kind == CURRENT, F.struct("ts", "amount", "number")),
-            }
+            _run="open_run", _until="open_until", _at="point_ts", _amount="amount", _number="number"
         )
         .rows
     )
-    inside = (kind == CURRENT) & (F.col("ts") <= F.col("_run.stoptime"))
-    touching = (
-        (kind == STOP)
-        & (F.col("_run.run") != F.col("run"))
-        & (F.col("_point.ts") == F.col("ts"))
-    )
-
-    def credited(name: str) -> Column:
-        return F.when(inside, F.col(name)).when(touching, F.col(f"_point.{name}"))
-
-    credits = seen.filter(inside | (kind == STOP)).select(
+    is_stop = F.col("kind") == STOP
+    inside = (F.col("kind") == CURRENT) & (F.col("ts") <= F.col("_until"))
+    touching = is_stop & (F.col("_run") != F.col("run")) & (F.col("_at") == F.col("ts"))
+    counted = inside | touching
+    credits = seen.filter(inside | is_stop).select(
         *keys,
-        F.coalesce("run", "_run.run").alias("run"),
+        F.coalesce("run", "_run").alias("run"),
         "starttime",
-        "stoptime",
+        F.when(is_stop, F.col("ts")).alias("stoptime"),
         "closed",
-        credited("amount").alias("amount"),
-        credited("number").alias("number"),
+        F.when(counted, F.col("_amount")).alias("amount"),
+        F.when(counted, F.col("_number")).alias("number"),
     )
     return (
         credits.groupBy(*keys, "run")

@@ -12,7 +12,9 @@ def rows_of(spark, seed=0):
     rng = random.Random(seed)
     keys = ["hot"] * 60 + [None] * 40 + ["a"] * 3 + ["b"]
     data = [(key, rng.randrange(25), i, rng.choice([None, i])) for i, key in enumerate(keys)]
-    return data, spark.createDataFrame(data, "k string, t int, seq int, v int")
+    return data, spark.createDataFrame(data, "k string, t int, seq int, v int").withColumn(
+        "empty", F.lit(None).cast("int")
+    )
 
 
 def test_group_sizes(spark):
@@ -32,11 +34,11 @@ def test_sequence_columns(spark, hot_rows):
         return (
             OrderedGroups.of(part, ["k"], ["t", "seq"], hot)
             .running_total(F.col("seq"), "before", "total")
-            .previous_row(["seq"], "prev")
-            .last_seen({"seen": F.col("v"), "none": F.lit(None).cast("int")})
+            .previous_row(prev="seq", prev_v="v")
+            .last_seen(seen="v", none="empty")
             .group_max(F.col("v"), "largest")
             .rows.select(
-                "seq", "before", "total", F.col("prev.seq").alias("prev"), "seen", "none", "largest"
+                "seq", "before", "total", "prev", "prev_v", "seen", "none", "largest"
             )
         )
 
@@ -46,11 +48,11 @@ def test_sequence_columns(spark, hot_rows):
         group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]))
         total = sum(r[2] for r in group)
         largest = max((r[3] for r in group if r[3] is not None), default=None)
-        before, prev, seen = 0, None, None
+        before, prev, prev_v, seen = 0, None, None, None
         for _, _, seq, v in group:
             seen = v if v is not None else seen
-            expected[seq] = (before, total, prev, seen, None, largest)
-            before, prev = before + seq, seq
+            expected[seq] = (before, total, prev, prev_v, seen, None, largest)
+            before, prev, prev_v = before + seq, seq, v
     assert {row[0]: tuple(row[1:]) for row in found} == expected
 
 
