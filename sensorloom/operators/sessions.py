@@ -147,6 +147,7 @@ def _with_mean_current(
     that time belong to both; the stop event of the earlier run picks them up. One sorted pass over
     starts, readings and stops therefore replaces a join on overlapping times.
     """
+
     def event(time: str, kind: int, **fields: str) -> Column:
         """Every kind of event has all columns, and fills those that belong to it."""
         filled = (
