@@ -557,6 +557,17 @@ GROUP BY date, deviceid, sensor HAVING count(*) > 2""",
 }
 
 
+try:
+    from corpus_pipeline import QUERIES as PIPELINE_QUERIES
+    from sensorloom.llm.queries import QUERIES as LLM_QUERIES
+
+    REGISTRY |= LLM_QUERIES | PIPELINE_QUERIES
+except ModuleNotFoundError as missing:
+    # The corpus operators are optional; anything else that is missing is an error.
+    if not (missing.name or "").startswith(("sensorloom.llm", "corpus_pipeline")):
+        raise
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Daily maximum, minimum and mean per device and sensor."""
     return queries()["daily_stats"](spark, "/root/testdata/sf0.001")
