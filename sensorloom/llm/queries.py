@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import mixing, sharding
+from sensorloom.llm import decontamination, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,11 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mixing": (_over("documents", mixing.mix_digest), None),
+    "op6_decontamination": (
+        lambda spark, sf_dir: decontamination.contamination_digest(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        ),
+        None,
+    ),
     "op10_sharding": (_over("documents", sharding.shard_digest), None),
 }
