@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontamination, mixing, sharding
+from sensorloom.llm import decontamination, mixing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
         None,
     ),
+    "op8_toxicity": (
+        lambda spark, sf_dir: toxicity.toxicity_digest(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
+        None,
+    ),
     "op10_sharding": (_over("documents", sharding.shard_digest), None),
 }
