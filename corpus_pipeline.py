@@ -1 +1,63 @@
-QUERIES = {}
+"""Documents to training shards: five stages, each written as Parquet and read back before the next.
+
+Toxic documents go, one document of each class of near duplicates stays, documents with benchmark passages go, the
+sources are mixed to their target weights, and the mix is dealt into shards of equal bytes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sensorloom.llm import decontamination, mixing, sharding, similarity, toxicity
+from sensorloom.session import stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.remove_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return similarity.one_per_class(docs).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.remove_documents(docs, _table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("similarity", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the table after all stages, with ``size``, ``shard`` and ``slot``."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+# A trained classifier decides the first stage, which SQL cannot express.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": (run, ORACLE_SQL)}

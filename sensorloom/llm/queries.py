@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontamination, mixing, sharding, toxicity
+from sensorloom.llm import decontamination, mixing, sharding, similarity, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
         None,
     ),
+    "op7_similarity": (_over("documents", similarity.similarity_digest), None),
     "op8_toxicity": (
         lambda spark, sf_dir: toxicity.toxicity_digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
