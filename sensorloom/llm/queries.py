@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import decontamination, mixing, sharding, similarity, toxicity
+from sensorloom.llm import decontamination, mixing, oracles, quality, sharding, similarity, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mixing": (_over("documents", mixing.mix_digest), None),
+    "op2_quality": (_over("documents", quality.quality_digest), oracles.QUALITY),
     "op6_decontamination": (
         lambda spark, sf_dir: decontamination.contamination_digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
