@@ -56,3 +56,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND 1 - CAST(left_chars AS DOUBLE) / greatest(word_chars, 1) <= {quality.MOST_LOST} AS kept,
        n_bad_lines
 FROM failed"""
+
+
+CHAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+escaped AS (
+  SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS t,
+         replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS r
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
