@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorloom.llm import quality
+from sensorloom.llm import quality, secrets
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +73,49 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
+
+
+def _secrets() -> str:
+    def found(kind: str, order: int) -> str:
+        expression, group, least = secrets.SHAPES[kind]
+        shape = _quoted(expression)
+        return f"""
+  SELECT doc_id, r, source, '{kind}' AS kind, {order} AS o, unnest(range(1, len(m) + 1)) AS i, m, v, p, {least} AS least
+  FROM (SELECT doc_id, r, source, regexp_extract_all(t, '{shape}') AS m, regexp_extract_all(t, '{shape}', {group}) AS v,
+               regexp_split_to_array(t, '{shape}') AS p FROM texts)"""
+
+    every = " UNION ALL ".join(found(kind, order) for order, kind in enumerate(secrets.SHAPES, 1))
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, row_number() OVER () AS r FROM documents),
+matches AS ({every}),
+placed AS (
+  SELECT doc_id, r, source, kind, o, v[i] AS value, least, length(m[i]) AS width,
+         sum(length(p[i]) + length(m[i])) OVER (PARTITION BY r, kind ORDER BY i) AS stop
+  FROM matches),
+long AS (SELECT *, stop - width AS start FROM placed WHERE length(value) >= least),
+inside AS (
+  SELECT *, max(CASE WHEN kind <> '{secrets.OWNED}' THEN stop END) OVER (
+              PARTITION BY r ORDER BY start, stop DESC, kind ROWS UNBOUNDED PRECEDING) >= stop AS hidden
+  FROM long),
+kept AS (
+  SELECT * FROM inside
+  WHERE kind <> '{secrets.OWNED}' OR (NOT coalesce(hidden, false)
+    AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+    AND len(list_distinct(string_split(value, ''))) >= {secrets.TOKEN_CHARACTERS})),
+counts AS (SELECT value, count(DISTINCT source) AS owners FROM kept GROUP BY value),
+judged AS (
+  SELECT *, owners < {secrets.EXAMPLE_OWNERS} AS live, kind || ':' || start || ':' || stop AS shown
+  FROM kept JOIN counts USING (value) WHERE kind <> '{secrets.OWNED}' OR owners < {secrets.EXAMPLE_OWNERS}),
+grouped AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+         string_agg(shown, ',' ORDER BY start, o) AS spans,
+         string_agg(shown, ',' ORDER BY start, o) FILTER (kind <> '{secrets.OWNED}') AS base
+  FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM texts LEFT JOIN grouped USING (r)"""
+
+
+SECRETS = _secrets()

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import chat, decontamination, mixing, oracles, quality, sharding, similarity, toxicity
+from sensorloom.llm import (
+    chat,
+    decontamination,
+    mixing,
+    oracles,
+    quality,
+    secrets,
+    sharding,
+    similarity,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +33,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mixing": (_over("documents", mixing.mix_digest), None),
     "op2_quality": (_over("documents", quality.quality_digest), oracles.QUALITY),
     "op3_chat": (_over("conversations", chat.chat_digest), oracles.CHAT),
+    "op4_secrets": (_over("documents", secrets.secrets_digest), oracles.SECRETS),
     "op6_decontamination": (
         lambda spark, sf_dir: decontamination.contamination_digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
