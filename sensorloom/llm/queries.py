@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sensorloom.llm import (
     chat,
     decontamination,
+    language,
     mixing,
     oracles,
     quality,
@@ -34,6 +35,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_quality": (_over("documents", quality.quality_digest), oracles.QUALITY),
     "op3_chat": (_over("conversations", chat.chat_digest), oracles.CHAT),
     "op4_secrets": (_over("documents", secrets.secrets_digest), oracles.SECRETS),
+    "op5_language": (_over("documents", language.language_digest), None),
     "op6_decontamination": (
         lambda spark, sf_dir: decontamination.contamination_digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
