@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sensorloom.llm import (
     chat,
     decontamination,
+    extraction,
     language,
     mixing,
     oracles,
@@ -49,5 +50,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
         None,
     ),
+    "op9_extraction": (_over("pages", extraction.extraction_digest), None),
     "op10_sharding": (_over("documents", sharding.shard_digest), None),
 }
