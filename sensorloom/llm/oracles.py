@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from sensorloom.llm import quality, secrets
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,3 +121,106 @@ FROM texts LEFT JOIN grouped USING (r)"""
 
 
 SECRETS = _secrets()
+
+
+MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS place
+  FROM documents),
+sources AS (SELECT no_source, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY no_source, encode(source)) - 1 AS nth FROM sources),
+weighed AS (SELECT *, CAST(nth % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS most FROM ranked),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER o AS filling
+  FROM weighed WINDOW o AS (ORDER BY most / weight, nth)),
+settled AS (SELECT arg_min(level, filling) AS level FROM levels WHERE level * weight <= most),
+targets AS (
+  SELECT l.* EXCLUDE (level), least(CAST(most AS DOUBLE), coalesce(s.level * weight, 0)) AS target
+  FROM levels l LEFT JOIN settled s ON true),
+placed AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS wanted,
+         sum(size) OVER (PARTITION BY no_source, source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM sized JOIN targets USING (no_source, source)),
+copied AS (
+  SELECT *, greatest(least(wanted - before, size), 0) AS once,
+         greatest(least(wanted - before - source_size, size), 0) AS twice,
+         greatest(least(wanted - before - 2 * source_size, size), 0) AS thrice
+  FROM placed),
+shared AS (
+  SELECT *, least((before + once / 2) / wanted, 1.0) AS share,
+         CASE nth % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END AS rate,
+         CASE nth % 3 WHEN 0 THEN -1.0 WHEN 1 THEN 0.0 ELSE 1.0 END AS slope
+  FROM copied)
+SELECT doc_id, size, source_size, target, CAST(once + twice + thrice AS BIGINT) AS taken,
+       CASE WHEN once > 0
+            THEN round(2 * share / (rate + sqrt(greatest(rate * rate + 2 * slope * share, 0.0))), 6) END AS first_position
+FROM shared"""
+
+
+CONTAMINATION = rf"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{PLAIN_WORD}') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{PLAIN_WORD}') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, list_slice(w, i, i + 9) AS run
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(run) AS n FROM windows),
+runs AS (
+  SELECT r, i, n, list_slice(w, i, i + n - 1) AS run
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts JOIN lengths ON len(w) >= n)),
+hits AS (SELECT r, i, n, item FROM runs JOIN windows USING (run)),
+covered AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
+
+
+def _checksum_table() -> str:
+    """What four bits do to a CRC-32, by its rule."""
+    values = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        values.append(str(value))
+    return f"[{', '.join(values)}]"
+
+
+SHARDING = rf"""
+WITH keyed AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS bytes,
+         substr(md5(coalesce(text, '')), 1, 10) AS text_key,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS id_key
+  FROM documents),
+sums AS (
+  SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n,
+         coalesce(sum(size) OVER (ORDER BY text_key, id_key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0)
+           AS before
+  FROM keyed),
+sharded AS (
+  SELECT *, CAST(least(39, floor(before * 40 / total)) AS INTEGER) AS shard,
+         CAST(('0x' || id_key) AS BIGINT) % greatest(1, CAST(ceil(ceil(sqrt(n)) / 40) AS BIGINT)) AS cell
+  FROM sums),
+numbered AS (
+  SELECT *, list_transform(regexp_extract_all(bytes, '..'), lambda p: CAST('0x' || p AS BIGINT)) AS octets FROM sharded)
+SELECT doc_id, size,
+       CAST(xor(list_reduce(octets, lambda c, o: xor(xor(xor(c, o) >> 4, table_of[(xor(c, o) & 15) + 1]) >> 4,
+                                                     table_of[(xor(xor(c, o) >> 4, table_of[(xor(c, o) & 15) + 1]) & 15) + 1]),
+                            4294967295), 4294967295) AS BIGINT) AS text_crc32,
+       'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY cell, text_key, id_key, doc_id) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered, (SELECT CAST({_checksum_table()} AS BIGINT[]) AS table_of)"""

@@ -32,7 +32,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
-    "op1_mixing": (_over("documents", mixing.mix_digest), None),
+    "op1_mixing": (_over("documents", mixing.mix_digest), oracles.MIXING),
     "op2_quality": (_over("documents", quality.quality_digest), oracles.QUALITY),
     "op3_chat": (_over("conversations", chat.chat_digest), oracles.CHAT),
     "op4_secrets": (_over("documents", secrets.secrets_digest), oracles.SECRETS),
@@ -41,7 +41,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda spark, sf_dir: decontamination.contamination_digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
-        None,
+        oracles.CONTAMINATION,
     ),
     "op7_similarity": (_over("documents", similarity.similarity_digest), None),
     "op8_toxicity": (
@@ -51,5 +51,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         None,
     ),
     "op9_extraction": (_over("pages", extraction.extraction_digest), None),
-    "op10_sharding": (_over("documents", sharding.shard_digest), None),
+    "op10_sharding": (_over("documents", sharding.shard_digest), oracles.SHARDING),
 }
