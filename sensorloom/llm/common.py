@@ -41,6 +41,13 @@ def bucket_count(rows: int) -> int:
     return max(1, math.ceil(math.sqrt(rows)))
 
 
-def picked(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash with those an operator adds."""
-    return df.select(*columns)
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """A table's rows as one column ``row`` beside the named ones, so that its columns cannot clash with those an
+    operator adds. ``row.*`` gives them back."""
+    return df.select(F.struct("*").alias("row"), *(column.alias(name) for name, column in columns.items()))
+
+
+def restored(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The packed columns, and new ones that replace those of the same name."""
+    kept = [F.col(f"row.`{name}`") for name in columns if name not in added]
+    return df.select(*kept, *(column.alias(name) for name, column in added.items()))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import plain_words
+from sensorloom.llm.common import apart, plain_words
 from sensorloom.session import stored
 
 WINDOW = 10
@@ -169,9 +169,10 @@ def remove_documents(
 ) -> DataFrame:
     """Documents of whose words a share of at most ``most_hit`` lies in benchmark windows, columns unchanged."""
     bad = contamination(docs, benchmark, n, key, text).filter(F.col("n_hit") > most_hit * F.col("n_words"))
-    bad = bad.select(F.col(key).alias("_id"), F.col("_digest").alias("_bad")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_bad"))
-    return docs.join(bad, same, "left_anti")
+    bad = bad.select(F.col(key).alias("hit_id"), F.col("_digest").alias("hit_digest")).distinct()
+    rows = apart(docs, id=F.col(key), digest=F.xxhash64(F.coalesce(text, F.lit(""))))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

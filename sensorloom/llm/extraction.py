@@ -31,6 +31,7 @@ def features(block: Block) -> list[str]:
     text, words = block.text, block.text.count(" ") + 1
     found = [f"tag:{tag}" for tag in set(block.tags)]
     found += [f"name:{name}" for name in block.names]
+    found += [f"near:{name}" for name in block.nearest]
     found.append(f"leaf:{block.tags[-1] if block.tags else ''}")
     found.append(f"words:{min(words.bit_length(), 7)}")
     found.append(f"linked:{min(3, int(block.linked * 4))}")
@@ -149,7 +150,7 @@ OTHER_PARTS = {
     "footer": ("footer div section", "footer copyright legal bottom colophon imprint"),
     "sidebar": ("aside div section", "sidebar aside widget related recommended popular trending more rail"),
     "notice": ("div section dialog p", "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe paywall warning"),
-    "advert": ("div aside section p ins", "ad ads advert advertisement sponsor sponsored promo promotion banner adsbygoogle"),
+    "advert": ("div aside section p", "ad ads advert advertisement sponsor sponsored promo promotion banner adsbygoogle"),
     "form": ("form div", "form search login signup register contact"),
     "comments": ("section div ol ul", "comment comments reply replies discussion disqus respond feedback reader"),
     "share": ("div ul", "share social sharing follow tags meta byline"),
@@ -213,7 +214,7 @@ class _Writer:
                 parts.append(self.element("blockquote", f"<p>{self.sentence(5, 30)}</p>"))
             else:
                 parts.append(self.element("pre", self.words(2, 12)))
-        if self.chance(0.3):
+        for _ in range(2 if self.chance(0.4) else 0):
             place = int(self.random.integers(len(parts) + 1))
             parts.insert(place, self.mark(self.other(self.pick(["advert", "notice", "share", "sidebar", "form", "comments"]))))
         return "".join(parts)
@@ -232,7 +233,9 @@ class _Writer:
         leaf = _LEAF.get(kind, "p")
         if tag in ("ul", "ol", "menu"):
             leaf = "li"
-        count = int(self.random.integers(1, 7 if kind in ("nav", "comments", "share") else 4))
+        most = 7 if kind in ("nav", "comments", "share") else 4
+        # A paragraph cannot hold other blocks.
+        count = 1 if tag == "p" else int(self.random.integers(1, most))
         leaves = []
         for _ in range(count):
             text = self.sentence(1, 30) if kind not in ("nav", "share", "form") else self.words(1, 3)
@@ -273,7 +276,7 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[
         marked = page.replace("\x01", "<x-other>").replace("\x02", "</x-other>")
         blocks = leaf_blocks(f"<html><head><title>{writer.words(2, 6)}</title></head><body>{marked}</body></html>")
         labels = ["x-other" not in block.tags for block in blocks]
-        plain = [Block(b.text, tuple(t for t in b.tags if t != "x-other"), b.names, b.linked) for b in blocks]
+        plain = [Block(b.text, tuple(t for t in b.tags if t != "x-other"), b.names, b.linked, b.nearest) for b in blocks]
         found.append((plain, labels))
     return found
 

@@ -28,12 +28,14 @@ KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("
 
 @dataclass(frozen=True)
 class Block:
-    """A text with the tags around it, innermost last, the words of their names, and the share of it in links."""
+    """A text with the tags around it, innermost last, the words of their names, the share of it in links, and the
+    words of the innermost name with the tag that has it."""
 
     text: str
     tags: tuple[str, ...]
     names: frozenset[str]
     linked: float
+    nearest: frozenset[str] = frozenset()
 
 
 def name_parts(attributes: str) -> frozenset[str]:
@@ -59,7 +61,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             names = frozenset().union(*(parts for _, parts in stack)) if stack else frozenset()
-            blocks.append(Block(text, tuple(tag for tag, _ in stack), names, min(1.0, linked / len(text))))
+            nearest = next((parts for _, parts in reversed(stack) if parts), frozenset())
+            blocks.append(Block(text, tuple(tag for tag, _ in stack), names, min(1.0, linked / len(text)), nearest))
         pieces.clear()
         linked = 0
 

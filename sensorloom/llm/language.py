@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.common import apart, restored
 from sensorloom.llm.training import fold_of, training_rows
 
 # Labelled documents of each language that the driver takes.
@@ -228,14 +229,9 @@ def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
         names, scores = model.predict(texts.tolist())
         return pd.DataFrame({"lang": names, "score": scores})
 
-    rows = docs.withColumn("_language", predict(F.col(text)))
-    return rows.withColumns(
-        {
-            "lang_pred": F.col("_language.lang"),
-            "score": F.col("_language.score"),
-            "accepted": (F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= model.threshold),
-        }
-    ).drop("_language")
+    rows = apart(docs, found=predict(F.col(text)))
+    sure = (F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= model.threshold)
+    return restored(rows, docs.columns, lang_pred=F.col("found.lang"), score=F.col("found.score"), accepted=sure)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

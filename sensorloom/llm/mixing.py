@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import bucket_count, hash_digits, word_count
+from sensorloom.llm.common import apart, bucket_count, hash_digits, restored, word_count
 from sensorloom.session import stored
 
 # Rates over time of mean 1, dealt to the sources in turn like the weights: an early, an even and a late one.
@@ -185,27 +185,23 @@ def mix(
     plan = plan_mix(docs, weights, schedules, max_repeats, key, text, source)
     wanted = F.filter("copies", lambda c: 2 * c.getField("taken") >= F.col("size"))
     # Rows with the same key and text are told apart by their number, on both sides.
-    twins = Window.partitionBy(key, "_digest").orderBy(F.col("_place").asc_nulls_first())
+    copy_order = Window.partitionBy("key", "_digest").orderBy(F.col("_place").asc_nulls_first())
     copies = (
         plan.withColumn("_copies", wanted)
         .withColumn("_place", F.get("_copies", F.lit(0))["position"])
-        .withColumn("_twin", F.row_number().over(twins))
+        .withColumnRenamed(key, "key")
+        .withColumn("nth", F.row_number().over(copy_order))
         .filter(F.size("_copies") > 0)
-        .select(F.col(key).alias("_key"), F.col("_digest").alias("_text"), F.col("_twin").alias("_nth"), F.explode("_copies").alias("_copy"))
+        .select("key", "_digest", "nth", F.explode("_copies").alias("copy"))
     )
-    digested = docs.drop("epoch", "position").withColumn("_digest", F.md5(F.coalesce(text, F.lit(""))))
-    digested = digested.withColumn("_twin", F.row_number().over(Window.partitionBy(key, "_digest").orderBy(F.lit(0))))
+    rows = apart(docs, id=F.col(key), digest=F.md5(F.coalesce(text, F.lit(""))))
+    twins = Window.partitionBy("id", "digest").orderBy(F.lit(0))
+    rows = rows.withColumn("twin", F.row_number().over(twins))
     same = (
-        F.col(key).eqNullSafe(F.col("_key"))
-        & (F.col("_digest") == F.col("_text"))
-        & (F.col("_twin") == F.col("_nth"))
-    )
-    return (
-        digested.join(copies, same)
-        .withColumns({"epoch": F.col("_copy.epoch"), "position": F.col("_copy.position")})
-        .drop("_digest", "_twin", "_key", "_text", "_nth", "_copy")
-        .orderBy("position", key, "epoch")
+        F.col("id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("_digest")) & (F.col("twin") == F.col("nth"))
     )
+    found = rows.join(copies, same).orderBy("copy.position", "id", "copy.epoch")
+    return restored(found, docs.columns, epoch=F.col("copy.epoch"), position=F.col("copy.position"))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import WORD, pattern
+from sensorloom.llm.common import WORD, apart, pattern, restored
 
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
@@ -74,8 +74,12 @@ def _covered(places: Column, width: int) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = ("base_failed", "n_bad_lines", "clean_text", "lost_share", "kept")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows with a ``_text`` and, of it, the counts and the lines."""
     words, windows = F.col("_words"), F.col("_windows")
     places = F.when(
         F.size(words) >= 3,
@@ -91,8 +95,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
     lines = F.filter("_lines", lambda line: line.rlike(WORD))
     return (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumns({"_words": _words(F.col("_text")), "_lines": F.split("_text", "\n", -1)})
+        rows.withColumns({"_words": _words(F.col("_text")), "_lines": F.split("_text", "\n", -1)})
         .withColumns({"_windows": places, "_worded": lines})
         .withColumn("_places", _repeated(windows))
         .withColumns(
@@ -114,12 +117,12 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST, text: str = "text
 
     NULL and empty texts have no words and are not kept. Columns with these names are replaced.
     """
-    counted = base_counts(docs, text)
+    counted = _counted(apart(docs, _text=F.coalesce(F.col(text), F.lit(""))))
     passing = F.filter("_lines", lambda line: ~line_fails(line))
     cleaned = counted.withColumn("_passing", passing).withColumn("clean_text", F.array_join("_passing", "\n"))
     lost = 1 - _letters(F.col("clean_text")) / F.greatest(F.col("word_chars"), F.lit(1))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return (
+    judged = (
         cleaned.withColumns(
             {
                 "base_failed": failed,
@@ -128,8 +131,8 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST, text: str = "text
             }
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= most_lost))
-        .drop("_text", "_lines", "_passing")
     )
+    return restored(judged, docs.columns, **{name: F.col(name) for name in COUNTS + VERDICT})
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:

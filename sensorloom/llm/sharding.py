@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import bucket_count, hash_digits, picked
+from sensorloom.llm.common import apart, bucket_count, hash_digits, restored
 from sensorloom.session import stored
 
 HEADER_BYTES = 16
@@ -35,15 +35,19 @@ def document_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + HEADER_BYTES).cast("long")
 
 
+def sort_key(text: str = "text", key: str = "doc_id") -> dict[str, Column]:
+    """Size and the two key parts of a document."""
+    return {
+        "_id": F.col(key),
+        "_size": document_bytes(F.col(text)),
+        "_text_key": hash_digits(F.col(text), TEXT_HEX),
+        "_id_key": hash_digits(F.col(key), ID_HEX),
+    }
+
+
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Documents with ``size`` and the two key parts."""
-    return docs.withColumns(
-        {
-            "_size": document_bytes(F.col(text)),
-            "_text_key": hash_digits(F.col(text), TEXT_HEX),
-            "_id_key": hash_digits(F.col(key), ID_HEX),
-        }
-    )
+    """Identifier, size and key of each document, without the text."""
+    return docs.select(*(column.alias(name) for name, column in sort_key(text, key).items()))
 
 
 def _prefix(digits: int) -> Column:
@@ -139,16 +143,16 @@ def shard_documents(
 
     Jobs at call: one pass that stores the keys, one over them for each round of the histogram.
     """
-    docs = docs.drop("size", "shard", "slot")
     seen = Observation()
-    keys = keyed(docs.select(key, text), text, key).select("_size", "_text_key", "_id_key")
+    keys = keyed(docs, text, key).drop("_id")
     keys = stored(keys.observe(seen, F.count(F.lit(1)).alias("rows")), "shard-keys")
     splitters = find_splitters(keys, shards, tolerance)
-    return _place(keyed(docs, text, key), keys, splitters, seen.get["rows"], shards, key)
+    placed = _place(apart(docs, **sort_key(text, key)), keys, splitters, seen.get["rows"], shards)
+    return restored(placed, docs.columns, size=F.col("_size"), shard=F.col("shard"), slot=F.col("slot"))
 
 
 def _place(
-    rows: DataFrame, keys: DataFrame, splitters: list[Splitter], count: int, shards: int, key: str
+    rows: DataFrame, keys: DataFrame, splitters: list[Splitter], count: int, shards: int
 ) -> DataFrame:
     """Shard and slot of keyed rows, whose keys are also stored without the texts. A slot is the place in
     the row's cell of the shard and the rows of the cells before it, so no task numbers a whole shard."""
@@ -172,28 +176,22 @@ def _place(
         )
         .drop("_rows")
     )
-    in_cell = Window.partitionBy("shard", "_cell").orderBy("_text_key", "_id_key", key)
+    in_cell = Window.partitionBy("shard", "_cell").orderBy("_text_key", "_id_key", "_id")
     numbered = placed.withColumn("_place", F.row_number().over(in_cell))
-    return (
-        numbered.join(before, ["shard", "_cell"])
-        .withColumn("slot", (F.col("_before") + F.col("_place") - 1).cast("long"))
-        .withColumnRenamed("_size", "size")
-        .drop("_text_key", "_id_key", "_cell", "_place", "_before")
-    )
+    joined = numbered.join(before, ["shard", "_cell"])
+    return joined.withColumn("slot", (F.col("_before") + F.col("_place") - 1).cast("long"))
 
 
 def shard_digest(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Where each document goes, without its text: the operator over identifiers, sizes and checksums."""
     seen = Observation()
-    rows = keyed(picked(docs, "doc_id", "text")).withColumn(
-        "text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    )
-    rows = stored(rows.drop("text").observe(seen, F.count(F.lit(1)).alias("rows")), "shard-rows")
-    splitters = find_splitters(rows, shards)
-    placed = _place(rows, rows, splitters, seen.get["rows"], shards, "doc_id")
+    checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select(*(c.alias(n) for n, c in sort_key().items()), checksum.alias("text_crc32"))
+    rows = stored(rows.observe(seen, F.count(F.lit(1)).alias("rows")), "shard-rows")
+    placed = _place(rows, rows, find_splitters(rows, shards), seen.get["rows"], shards)
     return placed.select(
-        "doc_id",
-        "size",
+        F.col("_id").alias("doc_id"),
+        F.col("_size").alias("size"),
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.common import apart
 from sensorloom.llm.components import components
 from sensorloom.llm.shingles import SHINGLE_WORDS, SKETCH, packed, set_identity, shingle_sets, sketch, unpacked
 from sensorloom.session import stored
@@ -374,17 +375,18 @@ def near_duplicates(
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, the one with the smallest key, with its own columns; of rows with the same key
     and text one stays. Documents without words all stay."""
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = apart(docs, id=F.col(key), digest=F.xxhash64(content), worded=content.rlike(r"[^\x20\x09-\x0D]"))
     classes = near_duplicates(docs, key=key, text=text, **options).filter("n_shingles > 0")
     # A class without a key in it has the NULL key as its name.
     kept = (
         classes.filter(F.col(key).eqNullSafe(F.col("class_id")))
         .groupBy("class_id")
-        .agg(F.min("digest").alias("_digest"))
+        .agg(F.min("digest").alias("chosen"))
     )
-    same = F.col(key).eqNullSafe(F.col("class_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_digest"))
-    chosen = docs.filter(~blank).join(kept, same).dropDuplicates([key, "_digest"]).drop("class_id", "_digest")
-    return chosen.unionByName(docs.filter(blank))
+    same = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen"))
+    chosen = rows.filter("worded").join(kept, same).dropDuplicates(["id", "digest"]).select("row.*")
+    return chosen.unionByName(rows.filter("NOT worded").select("row.*"))
 
 
 def similarity_digest(docs: DataFrame) -> DataFrame:

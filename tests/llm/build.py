@@ -1,0 +1,38 @@
+"""Small tables with the cases that corpus operators must define: nulls, blanks, long texts, ties and repeated rows."""
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, slot string, score string, "
+    "predicted string, _id string, epoch string, position string, kept string, node string"
+)
+SENTENCE = "the quick brown fox jumps over the lazy dog and then it sleeps under a tree near the river "
+
+
+def edge_rows():
+    """Rows (doc_id, text, lang, source): each case once, some rows repeated, identifiers missing."""
+    long_text = " ".join(f"word{i % 5000}x{i}" for i in range(30_000))
+    return [
+        (1, SENTENCE * 4, "en", "a"),
+        (2, SENTENCE * 4, "en", "b"),
+        (2, SENTENCE * 4, "en", "b"),
+        (3, None, "en", "a"),
+        (4, "", None, None),
+        (5, " \t\n ", "en", "a"),
+        (6, long_text, "en", "a"),
+        (None, "an identifier is missing here but the words are there", None, "c"),
+        (None, None, None, None),
+        (7, "one", "en", "a"),
+        (8, "\U0001f600 \U0001f600 astral words \U0001f600", "fr", None),
+        (9, SENTENCE * 3 + "and a tail of its own", "en", "c"),
+    ]
+
+
+def documents(spark, rows=None):
+    """A documents table with columns beside it whose names operators use themselves."""
+    rows = edge_rows() if rows is None else rows
+    extra = ("x",) * 10
+    full = [(i, t, l, s, len(t) if t else None, *extra) for i, t, l, s in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def empty_documents(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -1,0 +1,68 @@
+import pytest
+
+from pyspark.sql import functions as F
+
+from sensorloom.llm import quality
+from tests.llm.build import documents, edge_rows, empty_documents
+
+GOOD = "This line is a whole sentence of words that ends as sentences do."
+
+
+def base(text):
+    """Words in repeated 3-word windows, counted place by place."""
+    words = quality_words(text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = set()
+    for i, gram in enumerate(grams):
+        if grams.count(gram) > 1:
+            hit |= {i, i + 1, i + 2}
+    return len(words), len(hit)
+
+
+def quality_words(text):
+    return [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in text or "").split(" ") if w]
+
+
+@pytest.mark.parametrize(
+    ("line", "fails"),
+    [
+        (GOOD, False),
+        ("", False),
+        ("Home", True),
+        ("All rights reserved.", True),
+        ("one | two | three | four", True),
+        ("We use a - b - c in long sentences now and then, which is no reason to lose them.", False),
+        ("short and unended", True),
+        ("a long line may go on without an end of its sentence", False),
+        ("le*** et### la%%% de$$$", True),
+        ("THE!! BIG!! SALE!! NOW!!", True),
+        ("He asked: «why?»", False),
+    ],
+)
+def test_line_rules(spark, line, fails):
+    rows = spark.createDataFrame([(line,)], "line string")
+    assert rows.select(quality.line_fails(F.col("line"))).first()[0] is fails
+
+
+def test_documents_that_lose_their_text_are_rejected(spark):
+    kept = "\n".join(" ".join(f"{word[:-1]}{i}{word[-1]}" for word in GOOD.split()) for i in range(8))
+    lost = "\n".join(f"link{i} | page{i} | more{i} | home{i} | top{i} |" for i in range(20))
+    rows = quality.clean_lines(documents(spark, [(1, kept + "\nHome", "en", "a"), (2, lost, "en", "a")])).collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[1].kept and by_id[1].clean_text == kept and by_id[1].n_bad_lines == 1
+    assert not by_id[2].kept and not by_id[2].base_failed and by_id[2].clean_text == ""
+
+
+def test_edge_rows_match_brute_force(spark):
+    rows = quality.quality_digest(documents(spark)).collect()
+    assert len(rows) == len(edge_rows())
+    expected = sorted(base(text) for _, text, _, _ in edge_rows() if text is None or len(text) < 2000)
+    assert sorted((r.n_words, r.n_repeat_words) for r in rows if r.doc_id != 6) == expected
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[6].n_words == 30_000 and by_id[6].n_repeat_words == 0
+    assert by_id[8].word_chars == 3 + 6 + 5
+    assert all(not r.kept for r in rows if r.n_words == 0)
+
+
+def test_empty_table(spark):
+    assert quality.quality_digest(empty_documents(spark)).count() == 0
