@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import limits, relations, sessions, stats
+from sensorloom.plans import daily
 from sensorloom.session import scratch_path
 from sensorloom.sinks import tables
 from sensorloom.sources import readings as source
@@ -23,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SENSORS = ["click", "error", "purchase", "signup", "view"]
 LISTED = ["click", "purchase", "view"]
 STATUS, CURRENT = "click", "view"
+DAY = "2024-01-10"
 DEVICE = ("deviceid",)
 SENSOR = ("sensor",)
 
@@ -77,7 +79,11 @@ def _restarts(keys: tuple[str, ...], open_start: bool = False) -> Query:
 
 
 def _sessions(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return sessions.run_sessions(r, STATUS, CURRENT, keys)
+    """Sessions with the energy of a mean current cut to nine decimals: engines add up doubles in different
+    orders, which must not turn the rounding of the energy."""
+    found = sessions.run_sessions(r, STATUS, CURRENT, keys)
+    mean = F.round("avg_current", 9)
+    return found.withColumns({"avg_current": mean, "kwh": sessions.energy(mean, F.col("runtime"))})
 
 
 def _session_rows(keys: tuple[str, ...]) -> Query:
@@ -152,10 +158,56 @@ def _written_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.duplicate_keys(counts.unionByName(again), "sensor_count")
 
 
+def _apart(r: DataFrame) -> DataFrame:
+    """Readings in three groups of days, much farther from each other than the readings of a day."""
+    return r.withColumn("measure", F.col("measure") + (F.dayofmonth("date") % 3) * 100_000)
+
+
+def _clusters(r: DataFrame) -> DataFrame:
+    """Centres and sizes without the cluster numbers, which mean nothing."""
+    found = relations.kmeans_clusters(_apart(r), LISTED, keys=("date",))
+    return _rounded(found.drop("clusterid"), "sensor1", "sensor2", "sensor3")
+
+
 def _cluster_sizes(r: DataFrame) -> DataFrame:
-    return relations.kmeans_clusters(r, LISTED, keys=("date",)).agg(
-        F.count(F.lit(1)).alias("clusters"), F.sum("cluster_num").alias("rows")
-    )
+    return relations.kmeans_clusters(_apart(r), LISTED, keys=("date",)).select("cluster_num")
+
+
+def _day_report(name: str) -> Query:
+    """One day's report from the device-day layout of all events."""
+
+    def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, "device-days")
+        tables.write_device_days(_readings(spark, sf_dir), path)
+        return _rounded(daily.compute(spark, name, path, DAY, "parquet"), "avg")
+
+    return report
+
+
+def _rerun_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The device-day layout written twice: the second run replaces the days."""
+    path, r = scratch_path(spark, "device-days"), _readings(spark, sf_dir)
+    tables.write_device_days(r, path)
+    tables.write_device_days(r, path)
+    return tables.read_device_days(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _rerun_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outliers of all days, then those of the first half of a month again in place of their days."""
+    path, table = scratch_path(spark, "results"), "sensor_outliers"
+    found = limits.outliers(_readings(spark, sf_dir))
+    tables.replace_days(found, table, path)
+    tables.replace_days(found.filter(F.dayofmonth("date") <= 15), table, path)
+    return tables.read_result(spark, table, path)
+
+
+def _empty_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all days, and an append of nothing."""
+    path, table = scratch_path(spark, "results"), "sensor_data_count"
+    totals = stats.daily_total(_readings(spark, sf_dir), "LiMo")
+    tables.write_result(totals, table, path)
+    tables.write_result(totals.filter("count < 0"), table, path)
+    return tables.read_result(spark, table, path)
 
 
 READINGS_SQL = """
@@ -496,13 +548,37 @@ SELECT date, place - 1 AS position, {', '.join(LISTED)} FROM aligned""",
         _wide_matrix_sql(),
     ),
     "kmeans_clusters": (
-        _over_readings(lambda r: relations.kmeans_clusters(r, LISTED, keys=("date",))),
-        None,
+        _over_readings(_clusters),
+        f"""{_aligned_sql(LISTED, 'date')},
+groups AS (SELECT *, (day(date) % 3) * 100000 AS apart FROM aligned)
+SELECT count(*) AS cluster_num, round(avg({LISTED[0]} + apart), 6) AS sensor1,
+       round(avg({LISTED[1]} + apart), 6) AS sensor2, round(avg({LISTED[2]} + apart), 6) AS sensor3
+FROM groups GROUP BY apart""",
     ),
     "kmeans_size_check": (
         _over_readings(_cluster_sizes),
         f"""{_aligned_sql(LISTED, 'date')}
-SELECT CAST(3 AS BIGINT) AS clusters, count(*) AS rows FROM aligned""",
+SELECT count(*) AS cluster_num FROM aligned GROUP BY day(date) % 3""",
+    ),
+    "day_report": (
+        _day_report("max-min"),
+        f"""{READINGS_SQL}
+SELECT date, deviceid, sensor, max(measure) AS max, min(measure) AS min, round(avg(measure), 6) AS avg
+FROM readings WHERE date = DATE '{DAY}' GROUP BY ALL""",
+    ),
+    "device_day_rerun": (
+        _rerun_of_days,
+        f"{READINGS_SQL} SELECT date, count(*) AS count FROM readings GROUP BY date",
+    ),
+    "outliers_rerun": (
+        _rerun_without_key,
+        f"""{_quartile_sql('date, sensor')} SELECT CAST(date AS VARCHAR) AS date, sensor, measure
+FROM readings JOIN fences USING (date, sensor) WHERE measure > upper""",
+    ),
+    "empty_append": (
+        _empty_append,
+        f"""{READINGS_SQL} SELECT CAST(date AS VARCHAR) AS date, 'LiMo' AS type, count(*) AS count
+FROM readings GROUP BY date""",
     ),
     "parsed_readings": (
         _parsed_readings,

@@ -75,10 +75,15 @@ def order_statistics(
     keys: Sequence[str],
     ranks: Mapping[str, Rank],
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """The measures at the given ranks of each group, and the group size as ``count``."""
+    """The measures at the given ranks of each group, and the group size as ``count``.
+
+    Counts the groups at call unless their ``sizes`` are given, as all operators here do.
+    """
     rows, by = grouping(readings, keys)
-    return _order_statistics(rows, by, ranks, measure_groups(rows, by, hot_rows)).drop(WHOLE)
+    sizes = sizes or measure_groups(rows, by, hot_rows)
+    return _order_statistics(rows, by, ranks, sizes).drop(WHOLE)
 
 
 QUARTILES = {"q1": quantile_rank(0.25), "median": quantile_rank(0.5), "q3": quantile_rank(0.75)}
@@ -97,18 +102,24 @@ def _fences(rows: DataFrame, keys: list[str], sizes: GroupSizes) -> DataFrame:
 
 
 def quartiles(
-    readings: DataFrame, keys: Sequence[str] = DAY_SENSOR, hot_rows: int = HOT_ROWS
+    readings: DataFrame,
+    keys: Sequence[str] = DAY_SENSOR,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """First quartile, median and third quartile; each is a measure of the group."""
-    return order_statistics(readings, keys, QUARTILES, hot_rows)
+    return order_statistics(readings, keys, QUARTILES, hot_rows, sizes)
 
 
 def boxplot(
-    readings: DataFrame, keys: Sequence[str] = DAY_SENSOR, hot_rows: int = HOT_ROWS
+    readings: DataFrame,
+    keys: Sequence[str] = DAY_SENSOR,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Quartiles with the lower and upper fence."""
     rows, by = grouping(readings, keys)
-    return _fences(rows, by, measure_groups(rows, by, hot_rows)).drop(WHOLE)
+    return _fences(rows, by, sizes or measure_groups(rows, by, hot_rows)).drop(WHOLE)
 
 
 def outliers(
@@ -117,17 +128,18 @@ def outliers(
     side: str = "upper",
     hot_rows: int = HOT_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Measures above the upper fence of their group or, with ``side="both"``, outside the fences."""
     if side not in ("upper", "both"):
         raise ValueError("side must be 'upper' or 'both'")
     rows, by = grouping(readings, keys)
-    sizes = measure_groups(rows, by, hot_rows)
+    sizes = sizes or measure_groups(rows, by, hot_rows, broadcast_rows)
     fences = _fences(rows, by, sizes).select(*by, "lower", "upper")
     outside = F.col("measure") > F.col("upper")
     if side == "both":
         outside = outside | (F.col("measure") < F.col("lower"))
-    compared = join_per_group(rows.select(*by, "measure"), fences, by, sizes, broadcast_rows)
+    compared = join_per_group(rows.select(*by, "measure"), fences, by, sizes)
     return compared.filter(outside).select(*keys, "measure")
 
 
@@ -136,10 +148,11 @@ def top_value(
     keys: Sequence[str] = DEVICE_DAY_SENSOR,
     fraction: float = TOP_FRACTION,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Per group the measure that the share ``fraction`` of its readings precedes in descending
     order, and the number of readings."""
-    return order_statistics(readings, keys, {"topvalue": top_rank(fraction)}, hot_rows)
+    return order_statistics(readings, keys, {"topvalue": top_rank(fraction)}, hot_rows, sizes)
 
 
 def exceed_by_hour(
@@ -147,13 +160,14 @@ def exceed_by_hour(
     keys: Sequence[str] = DEVICE_DAY_SENSOR,
     fraction: float = TOP_FRACTION,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Readings strictly above the top value of their group, counted per hour.
 
     Threshold and comparison share one sorted pass; the readings are not joined to themselves.
     """
     rows, by = grouping(readings, keys)
-    sizes = measure_groups(rows, by, hot_rows)
+    sizes = sizes or measure_groups(rows, by, hot_rows)
 
     def count(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
         compared = _ranked(part, by, hot).group_max(_at(top_rank(fraction)), "_top").rows

@@ -8,7 +8,11 @@ windows then run inside a chunk, and a small table with one row per chunk carrie
 rows from one chunk to the next. Both ways give the same exact result.
 
 The chunk number of a row comes from a sampled range partitioning, so chunked rows are stored before
-anything is computed from them: a second evaluation could cut elsewhere.
+anything is computed from them: a second evaluation could cut elsewhere. More chunks than one shuffle should have
+are cut in two steps, ranges first and then the chunks of some ranges at a time.
+
+Nothing here grows in the driver: it receives counts only. A table is broadcast if its counted rows are few, and
+joined by a shuffle beyond, salted where one key can be hot.
 """
 
 from __future__ import annotations
@@ -21,18 +25,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from sensorloom.session import stored
+from sensorloom.session import scratch_path, stored
 
 # Largest group, in rows, that one task may sort.
 HOT_ROWS = 5_000_000
-# Upper bound for the number of chunks of one split, to keep its shuffle small.
-MAX_CHUNKS = 20_000
+# Chunks that one shuffle cuts; its sampled bounds would be poor for many more.
+SHUFFLE_CHUNKS = 5_000
 # Largest table, in rows of a few numbers and keys, that is sent to every executor.
 BROADCAST_ROWS = 500_000
 # Mean group size, in rows, from which equal measures are merged before they are sorted.
 MERGE_ROWS = 50_000
 
+# Parts into which the rows of a hot key are dealt when they meet a table that is too large to broadcast.
+SALTS = 32
+
 CHUNK = "_chunk"
+RANGE = "_range"
+SALT = "_salt"
 WEIGHT = "_weight"
 WHOLE = "_whole"
 
@@ -53,7 +62,17 @@ class GroupSizes:
     limit: int
     hot: DataFrame | None = None
     hot_groups: int = 0
-    chunks: int = 0
+    hot_total: int = 0
+    broadcast_rows: int = BROADCAST_ROWS
+    shuffle_chunks: int = SHUFFLE_CHUNKS
+
+    @property
+    def chunks(self) -> int:
+        """Chunks for the hot rows, half the row limit each."""
+        return math.ceil(2 * self.hot_total / self.limit)
+
+    def few(self, rows: int) -> bool:
+        return rows <= self.broadcast_rows
 
     @property
     def mixed(self) -> bool:
@@ -64,42 +83,69 @@ class GroupSizes:
         return self.rows / self.groups if self.groups else 0.0
 
 
-def measure_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> GroupSizes:
-    """Count the groups with one partial aggregation. At most rows / hot_rows groups can be hot, so
-    that list is the only thing the driver receives."""
-    seen = Observation()
+def measure_groups(
+    rows: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
+    shuffle_chunks: int = SHUFFLE_CHUNKS,
+) -> GroupSizes:
+    """Count the groups with one partial aggregation, a job that runs at once.
+
+    The keys of the hot groups are stored as a table; the driver receives four numbers.
+    """
+    every, large = Observation(), Observation()
+    count, total = F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))
     hot = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .observe(
-            seen,
-            F.count(F.lit(1)).alias("groups"),
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-        )
+        .observe(every, count.alias("groups"), total.alias("rows"))
         .filter(F.col("_rows") > hot_rows)
+        .observe(large, count.alias("groups"), total.alias("rows"))
+    )
+    table = stored(hot.select(*keys), "hot-keys")
+    sizes = GroupSizes(
+        every.get["groups"],
+        every.get["rows"],
+        hot_rows,
+        broadcast_rows=broadcast_rows,
+        shuffle_chunks=shuffle_chunks,
     )
-    found = hot.collect()
-    groups, counted = seen.get["groups"], seen.get["rows"]
-    if not found:
-        return GroupSizes(groups, counted, hot_rows)
-    total = sum(row["_rows"] for row in found)
-    chunks = min(MAX_CHUNKS, math.ceil(2 * total / hot_rows))
-    frame = rows.sparkSession.createDataFrame(found, hot.schema).select(*keys)
-    return GroupSizes(groups, counted, hot_rows, frame, len(found), chunks)
+    if not large.get["groups"]:
+        return sizes
+    return replace(sizes, hot=table, hot_groups=large.get["groups"], hot_total=large.get["rows"])
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool = True
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    broadcast: bool = False,
+    salted: bool = False,
 ) -> DataFrame:
-    """Null-safe join with a table that has unique ``on`` columns; a small one is broadcast."""
+    """Null-safe join with a table that has unique ``on`` columns.
+
+    ``salted`` deals the rows of a key into parts and repeats the table for each, for keys that hold many rows.
+    """
+    on = list(on)
+    if salted and not broadcast:
+        spread = rows.withColumn(SALT, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        return lookup(spread, table.withColumn(SALT, parts), [*on, SALT], how).drop(SALT)
     renamed = table.withColumnsRenamed({name: f"_to_{name}" for name in on})
     same = reduce(
         lambda a, b: a & b, (F.col(name).eqNullSafe(F.col(f"_to_{name}")) for name in on)
     )
-    joined = rows.join(F.broadcast(renamed) if small else renamed, same, how)
+    joined = rows.join(F.broadcast(renamed) if broadcast else renamed, same, how)
     return joined.drop(*(f"_to_{name}" for name in on))
 
 
+def _of_hot(rows: DataFrame, keys: Sequence[str], sizes: GroupSizes, how: str) -> DataFrame:
+    """Rows of the hot groups, or with ``left_anti`` of the others."""
+    return lookup(rows, sizes.hot, keys, how, sizes.few(sizes.hot_groups), salted=True)
+
+
 def by_size(
     rows: DataFrame,
     keys: Sequence[str],
@@ -110,29 +156,27 @@ def by_size(
     if there are any, with the sizes to the hot ones."""
     if not sizes.mixed:
         return work(rows, sizes if sizes.hot_groups else None)
-    whole = work(lookup(rows, sizes.hot, keys, "left_anti"), None)
-    return whole.unionByName(work(lookup(rows, sizes.hot, keys, "left_semi"), sizes))
+    whole = work(_of_hot(rows, keys, sizes, "left_anti"), None)
+    return whole.unionByName(work(_of_hot(rows, keys, sizes, "left_semi"), sizes))
 
 
 def join_per_group(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    sizes: GroupSizes,
-    broadcast_rows: int = BROADCAST_ROWS,
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], sizes: GroupSizes
 ) -> DataFrame:
     """Inner join of rows with a table that has one row per group, whose sizes are known.
 
-    The table is broadcast if the groups are few. Beyond that the groups below the row limit are
-    joined by a shuffle, and only the table rows of the hot ones, which are few, are broadcast.
+    The table is broadcast if the groups are few. Beyond that the groups below the row limit are joined by a
+    shuffle, in which no key exceeds the limit. The hot ones meet the table rows of their own, broadcast if
+    these are few and by a salted shuffle otherwise.
     """
-    if sizes.groups <= broadcast_rows:
-        return lookup(rows, table, keys, "inner")
+    if sizes.few(sizes.groups):
+        return lookup(rows, table, keys, "inner", broadcast=True)
 
     def joined(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
         if hot is None:
-            return lookup(part, table, keys, "inner", small=False)
-        return lookup(part, lookup(table, sizes.hot, keys, "left_semi"), keys, "inner")
+            return lookup(part, table, keys, "inner")
+        of_hot = lookup(table, sizes.hot, keys, "left_semi", sizes.few(sizes.hot_groups))
+        return lookup(part, of_hot, keys, "inner", sizes.few(sizes.hot_groups), salted=True)
 
     return by_size(rows, keys, sizes, joined)
 
@@ -156,7 +200,10 @@ def by_merged_size(
     def prepared(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
         if hot is not None:
             fewer = stored(merged(part), "merged")
-            return by_size(fewer, keys, measure_groups(fewer, keys, sizes.limit), work)
+            again = measure_groups(
+                fewer, keys, sizes.limit, sizes.broadcast_rows, sizes.shuffle_chunks
+            )
+            return by_size(fewer, keys, again, work)
         if sizes.mean_rows >= MERGE_ROWS:
             return work(merged(part), None)
         return work(part.withColumn(WEIGHT, F.lit(1).cast("long")), None)
@@ -164,6 +211,31 @@ def by_merged_size(
     return by_size(rows, keys, sizes, prepared)
 
 
+def cut_into_chunks(rows: DataFrame, order: list[str], hot: GroupSizes) -> DataFrame:
+    """Rows with the number of their chunk, stored. Chunks follow one another in the given order."""
+    if hot.chunks <= hot.shuffle_chunks:
+        cut = rows.repartitionByRange(hot.chunks, *order)
+        return stored(cut.withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
+    ranges = stored(
+        rows.repartitionByRange(hot.shuffle_chunks, *order).withColumn(
+            RANGE, F.spark_partition_id()
+        ),
+        "ranges",
+        partition_by=RANGE,
+    )
+    # Some consecutive ranges at a time are cut again, by bounds sampled from them alone.
+    batches = min(math.ceil(hot.chunks / hot.shuffle_chunks), hot.shuffle_chunks)
+    width = math.ceil(hot.chunks / batches)
+    path = scratch_path(rows.sparkSession, "chunks")
+    for batch in range(batches):
+        first, end = (hot.shuffle_chunks * b // batches for b in (batch, batch + 1))
+        part = ranges.filter((F.col(RANGE) >= first) & (F.col(RANGE) < end)).drop(RANGE)
+        cut = part.repartitionByRange(width, *order)
+        numbered = cut.withColumn(CHUNK, F.spark_partition_id().cast("long") + batch * width)
+        numbered.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class OrderedGroups:
     """Rows whose groups are either all whole or all cut into numbered chunks."""
@@ -171,20 +243,22 @@ class OrderedGroups:
     rows: DataFrame
     keys: list[str]
     order: list[str]
-    split: bool
+    hot: GroupSizes | None
+
+    @property
+    def split(self) -> bool:
+        return self.hot is not None
 
     @classmethod
     def of(
         cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: GroupSizes | None
     ) -> OrderedGroups:
-        """``hot`` tells how many chunks to cut the rows into; None leaves the groups whole."""
+        """``hot`` tells how many chunks to cut the rows into, which stores them at once; None leaves the groups
+        whole."""
         keys, order = list(keys), list(order)
         if hot is None:
-            return cls(rows, keys, order, False)
-        cut = rows.repartitionByRange(hot.chunks, *keys, *order)
-        return cls(
-            stored(cut.withColumn(CHUNK, F.spark_partition_id()), "chunks"), keys, order, True
-        )
+            return cls(rows, keys, order, None)
+        return cls(cut_into_chunks(rows, [*keys, *order], hot), keys, order, hot)
 
     @property
     def _cell(self) -> list[str]:
@@ -198,6 +272,11 @@ class OrderedGroups:
     def _chunk_order(self):
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
+    def _beside(self, rows: DataFrame, per_chunk: DataFrame) -> DataFrame:
+        """Rows with a table that has one row per group and chunk. By a shuffle a cell of it meets one chunk."""
+        few = self.hot.few(self.hot.hot_groups + self.hot.chunks)
+        return lookup(rows, per_chunk, self._cell, broadcast=few)
+
     def _per_chunk(self, **values: Column) -> DataFrame:
         """One row per chunk."""
         aggregates = (value.alias(name) for name, value in values.items())
@@ -228,7 +307,7 @@ class OrderedGroups:
                 F.sum("_amount").over(earlier).alias("_earlier"),
                 F.sum("_amount").over(Window.partitionBy(*self.keys)).alias("_all"),
             )
-            rows = lookup(rows, offsets, self.keys + [CHUNK])
+            rows = self._beside(rows, offsets)
             rows = rows.withColumn(before, F.col(before) + F.coalesce("_earlier", F.lit(0)))
             if total:
                 rows = rows.withColumn(total, F.col("_all"))
@@ -248,7 +327,7 @@ class OrderedGroups:
         last = self._per_chunk(_last=F.max_by(values, F.struct(*self.order)))
         carried = last.withColumn("_last", F.lag("_last").over(self._chunk_order))
         rows = self.rows.withColumns({**earlier, "_place": F.row_number().over(ordered)})
-        rows = lookup(rows, carried, self.keys + [CHUNK])
+        rows = self._beside(rows, carried)
         first = F.col("_place") == 1
         filled = {name: F.when(first, F.col(f"_last.{name}")).otherwise(F.col(name)) for name in fields}
         return self._with(rows.withColumns(filled).drop("_place", "_last"))
@@ -274,7 +353,7 @@ class OrderedGroups:
         latest = latest.withColumns(
             {name: F.last(name, ignorenulls=True).over(earlier) for name in carried}
         )
-        rows = lookup(rows, latest, self.keys + [CHUNK])
+        rows = self._beside(rows, latest)
         filled = {name: F.coalesce(name, f"_latest_{name}") for name in fields}
         return self._with(rows.withColumns(filled).drop(*carried))
 
@@ -284,4 +363,5 @@ class OrderedGroups:
             whole = Window.partitionBy(*self.keys)
             return self._with(self.rows.withColumn(name, F.max(value).over(whole)))
         largest = self.rows.groupBy(*self.keys).agg(F.max(value).alias(name))
-        return self._with(lookup(self.rows, largest, self.keys))
+        few = self.hot.few(self.hot.hot_groups)
+        return self._with(lookup(self.rows, largest, self.keys, broadcast=few, salted=True))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import replace
 from itertools import combinations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.ordered import (
@@ -25,6 +27,8 @@ from sensorloom.operators.stats import only_sensors
 from sensorloom.session import stored
 
 POSITION = "position"
+# Aligned rows in one partition of a clustering, whatever the session's settings.
+CLUSTER_ROWS = 1_000_000
 
 
 def align(
@@ -33,15 +37,19 @@ def align(
     keys: Sequence[str] = ("date",),
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """The i-th reading of each sensor side by side, one column per sensor, per group.
 
     The sequences end with the shortest one. ``drop_last`` gives up the last reading of each sensor,
     which shortens the result by one row. A group without some sensor has no rows.
+
+    Counts the readings per group and sensor at call unless ``sizes`` of these are given; so do the correlations
+    and clusters below, which align first.
     """
     rows, by = grouping(readings, keys)
     listed = only_sensors(rows, sensors)
-    sizes = measure_groups(listed, [*by, "sensor"], hot_rows)
+    sizes = sizes or measure_groups(listed, [*by, "sensor"], hot_rows)
     return _align(listed, sensors, by, drop_last, sizes).drop(WHOLE)
 
 
@@ -78,9 +86,10 @@ def pearson(
     keys: Sequence[str] = ("date",),
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Pearson correlation of two aligned sensors per group, and the number of pairs."""
-    pairs, by = grouping(align(readings, [a, b], keys, drop_last, hot_rows), keys)
+    pairs, by = grouping(align(readings, [a, b], keys, drop_last, hot_rows, sizes), keys)
     return (
         pairs.groupBy(*by)
         .agg(_correlation(a, b).alias("corr"), F.count(F.lit(1)).alias("pairs"))
@@ -95,12 +104,21 @@ def spearman(
     keys: Sequence[str] = ("date",),
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Rank correlation of two aligned sensors per group; equal values share their mean rank."""
+    """Rank correlation of two aligned sensors per group; equal values share their mean rank.
+
+    Counts the readings per group at call, unless ``sizes`` of the groups are given, and once more per group and
+    sensor if there are hot ones. Hot groups are aligned and merged into tables at call, too.
+    """
     rows, by = grouping(only_sensors(readings, [a, b]), keys)
     # Aligned rows are at most as many as readings, so the sizes of the readings bound theirs.
-    sizes = measure_groups(rows, by, hot_rows)
-    of_sensors = measure_groups(rows, [*by, "sensor"], hot_rows) if sizes.hot_groups else sizes
+    sizes = sizes or measure_groups(rows, by, hot_rows)
+    of_sensors = sizes
+    if sizes.hot_groups:
+        of_sensors = measure_groups(
+            rows, [*by, "sensor"], sizes.limit, sizes.broadcast_rows, sizes.shuffle_chunks
+        )
     aligned = _align(rows, [a, b], by, drop_last, of_sensors)
     if sizes.mixed:
         aligned = stored(aligned, "aligned")
@@ -113,8 +131,10 @@ def spearman(
 
 def _spearman_whole(aligned: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     def mean_rank(value: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+        # Equal values are peers in the window that ranks them, so one sort serves both.
+        ranked = Window.partitionBy(*by).orderBy(value)
+        peers = ranked.rangeBetween(Window.currentRow, Window.currentRow)
+        return F.rank().over(ranked) + (F.count(F.lit(1)).over(peers) - 1) / 2
 
     return (
         aligned.withColumn("_rank_a", mean_rank(a))
@@ -147,9 +167,32 @@ def _spearman_hot(
                 *by, value, centred.alias(f"_rank{value}")
             )
 
-        counted = pairs.groupBy(*by, value).agg(F.sum(WEIGHT).alias(WEIGHT))
-        ranks = by_size(counted, by, measure_groups(counted, by, sizes.limit), rank)
-        of_values = measure_groups(pairs, [*by, value], sizes.limit)
+        # The merged values tell their own sizes while they are stored.
+        seen, large = Observation(), F.col("_rows") > sizes.limit
+        counted = pairs.groupBy(*by, value).agg(
+            F.sum(WEIGHT).alias(WEIGHT), F.count(F.lit(1)).alias("_rows")
+        )
+        counted = stored(
+            counted.observe(
+                seen,
+                F.count(F.lit(1)).alias("groups"),
+                F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+                F.count_if(large).alias("hot"),
+                F.coalesce(F.sum(F.when(large, F.col("_rows"))), F.lit(0)).alias("hot_rows"),
+            ),
+            "values",
+        )
+        found = seen.get
+        of_values = replace(
+            sizes,
+            groups=found["groups"],
+            rows=found["rows"],
+            hot=counted.filter(large).select(*by, value),
+            hot_groups=found["hot"],
+            hot_total=found["hot_rows"],
+        )
+        # The sizes of the readings bound those of the values, too.
+        ranks = by_size(counted.drop("_rows"), by, sizes, rank)
         return join_per_group(rows, ranks, [*by, value], of_values)
 
     weight, x, y = F.col(WEIGHT), F.col("_rank_a"), F.col("_rank_b")
@@ -170,13 +213,14 @@ def corr_matrix(
     keys: Sequence[str] = ("date",),
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Pearson correlation of every pair of sensors per group, one row per ordered pair.
 
     All pairs are computed in one aggregation, whose state is a fixed number of moments per group.
     """
     sensors = list(sensors)
-    aligned, by = grouping(align(readings, sensors, keys, drop_last, hot_rows), keys)
+    aligned, by = grouping(align(readings, sensors, keys, drop_last, hot_rows, sizes), keys)
     pairs = list(combinations(range(len(sensors)), 2))
     moments = aligned.groupBy(*by).agg(
         *(F.stddev_pop(s).alias(f"_s{i}") for i, s in enumerate(sensors)),
@@ -229,6 +273,7 @@ def kmeans_clusters(
     keys: Sequence[str] = (),
     drop_last: bool = True,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Centre and size of each cluster of the aligned readings.
 
@@ -236,9 +281,14 @@ def kmeans_clusters(
     The k centres pass through the driver, as Spark's own model does.
     """
     sensors = list(sensors)
-    aligned = align(readings, sensors, keys, drop_last, hot_rows)
-    # The fit reads its rows many times: from a table, in a fixed order so that the seed decides.
-    aligned = stored(aligned.sortWithinPartitions(*keys, POSITION), "aligned")
+    aligned = align(readings, sensors, keys, drop_last, hot_rows, sizes)
+    # The fit reads its rows many times, from a table. Its start points depend on how rows lie in partitions, so
+    # that is fixed by the rows alone: their number, their hash and their order.
+    seen = Observation()
+    aligned = stored(aligned.observe(seen, F.count(F.lit(1)).alias("rows")), "aligned")
+    parts = max(1, math.ceil(seen.get["rows"] / CLUSTER_ROWS))
+    place = [*keys, POSITION]
+    aligned = aligned.repartition(parts, *place).sortWithinPartitions(*place)
     model, clustered = fit_clusters(aligned, sensors, k, max_iter, seed)
     names = [f"sensor{i}" for i in range(1, len(sensors) + 1)]
     centres = [

@@ -21,9 +21,6 @@ DAY_SECONDS = 86_400
 # Supply voltage while a device runs, and watt seconds per kilowatt hour.
 VOLTAGE = 10_000
 WATT_SECONDS = 1_000 * 3_600
-# The mean current is cut here, so that the order in which tasks add up doubles cannot turn the
-# rounding of the energy.
-MEAN_DECIMALS = 9
 
 
 def round_cents(amount: Column) -> Column:
@@ -34,12 +31,18 @@ def round_cents(amount: Column) -> Column:
     return F.round(amount * 100) / 100
 
 
+def energy(avg_current: Column, runtime: Column) -> Column:
+    """Kilowatt hours, to two decimals, of a mean current over some seconds."""
+    return round_cents(VOLTAGE * avg_current * runtime / WATT_SECONDS)
+
+
 def restart_count(
     readings: DataFrame,
     status_sensor: str,
     keys: Sequence[str] = DEVICE_DAY,
     open_start: bool = False,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Restarts and time between recorded transitions, per group.
 
@@ -50,6 +53,8 @@ def restart_count(
 
     If a group starts in a positive state its first recorded time is a stop, and the pairs then
     measure the idle time. ``open_start`` records the first row's time in that case.
+
+    Counts the status rows per group at call unless the ``sizes`` of the groups are given.
     """
     keys = list(keys)
     status = readings.filter(F.col("sensor") == status_sensor).select(
@@ -80,7 +85,7 @@ def restart_count(
             F.max("local_ts").cast("date").alias("_last_day"),
         )
 
-    summary = by_size(status, keys, measure_groups(status, keys, hot_rows), summarise)
+    summary = by_size(status, keys, sizes or measure_groups(status, keys, hot_rows), summarise)
     times = F.col("_times")
     midnight = (F.floor(F.col("_last_time") / DAY_SECONDS) + 1) * DAY_SECONDS
     spent = (
@@ -192,7 +197,7 @@ def _with_mean_current(
             F.max("starttime").alias("starttime"),
             F.max("stoptime").alias("stoptime"),
             F.max("closed").alias("closed"),
-            F.round(F.try_divide(F.sum("amount"), F.sum("number")), MEAN_DECIMALS).alias("avg_current"),
+            F.try_divide(F.sum("amount"), F.sum("number")).alias("avg_current"),
         )
     )
 
@@ -203,11 +208,13 @@ def run_sessions(
     current_sensor: str,
     keys: Sequence[str] = DEVICE_DAY,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Run sessions with runtime in seconds, mean current and energy; one row per session.
 
     ``closed`` tells a session that ended with a stopped state from one that was still running at the
-    group's last status row. Without current readings the energy is NULL.
+    group's last status row. Without current readings the energy is NULL. Counts the rows of both sensors per group
+    at call unless the ``sizes`` of the groups are given.
     """
     keys = list(keys)
     used = readings.filter(F.col("sensor").isin(status_sensor, current_sensor)).select(
@@ -219,9 +226,8 @@ def run_sessions(
         current = part.filter(F.col("sensor") == current_sensor).drop("sensor", "seq")
         return _with_mean_current(_runs(status, keys, hot), current, keys, hot)
 
-    runs = by_size(used, keys, measure_groups(used, keys, hot_rows), work)
+    runs = by_size(used, keys, sizes or measure_groups(used, keys, hot_rows), work)
     runtime = wall_seconds(F.col("stoptime")) - wall_seconds(F.col("starttime"))
-    energy = VOLTAGE * F.col("avg_current") * F.col("runtime") / WATT_SECONDS
     return runs.withColumn("runtime", runtime).select(
         *keys,
         "run",
@@ -230,7 +236,7 @@ def run_sessions(
         "runtime",
         "closed",
         "avg_current",
-        round_cents(energy).alias("kwh"),
+        energy(F.col("avg_current"), F.col("runtime")).alias("kwh"),
     )
 
 

@@ -1,6 +1,9 @@
 """The daily reports: which readings each uses, what it computes and which table it fills.
 
     spark-submit sensorloom/plans/daily.py <report> <date> --input '/data/{date}.csv' --output /results
+    spark-submit sensorloom/plans/daily.py <report> <date> --input /data/device-days --input-format parquet --output /results
+
+A path with ``{date}`` names the day's own file. Any other path holds many days, of which the report takes the one.
 """
 
 from __future__ import annotations
@@ -13,15 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import limits, relations, sessions, stats
-from sensorloom.session import stored
+from sensorloom.session import released_copies, stored
 from sensorloom.sinks.tables import (
     CONTRACTS,
+    dates_of,
     existing_result,
+    replace_days,
     without_existing,
     write_result,
 )
 from sensorloom.sources import sensors
-from sensorloom.sources.readings import parse_readings, read_raw, read_readings
+from sensorloom.sources.readings import on_day, parse_readings, read_raw, read_readings, read_table
 
 
 @dataclass(frozen=True)
@@ -86,31 +91,44 @@ REPORTS: Mapping[str, Report] = {
 }
 
 # Reports that only show their result.
-VIEWS: Mapping[str, Callable[[DataFrame], DataFrame]] = {
-    "count-view": lambda r: stats.first_rows(
-        stats.sensor_count(r), ["date", "deviceid", "sensor"]
+VIEWS: Mapping[str, Report] = {
+    "count-view": Report(
+        "", lambda r: stats.first_rows(stats.sensor_count(r), ["date", "deviceid", "sensor"])
     ),
-    "pearson": lambda r: relations.pearson(r, *sensors.PAIR),
-    "spearman": lambda r: relations.spearman(r, *sensors.PAIR),
+    "pearson": Report("", lambda r: relations.pearson(r, *sensors.PAIR), sensors.PAIR, passes=2),
+    "spearman": Report("", lambda r: relations.spearman(r, *sensors.PAIR), sensors.PAIR, passes=2),
 }
 
 
-def report_input(spark: SparkSession, name: str, path: str, date: str) -> DataFrame:
-    """The day's readings. The device list needs no time, so it also counts rows with a bad one."""
-    if name == "device-type":
-        return parse_readings(read_raw(spark, path, date))
-    return read_readings(spark, path, date)
-
+def report_input(
+    spark: SparkSession, name: str, path: str, date: str, input_format: str = "csv"
+) -> DataFrame:
+    """The day's readings of the report's sensors.
 
-def compute(spark: SparkSession, name: str, path: str, date: str) -> DataFrame:
-    readings = report_input(spark, name, path, date)
-    if name in VIEWS:
-        return VIEWS[name](readings)
-    report = REPORTS[name]
-    readings = stats.only_sensors(readings, report.sensors)
+    The device list needs no time, so from a file of the day it also counts rows with a bad one.
+    """
+    report = VIEWS.get(name) or REPORTS[name]
+    if input_format == "parquet":
+        return stats.only_sensors(
+            read_table(spark, path.replace("{date}", date), date), report.sensors
+        )
+    if "{date}" in path and name == "device-type":
+        return parse_readings(read_raw(spark, path, date), sensors=report.sensors)
+    readings = read_readings(spark, path, date, sensors=report.sensors)
+    return readings if "{date}" in path else on_day(readings, date)
+
+
+def compute(
+    spark: SparkSession, name: str, path: str, date: str, input_format: str = "csv"
+) -> DataFrame:
+    """The report of one day. ``input_format`` is ``csv`` or ``parquet``, which includes the device-day layout."""
+    report = VIEWS.get(name) or REPORTS[name]
+    readings = report_input(spark, name, path, date, input_format)
     if report.passes > 1:
         readings = stored(readings, "readings")
     result = report.compute(readings)
+    if name in VIEWS:
+        return result
     if "date" in CONTRACTS[report.table].names and "date" not in result.columns:
         result = result.withColumn("date", F.lit(date))
     return result
@@ -125,28 +143,37 @@ def run(
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
     skip_existing: bool = False,
+    input_format: str = "csv",
 ) -> None:
     """Compute a report and append it to its table, or show it if it has none.
 
-    ``skip_existing`` leaves out rows whose key the table already holds.
+    ``skip_existing`` makes a rerun safe: rows whose key the table already holds are left out, and in a table without
+    a key the days of the result are replaced. Copies that operators store are deleted at the end.
     """
-    result = compute(spark, name, path, date)
-    if name in VIEWS:
-        result.show()
-        return
-    table = REPORTS[name].table
-    if skip_existing:
-        existing = existing_result(spark, table, output, fmt, options)
-        if existing is not None:
-            result = without_existing(result, existing, table)
-    write_result(result, table, output, fmt, options)
+    with released_copies(spark):
+        result = compute(spark, name, path, date, input_format)
+        if name in VIEWS:
+            result.show()
+            return
+        table = REPORTS[name].table
+        if skip_existing and not CONTRACTS[table].key:
+            replace_days(result, table, output, fmt, options)
+            return
+        if skip_existing:
+            result = stored(result, "result")
+            existing = existing_result(spark, table, output, fmt, options)
+            if existing is not None:
+                dates = dates_of(result) if "date" in result.columns else None
+                result = without_existing(result, existing, table, dates)
+        write_result(result, table, output, fmt, options)
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(description="Run one daily report.")
     parser.add_argument("report", choices=sorted({**REPORTS, **VIEWS}))
     parser.add_argument("date")
-    parser.add_argument("--input", required=True, help="path of the readings; {date} is filled in")
+    parser.add_argument("--input", required=True, help="path of the readings; {date} is filled in, other paths are filtered by the date")
+    parser.add_argument("--input-format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--output", help="folder of the result tables")
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE")
@@ -156,7 +183,7 @@ def main() -> None:
     spark = SparkSession.builder.appName(f"sensorloom-{args.report}").getOrCreate()
     run(
         spark, args.report, args.input, args.date, args.output, args.format, options,
-        args.skip_existing,
+        args.skip_existing, args.input_format,
     )
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -35,32 +37,70 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the session.
 
     Only a local-mode session may fall back to a temporary folder: on a cluster that would be a
-    different folder on each machine.
+    different folder on each machine, and so would be any folder of the local file system.
     """
     context = spark.sparkContext
+    local = context.master.startswith("local")
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
+        if not local:
+            refuse_machine_local(spark, folder)
         return folder
-    if not context.master.startswith("local"):
+    if not local:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="sensorloom-"))
     return context.getCheckpointDir()
 
 
+def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """A path of the session's file systems, and the file system it is on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def refuse_machine_local(spark: SparkSession, path: str) -> None:
+    folder, system = _folder(spark, path)
+    if system.getUri().getScheme() == "file":
+        raise ValueError(f"{folder} is on one machine; set {CHECKPOINT_SETTING} to a shared folder")
+
+
+_open_copies: list[list[str]] = []
+
+
+@contextmanager
+def released_copies(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block every copy that was stored in it.
+
+    Results that read such copies must have been written or collected by then. Copies stored outside a
+    block are deleted when the application ends.
+    """
+    _open_copies.append([])
+    try:
+        yield
+    finally:
+        for path in _open_copies.pop():
+            folder, system = _folder(spark, path)
+            system.delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, under a folder of this application that is removed with it."""
     own = f"{shared_folder(spark).rstrip('/')}/sensorloom-{spark.sparkContext.applicationId}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return f"{own}/{label}-{uuid.uuid4().hex}"
+    folder, system = _folder(spark, own)
+    system.deleteOnExit(folder)
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    if _open_copies:
+        _open_copies[-1].append(path)
+    return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     Later stages start from that table, whatever executors are lost meanwhile. It is columnar, so
     they read only the columns they use, which a checkpoint of the rows would not allow.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

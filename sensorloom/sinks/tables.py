@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -97,10 +97,25 @@ def duplicate_keys(result: DataFrame, table: str) -> DataFrame:
     return result.groupBy(*key).count().filter("count > 1")
 
 
-def without_existing(result: DataFrame, existing: DataFrame, table: str) -> DataFrame:
-    """Rows whose key the table does not hold yet, so that a day can be run again."""
+def dates_of(result: DataFrame) -> list[str]:
+    """The distinct dates of a result, as text; a daily report has one or two. Runs a job."""
+    return sorted(row[0] for row in result.select(F.col("date").cast("string")).distinct().collect())
+
+
+def without_existing(
+    result: DataFrame, existing: DataFrame, table: str, dates: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows whose key the table does not hold yet, so that a day can be run again.
+
+    Only the dates of the result are read from the table. They may be given; otherwise the result is
+    computed once to find them.
+    """
     key = list(CONTRACTS[table].key)
-    return conform(result, table).join(existing.select(*key), key, "left_anti") if key else result
+    if not key:
+        raise ValueError(f"{table} has no key; replace its days with replace_days")
+    if "date" in CONTRACTS[table].names:
+        existing = existing.filter(F.col("date").isin(dates_of(result) if dates is None else list(dates)))
+    return conform(result, table).join(existing.select(*key), key, "left_anti")
 
 
 def write_result(
@@ -110,22 +125,44 @@ def write_result(
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
     mode: str = "append",
+    leave_out: Sequence[str] = (),
 ) -> None:
     """Append a result to its table.
 
-    File formats write to ``path/table``. ``fmt="jdbc"`` writes to the relational table of that name
-    with the caller's connection options, in batches.
+    File formats write to ``path/table``, one folder per date. ``fmt="jdbc"`` writes to the relational table of
+    that name with the caller's connection options, in batches. ``leave_out`` names columns that a table made
+    elsewhere does not have, such as the row label of the matrix.
     """
     writer = (
         conform(result, table)
+        .drop(*leave_out)
         .write.format(fmt)
         .mode(mode)
         .options(**sink_options(fmt, table, options))
     )
     if fmt == "jdbc":
         writer.save()
-    else:
-        writer.save(table_path(path, table))
+        return
+    if "date" in CONTRACTS[table].names:
+        writer = writer.partitionBy("date")
+    writer.save(table_path(path, table))
+
+
+def replace_days(
+    result: DataFrame,
+    table: str,
+    path: str | None = None,
+    fmt: str = "parquet",
+    options: Mapping[str, str] | None = None,
+) -> None:
+    """Write a result in place of what its table holds of the same dates; other dates stay.
+
+    A date without rows in the result keeps its old ones. Relational tables cannot be replaced by day.
+    """
+    if fmt == "jdbc":
+        raise ValueError("days of a relational table cannot be replaced; delete them there first")
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    write_result(result, table, path, fmt, {**(options or {}), **dynamic}, mode="overwrite")
 
 
 def sink_options(fmt: str, table: str, options: Mapping[str, str] | None) -> dict[str, str]:
@@ -169,9 +206,10 @@ def existing_result(
 
 
 def write_device_days(
-    readings: DataFrame, path: str, mode: str = "append", files: int | None = None
+    readings: DataFrame, path: str, mode: str = "overwrite", files: int | None = None
 ) -> None:
-    """Split readings by local day and device, in time order.
+    """Split readings by local day and device, in time order. Days that are written replace what the layout holds of
+    them, so a day can be run again; ``append`` adds to them instead.
 
     One directory per day; inside it rows are laid out by device and time, so a scan for one device
     skips the other row groups. The range partitioning gives files of even size however unequal the
@@ -186,6 +224,7 @@ def write_device_days(
         .sortWithinPartitions(*layout)
         .drop("seq")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
     )

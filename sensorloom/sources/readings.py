@@ -56,8 +56,15 @@ def read_raw(spark: SparkSession, path: str, date: str | None = None) -> DataFra
     return lines.select("*", position.alias("seq"))
 
 
-def parse_readings(raw: DataFrame, offset_hours: int = OFFSET_HOURS) -> DataFrame:
-    """Typed columns from text fields. A row whose time cannot be read gets a NULL ``ts``."""
+def parse_readings(
+    raw: DataFrame, offset_hours: int = OFFSET_HOURS, sensors: Iterable[str] | None = None
+) -> DataFrame:
+    """Typed columns from text fields. A row whose time cannot be read gets a NULL ``ts``.
+
+    ``sensors`` are chosen by the text field itself, so that a scan can skip the other lines.
+    """
+    if sensors is not None:
+        raw = raw.filter(F.col("sensor").isin(list(sensors)))
     typed = raw.select(
         F.coalesce("deviceid", F.lit("")).alias("deviceid"),
         F.coalesce("sensor", F.lit("")).alias("sensor"),
@@ -93,9 +100,29 @@ def read_readings(
     path: str,
     date: str | None = None,
     offset_hours: int = OFFSET_HOURS,
+    sensors: Iterable[str] | None = None,
 ) -> DataFrame:
     """Readings of a path or, with ``{date}`` in it, of that day's file."""
-    return accepted(parse_readings(read_raw(spark, path, date), offset_hours))
+    return accepted(parse_readings(read_raw(spark, path, date), offset_hours, sensors))
+
+
+def read_table(
+    spark: SparkSession, path: str, date: str | None = None, offset_hours: int = OFFSET_HOURS
+) -> DataFrame:
+    """Readings of a Parquet table with deviceid, sensor, measure and ts, or of its slices of one local day.
+
+    A table partitioned by ``date``, as the device-day layout is, opens only that day's folder. Without a ``seq``
+    column readings of equal time follow their place in the files.
+    """
+    rows = spark.read.parquet(path)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    seq = F.col("seq") if "seq" in rows.columns else place
+    if date is not None and "date" in rows.columns:
+        rows = rows.filter(F.col("date") == F.lit(date).cast("date"))
+    typed = readings_from_columns(
+        rows.withColumn("_seq", seq), "deviceid", "sensor", "measure", "ts", "_seq", offset_hours
+    )
+    return typed if date is None else on_day(typed, date, offset_hours)
 
 
 def readings_from_columns(

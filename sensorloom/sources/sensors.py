@@ -17,7 +17,7 @@ MATRIX = [
     "L0080", "L0090", "L0092",
 ]
 
-PAIR = ["L0080", "L0091"]
+PAIR = ["L0091", "L0080"]
 CLUSTERED = ["L0067", "L0075", "L0080"]
 OUTLIER = "L0080"
 STATUS = "L0082"
