@@ -113,7 +113,7 @@ def report_input(
             read_table(spark, path.replace("{date}", date), date), report.sensors
         )
     if "{date}" in path and name == "device-type":
-        return parse_readings(read_raw(spark, path, date), sensors=report.sensors)
+        return parse_readings(read_raw(spark, path, date, report.sensors))
     readings = read_readings(spark, path, date, sensors=report.sensors)
     return readings if "{date}" in path else on_day(readings, date)
 

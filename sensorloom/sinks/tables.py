@@ -186,7 +186,7 @@ def read_result(
     reader = spark.read.format(fmt).options(**sink_options(fmt, table, options))
     if fmt == "jdbc":
         return reader.load()
-    return reader.schema(CONTRACTS[table].columns).load(table_path(path, table))
+    return reader.schema(CONTRACTS[table].columns).load(table_path(path, table)).select(CONTRACTS[table].names)
 
 
 def existing_result(

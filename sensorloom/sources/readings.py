@@ -34,11 +34,14 @@ RAW_SCHEMA = T.StructType(
 DOCUMENT_FIELDS = ["deviceid", "topic", "sensor", "measure", "timestamp"]
 
 
-def read_raw(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
+def read_raw(
+    spark: SparkSession, path: str, date: str | None = None, sensors: Iterable[str] | None = None
+) -> DataFrame:
     """Text fields of comma-separated files with a header line; quotes have no meaning.
 
     ``{date}`` in the path is replaced by the date, for layouts with one file per day. ``seq`` follows
-    the position in the file.
+    the position in the file. ``sensors`` are chosen by the text field itself and before anything else, so that
+    the scan can skip the other lines.
     """
     if date is not None:
         path = path.replace("{date}", date)
@@ -49,6 +52,8 @@ def read_raw(spark: SparkSession, path: str, date: str | None = None) -> DataFra
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
+    if sensors is not None:
+        lines = lines.filter(F.col("sensor").isin(list(sensors)))
     position = F.struct(
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
@@ -56,15 +61,8 @@ def read_raw(spark: SparkSession, path: str, date: str | None = None) -> DataFra
     return lines.select("*", position.alias("seq"))
 
 
-def parse_readings(
-    raw: DataFrame, offset_hours: int = OFFSET_HOURS, sensors: Iterable[str] | None = None
-) -> DataFrame:
-    """Typed columns from text fields. A row whose time cannot be read gets a NULL ``ts``.
-
-    ``sensors`` are chosen by the text field itself, so that a scan can skip the other lines.
-    """
-    if sensors is not None:
-        raw = raw.filter(F.col("sensor").isin(list(sensors)))
+def parse_readings(raw: DataFrame, offset_hours: int = OFFSET_HOURS) -> DataFrame:
+    """Typed columns from text fields. A row whose time cannot be read gets a NULL ``ts``."""
     typed = raw.select(
         F.coalesce("deviceid", F.lit("")).alias("deviceid"),
         F.coalesce("sensor", F.lit("")).alias("sensor"),
@@ -103,7 +101,7 @@ def read_readings(
     sensors: Iterable[str] | None = None,
 ) -> DataFrame:
     """Readings of a path or, with ``{date}`` in it, of that day's file."""
-    return accepted(parse_readings(read_raw(spark, path, date), offset_hours, sensors))
+    return accepted(parse_readings(read_raw(spark, path, date, sensors), offset_hours))
 
 
 def read_table(

@@ -1,13 +1,17 @@
 import csv
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 
 from sensorloom.plans import daily
+from sensorloom.session import shared_folder
 from sensorloom.sinks import tables
 from sensorloom.sources import sensors
+from sensorloom.sources.readings import read_readings
 from tests.build import dicts
+from tests.oracle import canonical
 
 DAY = "2017-06-17"
 NAMES = sorted({*sensors.COUNTED, *sensors.LIMITED, *sensors.MATRIX, *sensors.PAIR})
@@ -49,8 +53,8 @@ def test_report_fills_its_table(spark, day_path, tmp_path, name):
         assert {row["date"] for row in rows} == {DAY}
     if tables.CONTRACTS[table].key:
         assert tables.duplicate_keys(written, table).count() == 0
-        daily.run(spark, name, day_path, DAY, str(tmp_path), skip_existing=True)
-        assert tables.read_result(spark, table, str(tmp_path)).count() == len(rows)
+    daily.run(spark, name, day_path, DAY, str(tmp_path), skip_existing=True)
+    assert tables.read_result(spark, table, str(tmp_path)).count() == len(rows)
 
 
 def test_device_list_ignores_times(spark, day_path):
@@ -75,3 +79,37 @@ def test_matrix_report_has_thirteen_rows(spark, day_path):
 def test_views_show(spark, day_path, capsys, name):
     daily.run(spark, name, day_path, DAY)
     assert daily.compute(spark, name, day_path, DAY).count() > 0
+
+
+@pytest.fixture(scope="module")
+def three_days(spark, day_path, tmp_path_factory):
+    """A folder of three daily files, and the same readings in the device-day layout."""
+    folder = tmp_path_factory.mktemp("three")
+    text = open(day_path.replace("{date}", DAY)).read()
+    for shift in (-1, 0, 1):
+        day = dt.date(2017, 6, 17) + dt.timedelta(days=shift)
+        moved = text
+        # The local day covers parts of two days of stored time.
+        for old in (dt.date(2017, 6, 16), dt.date(2017, 6, 17)):
+            moved = moved.replace(f"{old}T", f"@{old + dt.timedelta(days=shift)}T")
+        (folder / f"{day}.csv").write_text(moved.replace("@", ""))
+    layout = str(tmp_path_factory.mktemp("layout") / "days")
+    tables.write_device_days(read_readings(spark, str(folder)), layout)
+    return str(folder), layout
+
+
+@pytest.mark.parametrize("name", ["max-min", "outliers", "kmeans", "restarts", "device-statistic", "spearman"])
+def test_one_day_of_many(spark, day_path, three_days, name):
+    folder, layout = three_days
+    from_file = daily.compute(spark, name, day_path, DAY)
+    of_day = canonical(map(tuple, from_file.collect()), from_file.columns)
+    for path, kind in ((folder, "csv"), (layout, "parquet")):
+        found = daily.compute(spark, name, path, DAY, kind)
+        assert canonical(map(tuple, found.collect()), found.columns) == of_day
+
+
+def test_reports_leave_no_copies(spark, day_path, tmp_path):
+    folder = Path(shared_folder(spark)) / f"sensorloom-{spark.sparkContext.applicationId}"
+    before = {p.name for p in folder.glob("*")} if folder.exists() else set()
+    daily.run(spark, "exceed", day_path, DAY, str(tmp_path))
+    assert {p.name for p in folder.glob("*")} == before

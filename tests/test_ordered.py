@@ -1,11 +1,19 @@
 import random
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordered import OrderedGroups, by_size, measure_groups
-from sensorloom.session import CHECKPOINT_SETTING, scratch_path, shared_folder, stored
+from sensorloom.operators.ordered import GroupSizes, OrderedGroups, by_size, lookup, measure_groups
+from sensorloom.session import (
+    CHECKPOINT_SETTING,
+    refuse_machine_local,
+    released_copies,
+    scratch_path,
+    shared_folder,
+    stored,
+)
 
 
 def rows_of(spark, seed=0):
@@ -27,7 +35,8 @@ def test_group_sizes(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [3, 10, 1000])
-def test_sequence_columns(spark, hot_rows):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "shuffle_chunks": 4}])
+def test_sequence_columns(spark, hot_rows, limits):
     data, df = rows_of(spark)
 
     def work(part, hot):
@@ -42,7 +51,7 @@ def test_sequence_columns(spark, hot_rows):
             )
         )
 
-    found = by_size(df, ["k"], measure_groups(df, ["k"], hot_rows), work).collect()
+    found = by_size(df, ["k"], measure_groups(df, ["k"], hot_rows, **limits), work).collect()
     expected = {}
     for key in {row[0] for row in data}:
         group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]))
@@ -56,12 +65,62 @@ def test_sequence_columns(spark, hot_rows):
     assert {row[0]: tuple(row[1:]) for row in found} == expected
 
 
-def test_chunks_of_a_hot_group_are_bounded(spark):
+@pytest.mark.parametrize("shuffle_chunks", [5_000, 12, 7])
+def test_chunks_of_a_hot_group_are_bounded(spark, shuffle_chunks):
     df = spark.range(20_000).select(F.lit("x").alias("k"), F.col("id").alias("t"))
-    sizes = measure_groups(df, ["k"], 1000)
+    sizes = measure_groups(df, ["k"], 1000, shuffle_chunks=shuffle_chunks)
     ordered = OrderedGroups.of(df, ["k"], ["t"], sizes)
-    largest = ordered.rows.groupBy("_chunk").count().agg(F.max("count")).first()[0]
-    assert largest <= 2000
+    chunks = ordered.rows.groupBy("_chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high")
+    )
+    found = chunks.orderBy("_chunk").collect()
+    assert len(found) >= 20 and max(r["n"] for r in found) <= 2000
+    assert sum(r["n"] for r in found) == 20_000
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+
+
+def test_chunks_follow_the_rows_without_a_cap(spark):
+    sizes = GroupSizes(1, 10**13, 5_000_000, hot_groups=1, hot_total=10**13)
+    assert sizes.chunks == 4_000_000
+
+
+def test_hot_keys_are_a_table(spark, monkeypatch):
+    _, df = rows_of(spark)
+    collected = []
+    plain = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(self) or plain(self))
+    sizes = measure_groups(df, ["k"], 10)
+    assert not collected
+    assert all(CHECKPOINT_SETTING and "sensorloom-" in name for name in sizes.hot.inputFiles())
+
+
+def test_salted_lookup_gives_the_same_rows(spark):
+    _, df = rows_of(spark)
+    table = df.groupBy("k").agg(F.max("seq").alias("most"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain, salted = (lookup(df, table.filter("most > 70"), ["k"], how, salted=s) for s in (False, True))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+
+
+def test_copies_are_released(spark):
+    def copies():
+        folder = Path(shared_folder(spark)) / f"sensorloom-{spark.sparkContext.applicationId}"
+        return {p.name for p in folder.glob("*")} if folder.exists() else set()
+
+    before = copies()
+    with released_copies(spark):
+        outer = stored(spark.range(5), "outer")
+        with released_copies(spark):
+            assert stored(spark.range(3), "inner").count() == 3
+        assert outer.count() == 5 and len(copies() - before) == 1
+    assert copies() == before
+    kept = stored(spark.range(2), "kept")
+    assert kept.count() == 2 and len(copies() - before) == 1
+
+
+def test_cluster_refuses_a_folder_of_one_machine(spark):
+    with pytest.raises(ValueError, match="one machine"):
+        refuse_machine_local(spark, "file:///tmp/x")
 
 
 def test_stored_rows_are_in_the_named_folder(spark):

@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as registered
+from sensorloom.sinks.tables import write_device_days
+from sensorloom.sources.readings import read_readings, read_table
 from tests.oracle import TESTDATA
 
 SF_DIR = str(TESTDATA / "sf0.001")
@@ -28,8 +30,8 @@ OWN = [name for name in registered.queries() if not re.match(r"op\d+_|pipeline",
 def test_no_cross_join_and_no_python(spark, capsys, name):
     text = plan(spark, capsys, name)
     for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "SinglePartition"):
-        # One group over the whole table, a top 20 and a final total are single by nature.
-        if operator == "SinglePartition" and name.endswith(("_all", "_first", "_check")):
+        # One group over the whole table and a top 20 are single by nature, and few rows are clustered in one part.
+        if operator == "SinglePartition" and name.endswith(("_all", "_first", "_check", "_clusters")):
             continue
         assert operator not in text, operator
 
@@ -60,6 +62,26 @@ def test_scan_reads_and_filters_what_is_needed(spark, capsys):
     assert schemas and all("props" not in schema and "value" not in schema for schema in schemas)
 
 
+def test_sensor_filter_reaches_a_csv_scan(spark, capsys, tmp_path):
+    path = tmp_path / "day.csv"
+    path.write_text("deviceid,sensor,measure,timestamp\nd,L1,1,2017-06-17T00:00:00Z\n")
+    read_readings(spark, str(path), sensors=["L1", "L2"]).explain("formatted")
+    assert "In(sensor, [L1,L2])" in capsys.readouterr().out
+
+
+def test_one_day_opens_one_folder(spark, capsys, tmp_path):
+    readings = registered._readings(spark, SF_DIR)
+    write_device_days(readings, str(tmp_path / "days"))
+    read_table(spark, str(tmp_path / "days"), "2024-01-10").explain("formatted")
+    assert re.search(r"PartitionFilters: \[.*date.*2024-01-10", capsys.readouterr().out)
+
+
+def test_ranks_take_one_sort_each(spark, capsys):
+    text = plan(spark, capsys, "spearman_pair")
+    assert len(re.findall(r"^\(\d+\) Sort$", text, re.MULTILINE)) == 3
+    assert len(re.findall(r"^\(\d+\) Window$", text, re.MULTILINE)) == 3
+
+
 def test_status_filter_reaches_the_scan(spark, capsys):
     assert "EqualTo(event_type,click)" in plan(spark, capsys, "restart_count")
 

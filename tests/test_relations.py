@@ -120,3 +120,22 @@ def test_points_belong_to_the_nearest_centre(spark):
     for a, b, c, found in rows:
         distances = ((centres - np.array([a, b, c])) ** 2).sum(axis=1)
         assert distances[found] == pytest.approx(distances.min())
+
+
+def test_clusters_do_not_depend_on_the_layout(spark):
+    rng = random.Random(9)
+    values = {s: [rng.random() * 10 for _ in range(400)] for s in ("a", "b", "c")}
+    df = columns(spark, **values)
+    found = []
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for settings in (("2", "true", "128m"), ("8", "false", "1k"), ("32", "false", "128m"), ("32", "true", "2k")):
+            for name, value in zip(names, settings):
+                spark.conf.set(name, value)
+            rows = dicts(relations.kmeans_clusters(df, ["a", "b", "c"], keys=("date",)), "clusterid")
+            found.append([tuple(round(v, 9) for v in row.values()) for row in rows])
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert all(other == found[0] for other in found)

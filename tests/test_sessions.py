@@ -193,3 +193,10 @@ def test_random_sequences_against_models(spark, seed, hot_rows):
                 assert r["avg_current"] == pytest.approx(mean, abs=1e-8)
                 assert r["kwh"] == pytest.approx(10000 * mean * seconds / 3.6e6, abs=0.0051)
     df.unpersist()
+
+
+def test_small_currents_keep_their_digits(spark):
+    rows = [("d", "state", 1, "2017-06-17T00:00:00"), ("d", "state", 0, "2017-06-17T01:00:00")]
+    rows += [("d", "amp", 1.23456789e-9 * k, f"2017-06-17T00:{k:02d}:00") for k in (1, 3)]
+    found = dicts(sessions.run_sessions(readings(spark, rows), "state", "amp"))
+    assert found[0]["avg_current"] == pytest.approx(2 * 1.23456789e-9, rel=1e-12)

@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as registered
-from sensorloom.operators import limits, relations, sessions
+from sensorloom.operators import limits, ordered, relations, sessions
+from sensorloom.operators.ordered import measure_groups
 from tests.oracle import TESTDATA, connect, spark_rows, sql_rows
 
 SF_DIR = str(TESTDATA / "sf0.001")
@@ -41,6 +42,32 @@ ON_STATES = {
 }
 
 
+def forced(r, keys, sensors=None):
+    """Sizes that split all groups into chunks of two steps and never broadcast."""
+    rows = r if sensors is None else r.filter(r.sensor.isin(sensors))
+    return measure_groups(rows, list(keys), LIMIT, broadcast_rows=0, shuffle_chunks=3)
+
+
+BY_SHUFFLE = {
+    "quartiles_by_sensor": lambda r: limits.quartiles(r, SENSOR, sizes=forced(r, SENSOR)),
+    "outliers_by_sensor": lambda r: limits.outliers(r, SENSOR, "both", sizes=forced(r, SENSOR)),
+    "exceed_by_hour_sensor": lambda r: limits.exceed_by_hour(r, SENSOR, sizes=forced(r, SENSOR)),
+    "aligned_readings": lambda r: relations.align(
+        r, registered.LISTED, sizes=forced(r, ["date", "sensor"], registered.LISTED)
+    ),
+    "spearman_pair": lambda r: rounded(
+        relations.spearman(r, "click", "view", sizes=forced(r, ["date"])), "corr"
+    ),
+}
+
+STATES_BY_SHUFFLE = {
+    "restart_count": lambda r: sessions.restart_count(r, "click", DEVICE, sizes=forced(r, DEVICE)),
+    "run_sessions": lambda r: rounded(
+        sessions.run_sessions(r, "click", "view", DEVICE, sizes=forced(r, DEVICE)), "avg_current"
+    ),
+}
+
+
 @pytest.fixture(scope="module")
 def connection():
     return connect(SF_DIR)
@@ -58,3 +85,29 @@ def test_readings(spark, connection, name):
 @pytest.mark.parametrize("name", sorted(ON_STATES))
 def test_states(spark, connection, name):
     check(connection, name, ON_STATES[name](registered._states(spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("name", sorted(BY_SHUFFLE))
+def test_readings_by_shuffle(spark, connection, name):
+    check(connection, name, BY_SHUFFLE[name](registered._readings(spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("name", sorted(STATES_BY_SHUFFLE))
+def test_states_by_shuffle(spark, connection, name):
+    check(connection, name, STATES_BY_SHUFFLE[name](registered._states(spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("merge_rows", [0, 10**9])
+def test_merging_does_not_change_results(spark, connection, monkeypatch, merge_rows):
+    monkeypatch.setattr(ordered, "MERGE_ROWS", merge_rows)
+    readings = registered._readings(spark, SF_DIR)
+    check(connection, "quartiles_by_sensor", limits.quartiles(readings, SENSOR))
+    check(connection, "exceed_by_hour_sensor", limits.exceed_by_hour(readings, SENSOR))
+
+
+def test_spearman_counts_at_most_twice(spark, monkeypatch):
+    counts = []
+    plain = ordered.measure_groups
+    monkeypatch.setattr(relations, "measure_groups", lambda *a, **k: counts.append(a) or plain(*a, **k))
+    relations.spearman(registered._readings(spark, SF_DIR), "click", "view", hot_rows=LIMIT).collect()
+    assert len(counts) <= 2

@@ -42,6 +42,37 @@ def test_append_and_read_back(spark, tmp_path):
     assert tables.duplicate_keys(again, "limo_max_min").count() == 2
 
 
+def test_reruns_read_only_their_dates(spark, tmp_path, capsys):
+    result = stats.daily_stats(readings(spark, ROWS))
+    tables.write_result(result, "limo_max_min", str(tmp_path))
+    written = tables.read_result(spark, "limo_max_min", str(tmp_path))
+    day = result.filter(F.col("date") == F.lit("2017-06-18").cast("date"))
+    left = tables.without_existing(day, written, "limo_max_min")
+    assert left.count() == 0
+    left.explain("formatted")
+    assert "PartitionFilters: [isnotnull(date" in capsys.readouterr().out
+
+
+def test_days_are_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([("2017-06-17", "a", 1.0), ("2017-06-18", "a", 2.0)], "date string, sensor string, measure double")
+    for again in (rows, rows.filter("measure > 1")):
+        tables.replace_days(again, "sensor_outliers", str(tmp_path))
+    found = tables.read_result(spark, "sensor_outliers", str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.select(found.columns).collect()))
+    with pytest.raises(ValueError, match="no key"):
+        tables.without_existing(rows, found, "sensor_outliers")
+    with pytest.raises(ValueError, match="relational"):
+        tables.replace_days(rows, "sensor_outliers", fmt="jdbc")
+
+
+def test_matrix_without_its_label(spark, tmp_path):
+    names = tables.CONTRACTS["sensor_matrix"].names
+    row = spark.createDataFrame([("2017-06-17", "L1", *[1.0] * 13)], tables.CONTRACTS["sensor_matrix"].columns)
+    tables.write_result(row, "sensor_matrix", str(tmp_path), leave_out=["sensor"])
+    written = spark.read.parquet(str(tmp_path / "sensor_matrix"))
+    assert sorted(written.columns) == sorted(name for name in names if name != "sensor")
+
+
 def test_empty_result_may_be_appended(spark, tmp_path):
     result = stats.sensor_count(readings(spark, ROWS), ["none"])
     tables.write_result(result, "sensor_count", str(tmp_path))
@@ -77,6 +108,16 @@ def test_device_days(spark, tmp_path):
     assert tables.read_device_days(spark, path).count() == 3
 
 
+def test_device_days_run_again(spark, tmp_path):
+    path = str(tmp_path / "slices")
+    for _ in range(2):
+        tables.write_device_days(readings(spark, ROWS), path)
+    tables.write_device_days(readings(spark, ROWS[:1]), path)
+    assert tables.read_device_days(spark, path).count() == 2
+    tables.write_device_days(readings(spark, ROWS[:1]), path, mode="append")
+    assert tables.read_device_days(spark, path).count() == 3
+
+
 def test_files_of_a_day_are_cut_by_time(spark, tmp_path):
     rows = [("a", "L1", i, f"2017-06-17T00:{59 - i:02d}:00") for i in range(60)]
     path = str(tmp_path / "slices")
