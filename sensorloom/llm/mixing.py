@@ -99,6 +99,12 @@ def source_targets(
     )
 
 
+def _name(key: Column, text: Column, source: Column) -> Column:
+    """What rows of the same identifier, text and source have in common; never NULL."""
+    parts = [F.md5(F.coalesce(part.cast("string"), F.lit(""))) for part in (key, text, source)]
+    return F.md5(F.concat(*parts, key.isNull().cast("string"), source.isNull().cast("string")))
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -111,7 +117,7 @@ def plan_mix(
     """One row per document with what the mix takes of it.
 
     Returns the key, ``size`` (words, 0 for NULL text), ``source_size`` and ``target`` of its source, ``copies``
-    (array of epoch, words taken, position from 0 to 1) and ``_digest``, which names the text. The last
+    (array of epoch, words taken, position from 0 to 1) and ``_name``, which rows with the same key, text and source share. The last
     copy that a source gives is cut where its demand ends, so the words taken add up to the target, rounded.
     NULL is a source of its own, documents without words have no copies, and rows with the same key and text
     follow each other in the order. Jobs at call: one pass that stores the sizes.
@@ -123,9 +129,11 @@ def plan_mix(
         named.isNull().alias("_no_source"),
         F.coalesce(named, F.lit("")).alias("_source"),
         word_count(F.col(text)).alias("size"),
-        F.md5(F.coalesce(text, F.lit(""))).alias("_digest"),
-    ).withColumn(
-        "_order", hash_digits(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), "_digest"), ORDER_HEX)
+        _name(F.col(key), F.col(text), named).alias("_name"),
+        hash_digits(
+            F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))),
+            ORDER_HEX,
+        ).alias("_order"),
     )
     sized = stored(sized.observe(seen, F.count(F.lit(1)).alias("rows")), "mix-sizes")
     width = -(-(1 << 4 * ORDER_HEX) // bucket_count(seen.get["rows"]))
@@ -165,7 +173,7 @@ def plan_mix(
         F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), copy), lambda c: c.getField("taken") > 0
     )
     return placed.withColumn("copies", copies).select(
-        F.col("_id").alias(key), "_digest", "size", "source_size", "target", "copies"
+        F.col("_id").alias(key), "_name", "size", "source_size", "target", "copies"
     )
 
 
@@ -180,27 +188,18 @@ def mix(
 ) -> DataFrame:
     """The mix: the documents' own columns once per copy, with ``epoch`` and ``position``, sorted by position.
 
-    Documents stay whole: a copy that demand cuts is in if at least half of its words are wanted.
+    Documents stay whole: a copy that demand cuts is in if at least half of its words are wanted. Rows with the same
+    key, text and source are one document that occurs so often; its other columns come from one of them. Texts move
+    twice: to their copies, and into the order.
     """
     plan = plan_mix(docs, weights, schedules, max_repeats, key, text, source)
     wanted = F.filter("copies", lambda c: 2 * c.getField("taken") >= F.col("size"))
-    # Rows with the same key and text are told apart by their number, on both sides.
-    copy_order = Window.partitionBy("key", "_digest").orderBy(F.col("_place").asc_nulls_first())
-    copies = (
-        plan.withColumn("_copies", wanted)
-        .withColumn("_place", F.get("_copies", F.lit(0))["position"])
-        .withColumnRenamed(key, "key")
-        .withColumn("nth", F.row_number().over(copy_order))
-        .filter(F.size("_copies") > 0)
-        .select("key", "_digest", "nth", F.explode("_copies").alias("copy"))
-    )
-    rows = apart(docs, id=F.col(key), digest=F.md5(F.coalesce(text, F.lit(""))))
-    twins = Window.partitionBy("id", "digest").orderBy(F.lit(0))
-    rows = rows.withColumn("twin", F.row_number().over(twins))
-    same = (
-        F.col("id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("_digest")) & (F.col("twin") == F.col("nth"))
-    )
-    found = rows.join(copies, same).orderBy("copy.position", "id", "copy.epoch")
+    copies = plan.groupBy("_name").agg(F.flatten(F.collect_list(wanted)).alias("copies")).filter(F.size("copies") > 0)
+    rows = apart(docs, id=F.col(key), _name=_name(F.col(key), F.col(text), F.col(source)))
+    same_name = Window.partitionBy("_name").orderBy(F.xxhash64("row"))
+    first = rows.withColumn("_nth", F.row_number().over(same_name)).filter("_nth = 1")
+    found = first.join(copies, "_name").select("row", "id", F.explode("copies").alias("copy"))
+    found = found.orderBy("copy.position", "id", "copy.epoch")
     return restored(found, docs.columns, epoch=F.col("copy.epoch"), position=F.col("copy.position"))
 
 

