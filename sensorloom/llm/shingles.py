@@ -16,7 +16,7 @@ SHINGLE_WORDS = 5
 SKETCH = 64
 SHINGLE_BYTES = 6
 # UTF-8 bytes hashed at once; a longer text is hashed by itself.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -2,9 +2,9 @@
 
 Documents with the same shingles are one set. In each run a set follows paths: at a node it is sent on by sampled
 tokens, here positions of its MinHash sketch with their values, ``1 / similarity`` of them on average, so only sets
-that share the token stay together. Nodes with few sets are compared by brute force. A larger node whose
-sets all resemble one of them, its pivot, is done too; any other is split again, and what is still large at the
-last level is compared in blocks. Runs are repeated until a pair at the threshold is found with the target
+that share the token stay together. Small nodes are compared by brute force, those of more than a few sets in
+blocks. A larger node whose sets all resemble one of them, its pivot, is done too; any other is split again, and what
+is still large at the last level is compared in blocks, however large. Runs are repeated until a pair at the threshold is found with the target
 probability even if its paths are split to the last level.
 
 That finds candidates by their sketches, with a margin. Their connected families are then compared exactly, all
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,11 @@ from sensorloom.session import stored
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
-LEVELS = 6
-# Largest node that is compared by brute force.
+LEVELS = 4
+# Nodes that are compared by brute force: by neighbours in one sorted pass, and in blocks of sketches.
 SMALL_NODE = 32
+BLOCK_NODE = 4_096
+SKETCH_BLOCK = 1_024
 # Sets of a family that one task compares with as many others.
 BLOCK = 256
 # Share of equal sketch positions from which two sets are candidates: four standard deviations below 0.8.
@@ -114,23 +117,20 @@ def _sketches(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint32).reshape(len(values), SKETCH)
 
 
-def _spanning(count: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest."""
-    root = list(range(count))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for a, b in pairs.tolist():
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-    return kept
+def _stars(count: int, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Links from every linked row to the one with the smallest name that it is connected to, itself included."""
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(count, dtype=np.int64)
+    rank[order] = np.arange(count)
+    label = rank.copy()
+    changed = len(pairs) > 0
+    while changed:
+        before = label.copy()
+        np.minimum.at(label, pairs[:, 0], label[pairs[:, 1]])
+        np.minimum.at(label, pairs[:, 1], label[pairs[:, 0]])
+        changed = bool((label != before).any())
+    linked = np.unique(pairs)
+    return np.column_stack([linked, order[label[linked]]])
 
 
 def _small_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,7 @@ def _links_within(rows: pd.DataFrame) -> pd.DataFrame:
         first = first[_agree(values[first], values[first + step])]
         pairs.append(np.column_stack([first, first + step]))
     found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-    found = np.array(_spanning(len(rows), found), dtype=np.int64).reshape(-1, 2)
+    found = _stars(len(rows), found, sid)
     return pd.DataFrame({"a": sid[found[:, 0]], "b": sid[found[:, 1]]})
 
 
@@ -190,11 +190,11 @@ def _links_of_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     found = []
     for _, node in rows.groupby("node", sort=False):
         values, sid = _sketches(node["sketch"]), node["sid"].to_numpy()
-        pairs = []
+        pairs = [np.empty((0, 2), np.int64)]
         for row in range(len(node) - 1):
             other = row + 1 + np.flatnonzero(_agree(values[row], values[row + 1 :]))
             pairs.append(np.column_stack([np.full(len(other), row), other]))
-        kept = np.array(_spanning(len(node), np.concatenate(pairs)), dtype=np.int64).reshape(-1, 2)
+        kept = _stars(len(node), np.concatenate(pairs), sid)
         found.append(pd.DataFrame({"a": sid[kept[:, 0]], "b": sid[kept[:, 1]]}))
     return pd.concat(found, ignore_index=True)
 
@@ -207,7 +207,7 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
     runs = runs_for(recall, similarity, levels)
     roots = [F.lit(run).cast("long") for run in range(1, runs + 1)]
     paths = sets.select("sid", F.explode(F.flatten(F.array(*(_children(root, similarity) for root in roots)))).alias("node"))
-    links, small = [], []
+    links, small, blocks = [], [], []
     for level in range(1, levels + 1):
         paths = stored(paths, f"paths-{level}")
         counts = paths.groupBy("node").agg(
@@ -219,12 +219,14 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
         nodes = counts.filter("n > 1").groupBy("n", "_x", "_y").agg(F.min("node").alias("node")).select("node", "n")
         rows = stored(paths.join(nodes, "node"), f"nodes-{level}")
         small.append(rows.filter(F.col("n") <= SMALL_NODE).select("node", "sid"))
-        large = rows.filter(F.col("n") > SMALL_NODE)
+        most = F.lit(True) if level == levels else F.col("n") <= BLOCK_NODE
+        blocks.append(rows.filter((F.col("n") > SMALL_NODE) & most))
+        large = rows.filter((F.col("n") > SMALL_NODE) & ~most)
         if large.isEmpty():
             break
         large = stored(large.join(sets, "sid"), f"large-{level}")
-        lead = F.struct(F.xxhash64("node", "sid").alias("place"), "sid", "sketch")
-        pivots = large.groupBy("node").agg(F.min(lead).alias("_pivot"))
+        # The smallest set leads, the same one in most nodes of a group, so that links of different nodes are equal.
+        pivots = large.groupBy("node").agg(F.min(F.struct("sid", "sketch")).alias("_pivot"))
         pivots = pivots.select("node", F.col("_pivot.sid").alias("pivot"), F.col("_pivot.sketch").alias("_lead"))
         beside = large.join(pivots, "node")
         compared = stored(
@@ -233,20 +235,17 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
         )
         links.append(compared.filter("near AND pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")))
         unlike = compared.groupBy("node").agg(F.min("near").alias("_done")).filter("NOT _done").select("node")
-        left = large.join(unlike, "node")
-        if level == levels:
-            links.append(in_blocks(left, "node", "n", BLOCK, _links_of_blocks, "a long, b long"))
-        else:
-            paths = left.select("sid", F.explode(_children(F.col("node"), similarity)).alias("node"))
-    few = small[0]
-    for more in small[1:]:
-        few = few.unionByName(more)
-    sorted_nodes = few.join(sets, "sid").repartition("node").sortWithinPartitions("node")
+        left = large.join(unlike, "node", "left_semi")
+        paths = left.select("sid", F.explode(_children(F.col("node"), similarity)).alias("node"))
+    sorted_nodes = _all(small).join(sets, "sid").repartition("node").sortWithinPartitions("node")
     links.append(sorted_nodes.select("node", "sid", "sketch").mapInPandas(_small_nodes, "a long, b long"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return every
+    of_blocks = _all(blocks).join(sets, "sid")
+    links.append(in_blocks(of_blocks, "node", "n", SKETCH_BLOCK, _links_of_blocks, "a long, b long"))
+    return _all(links)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _resemble(one: Column, other: Column) -> Column:
@@ -284,7 +283,8 @@ def _similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def _exact_links(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of each set to sets of the other block (of its own once), and the links that span the blocks."""
+        """Links of each set to sets of the other block (of its own once), and stars that span the blocks. A family
+        of one block is settled by them."""
         found = []
         for _, family in rows.groupby("component", sort=False):
             sid = family["sid"].to_numpy()
@@ -294,10 +294,11 @@ def _exact_links(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 similar &= part[:, None] != part[None, :]
             np.fill_diagonal(similar, False)
             copies = family["copies"].to_numpy()
-            counts = pd.DataFrame({"a": sid, "b": sid, "links": similar @ copies, "texts": similar.sum(axis=1)})
-            pairs = np.argwhere(np.triu(similar))
-            kept = np.array(_spanning(len(sid), pairs), dtype=np.int64).reshape(-1, 2)
-            found += [counts, pd.DataFrame({"a": sid[kept[:, 0]], "b": sid[kept[:, 1]], "links": 0, "texts": 0})]
+            counts = pd.DataFrame({"kind": "count", "a": sid, "b": sid, "links": similar @ copies, "texts": similar.sum(axis=1)})
+            kept = _stars(len(sid), np.argwhere(np.triu(similar)), sid)
+            settled = not family["_many"].iloc[0]
+            spans = pd.DataFrame({"kind": "span", "a": sid[kept[:, 0]], "b": sid[kept[:, 1]], "links": 0, "texts": 0})
+            found += [counts.assign(settled=settled), spans.assign(settled=settled)]
         return pd.concat(found, ignore_index=True)
 
     return links
@@ -342,12 +343,16 @@ def near_duplicates(
     )
     exact = stored(
         in_blocks(
-            families, "component", "n", BLOCK, _exact_links(similarity), "a long, b long, links long, texts long"
+            families, "component", "n", BLOCK, _exact_links(similarity), "kind string, a long, b long, links long, texts long, settled boolean"
         ),
         "exact-links",
     )
-    classes = components(exact.filter("a <> b").select("a", "b")).withColumnRenamed("node", "sid")
-    counts = exact.filter("a = b").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    spans = exact.filter("kind = 'span'")
+    settled = spans.filter("settled").select(F.col("a").alias("sid"), F.col("b").alias("component"))
+    # Only families of several blocks have links left to join up.
+    loose = components(spans.filter("NOT settled").select("a", "b"))
+    classes = settled.unionByName(loose.withColumnRenamed("node", "sid"))
+    counts = exact.filter("kind = 'count'").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     known = (
         sets.drop("sketch")
         .join(classes, "sid", "left")

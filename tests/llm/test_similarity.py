@@ -62,9 +62,11 @@ def texts():
     return found
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_matches_brute_force(spark, texts, block, monkeypatch):
+@pytest.mark.parametrize(("block", "node"), [(256, 4096), (16, 40)])
+def test_matches_brute_force(spark, texts, block, node, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "BLOCK_NODE", node)
+    monkeypatch.setattr(similarity, "SKETCH_BLOCK", block)
     rows = list(enumerate(texts))
     docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
     found = {r.doc_id: (r.class_id, r.n_links) for r in similarity.similarity_digest(docs).collect()}
@@ -73,6 +75,7 @@ def test_matches_brute_force(spark, texts, block, monkeypatch):
 
 def test_blocks_at_the_last_level(spark, texts, monkeypatch):
     monkeypatch.setattr(similarity, "SMALL_NODE", 2)
+    monkeypatch.setattr(similarity, "SKETCH_BLOCK", 10)
     rows = [(i, text) for i, text in enumerate(texts) if text]
     docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
     found = {r.doc_id: (r.class_id, r.n_links) for r in similarity.near_duplicates(docs, levels=1).collect()}
