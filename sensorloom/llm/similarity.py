@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import apart
 from sensorloom.llm.components import components
 from sensorloom.llm.shingles import SHINGLE_WORDS, SKETCH, packed, set_identity, shingle_sets, sketch, unpacked
-from sensorloom.session import stored
+from sensorloom.session import released_copies, scratch_path, stored
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
@@ -322,8 +322,20 @@ def near_duplicates(
     sets. NULL, empty and blank texts have no shingles, are never linked and are classes of their own.
     Only the key and the text are read, so other columns cannot clash.
 
-    Sets are named by 64 bits of their content. Every step reads tables in the shared folder.
+    Sets are named by 64 bits of their content. Runs at call: every step reads tables in the shared folder, of which only
+    the result is left, since the shingles are larger than the documents.
     """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "classes")
+    with released_copies(spark):
+        classes = _classes(docs, similarity, words, recall, levels, key, text)
+        classes.write.parquet(path)
+    return spark.read.schema(classes.schema).parquet(path)
+
+
+def _classes(
+    docs: DataFrame, similarity: float, words: int, recall: float, levels: int, key: str, text: str
+) -> DataFrame:
     table = stored(shingle_table(docs, key, text, words), "shingles")
     worded = table.filter("sid IS NOT NULL")
     members = table.select("doc_id", "digest", "sid", "n_shingles")
