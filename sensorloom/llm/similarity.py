@@ -313,13 +313,14 @@ def near_duplicates(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per document: the key, ``digest`` (hash of the text), ``n_shingles``, ``class_id``, ``n_links`` and
-    ``n_similar``.
+    """One row per document: the key, ``digest`` (hash of the text), ``n_shingles``, ``class_id``, ``class_set``,
+    ``n_links`` and ``n_similar``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``similarity``; a text of fewer words is one shingle. A class is what links connect, named by the smallest key in it.
+    ``similarity``; a text of fewer words is one shingle. A class is what links connect. ``class_set``, its smallest set,
+    tells it from all others; ``class_id``, the smallest key in it, does not where keys are NULL or on several texts.
     ``n_links`` counts the other documents a document is linked with, exact copies included, ``n_similar`` the other
-    sets. NULL, empty and blank texts have no shingles, are never linked and are classes of their own.
+    sets. NULL, empty and blank texts have no shingles and no ``class_set``, are never linked and are classes of their own.
     Only the key and the text are read, so other columns cannot clash.
 
     Sets are named by 64 bits of their content. Runs at call: every step reads tables in the shared folder, of which only
@@ -375,6 +376,7 @@ def _classes(
     known = known.join(names, "component").select(
         "sid",
         "class_id",
+        F.col("component").alias("class_set"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_similar"),
     )
@@ -384,6 +386,7 @@ def _classes(
         "digest",
         "n_shingles",
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "class_set",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
     )
@@ -395,10 +398,10 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     content = F.coalesce(F.col(text), F.lit(""))
     rows = apart(docs, id=F.col(key), digest=F.xxhash64(content), worded=content.rlike(r"[^\x20\x09-\x0D]"))
     classes = near_duplicates(docs, key=key, text=text, **options).filter("n_shingles > 0")
-    # A class without a key in it has the NULL key as its name.
+    # A class without a key in it has the NULL key as its name, and so may others; its set is its own.
     kept = (
         classes.filter(F.col(key).eqNullSafe(F.col("class_id")))
-        .groupBy("class_id")
+        .groupBy("class_set", "class_id")
         .agg(F.min("digest").alias("chosen"))
     )
     same = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("chosen"))
@@ -407,4 +410,4 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 
 
 def similarity_digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_similar", "n_shingles")
+    return near_duplicates(docs).select("doc_id", "class_id", "class_set", "n_links", "n_similar", "n_shingles")

@@ -101,6 +101,25 @@ def test_edge_rows(spark):
     assert sorted(kept, key=str) == sorted([1, 3, 4, 5, 6, 7, 8, 9, None, None], key=str)
 
 
+def test_classes_without_a_key_of_their_own(spark):
+    """Unlinked texts without a key, or under one key, are different classes; each keeps a document."""
+    apart = [" ".join(f"n{k}x{i}" for i in range(40)) for k in range(6)]
+    near = apart[0] + " and a few more"
+    rows = [(None, text, "en", "a") for text in (*apart[:4], apart[3], near, None, " ")]
+    rows += [(5, apart[4], "en", "a"), (5, apart[5], "en", "a"), (5, apart[5], "en", "a"), (9, apart[5], "en", "b")]
+    found = similarity.similarity_digest(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    classes = {}
+    for row in found:
+        if row.n_shingles:
+            classes.setdefault(row.class_set, []).append(row.doc_id)
+    assert sorted(classes.values(), key=str) == sorted([[None] * 2, [None], [None], [None] * 2, [5], [5, 5, 9]], key=str)
+    assert [row.class_set for row in found if not row.n_shingles] == [None, None]
+    kept = [r for r in similarity.one_per_class(documents(spark, rows)).collect() if r.text and r.text.strip()]
+    assert len(kept) == 6 and {r.text for r in kept} - {near} | {apart[0]} == set(apart)
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([None] * 4 + [5, 5], key=str)
+
+
 def test_empty_table(spark):
     assert similarity.similarity_digest(empty_documents(spark)).count() == 0
     assert similarity.one_per_class(empty_documents(spark)).count() == 0
