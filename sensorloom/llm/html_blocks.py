@@ -7,10 +7,19 @@ import re
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<names>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
+# Tags of elements whose content is no text of the page, if they end; comments and scripts around them are passed over.
+_HIDDEN_TAG = r"<(?P<end>/?)(?P<tag>svg|template|select|noscript|iframe)(?=[\s/>])(?P<names>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_WITHIN = re.compile(rf"<!--.*?(?:-->|\Z)|{_HIDDEN_TAG}", re.DOTALL | re.IGNORECASE)
+_OUTSIDE = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|{_HIDDEN_TAG}",
+    re.DOTALL | re.IGNORECASE,
+)
+# A slash after an unquoted value belongs to the value.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -21,6 +30,9 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset("svg template select noscript iframe".split())
+# A head ends at its end tag or, as that may be left out, at the first text or tag that is none of these.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 # An open paragraph ends where any block begins; these end where their own kind begins.
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEEPS_OPEN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ()}
@@ -46,10 +58,31 @@ def name_parts(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def hidden_ends(page: str) -> dict[int, int]:
+    """Where the elements without text of the page end, by where they begin; those that are empty or never end are left
+    out."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {tag: [] for tag in HIDDEN}
+    token = _OUTSIDE.search(page)
+    while token:
+        if token["tag"]:
+            places = begun[token["tag"].lower()]
+            if not token["end"]:
+                if not _EMPTY.search(token["names"]):
+                    places.append(token.start())
+            elif places:
+                ends[places.pop()] = token.end()
+        # Inside these, script and title are tags as any other, which can be empty, or text.
+        token = (_WITHIN if begun["svg"] or begun["iframe"] else _OUTSIDE).search(page, token.end())
+    return ends
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks with a text, in page order. White space is single, character references are decoded; scripts, styles and
-    comments are no text. A NULL or empty page has none; tags that are not closed end with what is around them."""
+    """Blocks with a text, in page order. White space is single, character references are decoded; scripts, styles,
+    comments and hidden elements that end are no text. A NULL or empty page has none; tags that are not closed end with
+    what is around them."""
     page = page or ""
+    ends = hidden_ends(page)
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     pieces: list[str] = []
@@ -68,6 +101,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if text.strip():
+            leave_head()
         pieces.append(text)
         if in_link:
             linked += len(text.strip())
@@ -80,8 +115,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if stack[place][0] in stop:
                 return
 
+    def leave_head() -> None:
+        if any(tag == "head" for tag, _ in stack):
+            close(("head",), ())
+
     last = 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, last):
         if token.start() > last:
             add(page[last : token.start()])
         last = token.end()
@@ -89,6 +128,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in HIDDEN and not token["end"]:
+            last = ends.get(token.start(), last)
+            if token.start() not in ends and not _EMPTY.search(token["names"]):
+                flush()
+            continue
+        if tag not in IN_HEAD and not token["end"]:
+            leave_head()
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
@@ -108,4 +154,4 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stack.append((tag, name_parts(token["names"])))
     add(page[last:])
     flush()
-    return [block for block in blocks if "head" not in block.tags]
+    return blocks

@@ -26,6 +26,31 @@ def test_pages_without_text(page):
     assert isinstance(extraction.trained().main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<head><title>t</title><meta charset=x><body><p>one</p>", ["one"]),
+        ("<html><head><title>t</title><link rel=x><div>one<p>two</div>", ["one", "two"]),
+        ("<head><title>t</title> one <b>two</b>", ["one two"]),
+        ("<head><style>s</style><noscript><p>no</p></noscript></head><p>one", ["one"]),
+        ("<p>one</p><svg width='1'/><p>two</p><svg><text>no</text></svg><p>three</p>", ["one", "two", "three"]),
+        ("<svg/><p>one <svg><title/><svg><path/></svg><text>no</text></svg> two</p>", ["one two"]),
+        ("<select><option>a<p>one</p><select><option>no</select><p>two</p>", ["a", "one", "two"]),
+        ("<p>one</p><iframe src=/a/><p>two</p><iframe src=b>no</iframe><p>three", ["one", "two", "three"]),
+        ("<template><p>one<noscript><p>two<!-- </template> --><script>'</noscript>'</script>", ["one", "two"]),
+        ("<noscript><p>no</p></noscript><select-box>one</select-box><title-bar>two</title-bar>", ["one", "two"]),
+        ("<p>one<textarea>no <p>no", ["one"]),
+    ],
+)
+def test_no_text_is_lost_to_open_elements(page, texts):
+    assert [b.text for b in leaf_blocks(page)] == texts
+
+
+def test_many_open_elements_take_linear_time():
+    page = "<svg><select><iframe>" * 20_000 + "<p>one</p>"
+    assert [b.text for b in leaf_blocks(page)] == ["one"]
+
+
 def test_viterbi_finds_the_best_of_all_labellings():
     random = np.random.Generator(np.random.PCG64(2))
     blocks = leaf_blocks("".join(f"<p>w{i}</p>" for i in range(7)))
