@@ -2,8 +2,8 @@
 
 Candidates are found by patterns of known shapes and, beside them, as long tokens that look random. Every candidate is
 hashed, and the hashes are counted over the whole corpus by distinct repositories and distinct owners. What many
-owners have is an example that was copied; what one owner has and looks live is that owner's credential. Known
-shapes are always reported, with that judgement; a long token only if it is owned.
+owners have is an example that was copied, and so is what many repositories have if a number is given for them; the
+rest is its owners' credential. Known shapes are always reported, with that judgement; a long token only if it is owned.
 
 Offsets count code points. A pattern splits a text into the parts between its matches, whose running lengths give the
 offsets; only the matches leave the row.
@@ -129,16 +129,21 @@ def find_secrets(
     repository: str = "doc_id",
     owner: str = "source",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int | None = None,
 ) -> DataFrame:
     """One row per document: the key and ``secrets``, sorted structs (start, order, end, kind, n_repositories, n_owners,
     live).
 
-    ``live`` tells that fewer than ``example_owners`` owners hold the secret. NULL texts are empty; NULL repositories and owners
+    ``live`` tells that fewer than ``example_owners`` owners hold the secret and, if it is given, fewer than
+    ``example_repositories`` repositories. NULL texts are empty; NULL repositories and owners
     count as one of their own; rows with the same key and text get the same result. One job at call, which stores the
     candidates.
     """
     found = stored(candidates(docs, key, text, repository, owner), "secrets")
-    judged = owned_counts(found).withColumn("live", F.col("n_owners") < example_owners)
+    live = F.col("n_owners") < example_owners
+    if example_repositories is not None:
+        live &= F.col("n_repositories") < example_repositories
+    judged = owned_counts(found).withColumn("live", live)
     judged = judged.filter((F.col("kind") != OWNED) | F.col("live"))
     order = F.array_position(F.array(*map(F.lit, SHAPES)), F.col("kind")).cast("int")
     span = F.struct("start", order.alias("order"), "end", "kind", "n_repositories", "n_owners", "live")

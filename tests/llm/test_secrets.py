@@ -48,6 +48,20 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert [(s.kind, s.live, s.n_owners, s.n_repositories) for s in found[100]] == [("owned", True, 1, 10)]
 
 
+def test_many_repositories_make_an_example(spark):
+    copied, owned = "Zx7Qw9Ert2Yui5Opa8Sdf3Gh", "Kl4Mn6Bv8Cx1Zas3Dfg5Hj7K"
+    rows = [(i, f"see {copied} and password={'p' * 8}", "en", "one") for i in range(40)]
+    rows += [(100 + i, f"my {owned}", "en", "one") for i in range(3)]
+    docs = documents(spark, rows)
+
+    def judged(**options):
+        return {r.doc_id: {(s.kind, s.live) for s in r["secrets"]} for r in secrets.find_secrets(docs, **options).collect()}
+
+    by_owners, by_both = judged(), judged(example_repositories=20)
+    assert by_owners[3] == {("owned", True), ("assign", True)} and by_owners[100] == {("owned", True)}
+    assert by_both[3] == {("assign", False)} and by_both[100] == {("owned", True)}
+
+
 def test_tokens_inside_other_spans_are_left_out(spark):
     rows = [(1, "token = Zx7Qw9Ert2Yui5Opa8Sdf3Gh", "en", "a")]
     assert secrets.secrets_digest(documents(spark, rows)).first().spans == "assign:0:32"
