@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,8 @@ BLOCK_NODE = 4_096
 SKETCH_BLOCK = 1_024
 # Sets of a family that one task compares with as many others.
 BLOCK = 256
-# Share of equal sketch positions from which two sets are candidates: four standard deviations below 0.8.
-CANDIDATE = 0.6
+# Standard deviations of a sketch's estimate by which candidates may fall below the similarity.
+MARGIN = 4
 # Shingles in one slice of the comparison of a block.
 SLICE = 4096
 
@@ -52,18 +52,30 @@ SET_SCHEMA = "doc_id {key}, digest long, sid long, n_shingles int, sketch binary
 def runs_for(recall: float, similarity: float, levels: int) -> int:
     """Runs after which a pair at the similarity is found with the given probability, in the worst case.
 
-    At every level a pair that is together has one sampled position and, with probability 1 / similarity - 1,
-    a second; it stays together in a child where the sketches agree.
+    At every level a pair that is together has as many sampled positions as 1 / similarity has whole ones and, with
+    the probability that is left, one more; it stays together in a child where the sketches agree.
     """
+    always, chance = _samples(similarity)
     found = 1.0
     for _ in range(levels):
-        found = 1 - (1 - similarity * found) * (1 - (1 / similarity - 1) * similarity * found)
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+        found = 1 - (1 - similarity * found) ** always * (1 - chance * similarity * found)
+    return 1 if found >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
-def _second(node: Column, similarity: float) -> Column:
-    """Whether a node samples a second position."""
-    return F.pmod(F.xxhash64(node, F.lit(2)), F.lit(1000)) < round(1000 * (1 / similarity - 1))
+def candidate_share(similarity: float) -> float:
+    """Share of equal sketch positions from which two sets are candidates for a similarity."""
+    return similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SKETCH)
+
+
+def _samples(similarity: float) -> tuple[int, float]:
+    """Positions that every node samples, and the probability of one more."""
+    always = math.floor(1 / similarity)
+    return always, 1 / similarity - always
+
+
+def _one_more(node: Column, similarity: float) -> Column:
+    """Whether a node samples one more position."""
+    return F.pmod(F.xxhash64(node, F.lit(2)), F.lit(1000)) < round(1000 * _samples(similarity)[1])
 
 
 def _position(node: Column, which: int) -> Column:
@@ -80,8 +92,10 @@ def _children(node: Column, similarity: float) -> Column:
         place = _position(node, which)
         return F.xxhash64(node, place, _value(place))
 
-    second = F.when(_second(node, similarity) & (_position(node, 3) != _position(node, 1)), child(3))
-    return F.array_compact(F.array(child(1), second))
+    # The number 2 decides on one more position.
+    always = [child(which) for which in (1, *range(3, 2 + _samples(similarity)[0]))]
+    more = F.when(_one_more(node, similarity), child(2 + len(always)))
+    return F.array_distinct(F.array_compact(F.array(*always, more)))
 
 
 def shingle_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -109,8 +123,8 @@ def shingle_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame
     return rows.mapInArrow(hashed, SET_SCHEMA.format(key=kind))
 
 
-def _agree(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return (one == other).mean(axis=-1) >= CANDIDATE
+def _agree(one: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    return (one == other).mean(axis=-1) >= share
 
 
 def _sketches(values: pd.Series) -> np.ndarray:
@@ -133,7 +147,7 @@ def _stars(count: int, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
     return np.column_stack([linked, order[label[linked]]])
 
 
-def _small_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _small_nodes(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
     """Candidate links that span the small nodes, from rows sorted by node."""
     rest: pd.DataFrame | None = None
     for batch in batches:
@@ -141,12 +155,12 @@ def _small_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_node = rows["node"] == rows["node"].iloc[-1]
         # The last node may go on in the next batch.
         rest = rows[open_node]
-        yield _links_within(rows[~open_node])
+        yield _links_within(rows[~open_node], share)
     if rest is not None:
-        yield _links_within(rest)
+        yield _links_within(rest, share)
 
 
-def _links_within(rows: pd.DataFrame) -> pd.DataFrame:
+def _links_within(rows: pd.DataFrame, share: float) -> pd.DataFrame:
     node, sid = rows["node"].to_numpy(), rows["sid"].to_numpy()
     values = _sketches(rows["sketch"])
     pairs = []
@@ -154,7 +168,7 @@ def _links_within(rows: pd.DataFrame) -> pd.DataFrame:
         first = np.flatnonzero(node[step:] == node[:-step])
         if not len(first):
             break
-        first = first[_agree(values[first], values[first + step])]
+        first = first[_agree(values[first], values[first + step], share)]
         pairs.append(np.column_stack([first, first + step]))
     found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
     found = _stars(len(rows), found, sid)
@@ -185,26 +199,33 @@ def in_blocks(
     return dealt.select(*columns).groupBy("_batch", "_many").applyInPandas(work, schema)
 
 
-def _links_of_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def _links_of_blocks(rows: pd.DataFrame, share: float) -> pd.DataFrame:
     """Candidate links that span each two blocks of a large node."""
     found = []
     for _, node in rows.groupby("node", sort=False):
         values, sid = _sketches(node["sketch"]), node["sid"].to_numpy()
         pairs = [np.empty((0, 2), np.int64)]
         for row in range(len(node) - 1):
-            other = row + 1 + np.flatnonzero(_agree(values[row], values[row + 1 :]))
+            other = row + 1 + np.flatnonzero(_agree(values[row], values[row + 1 :], share))
             pairs.append(np.column_stack([np.full(len(other), row), other]))
         kept = _stars(len(node), np.concatenate(pairs), sid)
         found.append(pd.DataFrame({"a": sid[kept[:, 0]], "b": sid[kept[:, 1]]}))
     return pd.concat(found, ignore_index=True)
 
 
+def _blocks_linked(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        return _links_of_blocks(rows, share)
+
+    return links
+
+
 def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: int) -> DataFrame:
     """Links (a, b) that connect all sets whose sketches agree, from rows (sid, sketch).
 
     Two jobs a level and the writes between them; levels stop when no node is left to split.
     """
-    runs = runs_for(recall, similarity, levels)
+    runs, share = runs_for(recall, similarity, levels), candidate_share(similarity)
     roots = [F.lit(run).cast("long") for run in range(1, runs + 1)]
     paths = sets.select("sid", F.explode(F.flatten(F.array(*(_children(root, similarity) for root in roots)))).alias("node"))
     links, small, blocks = [], [], []
@@ -230,7 +251,7 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
         pivots = pivots.select("node", F.col("_pivot.sid").alias("pivot"), F.col("_pivot.sketch").alias("_lead"))
         beside = large.join(pivots, "node")
         compared = stored(
-            beside.withColumn("near", _resemble(F.col("sketch"), F.col("_lead"))).drop("_lead", "sketch"),
+            beside.withColumn("near", _resemble(F.col("sketch"), F.col("_lead"), share)).drop("_lead", "sketch"),
             f"pivots-{level}",
         )
         links.append(compared.filter("near AND pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")))
@@ -238,9 +259,9 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
         left = large.join(unlike, "node", "left_semi")
         paths = left.select("sid", F.explode(_children(F.col("node"), similarity)).alias("node"))
     sorted_nodes = _all(small).join(sets, "sid").repartition("node").sortWithinPartitions("node")
-    links.append(sorted_nodes.select("node", "sid", "sketch").mapInPandas(_small_nodes, "a long, b long"))
+    links.append(sorted_nodes.select("node", "sid", "sketch").mapInPandas(partial(_small_nodes, share=share), "a long, b long"))
     of_blocks = _all(blocks).join(sets, "sid")
-    links.append(in_blocks(of_blocks, "node", "n", SKETCH_BLOCK, _links_of_blocks, "a long, b long"))
+    links.append(in_blocks(of_blocks, "node", "n", SKETCH_BLOCK, _blocks_linked(share), "a long, b long"))
     return _all(links)
 
 
@@ -248,12 +269,12 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _resemble(one: Column, other: Column) -> Column:
+def _resemble(one: Column, other: Column, share: float) -> Column:
     """Whether enough positions of two sketches agree."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_agree(_sketches(a), _sketches(b)) if len(a) else np.empty(0, bool))
+        return pd.Series(_agree(_sketches(a), _sketches(b), share) if len(a) else np.empty(0, bool))
 
     return near(one, other)
 
@@ -326,6 +347,8 @@ def near_duplicates(
     Sets are named by 64 bits of their content. Runs at call: every step reads tables in the shared folder, of which only
     the result is left, since the shingles are larger than the documents.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity is above 0 and at most 1, not {similarity}")
     spark = docs.sparkSession
     path = scratch_path(spark, "classes")
     with released_copies(spark):

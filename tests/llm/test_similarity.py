@@ -82,6 +82,28 @@ def test_blocks_at_the_last_level(spark, texts, monkeypatch):
     assert [found[i] for i, _ in rows] == expected(rows)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.4, 1.0])
+def test_other_similarities_match_brute_force(spark, threshold):
+    """Pairs around the threshold, of which a fixed share of the sketch would miss many."""
+    found = []
+    for k in range(60):
+        base = [f"k{k}w{i}" for i in range(204)]
+        # Sets of 200 shingles, of which a pair has so many in common.
+        common = round(400 * threshold / (1 + threshold)) + k % 3 - 1
+        found += [" ".join(base), " ".join([*base[: common + 4], *(f"k{k}n{i}" for i in range(200 - common))])]
+    rows = list(enumerate(found))
+    docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
+    result = {r.doc_id: (r.class_id, r.n_links) for r in similarity.near_duplicates(docs, similarity=threshold, levels=2).collect()}
+    assert [result[i] for i, _ in rows] == expected(rows, threshold)
+
+
+def test_settings_of_other_similarities(spark):
+    assert similarity.candidate_share(0.8) == pytest.approx(0.6)
+    assert similarity.runs_for(0.999, 0.3, 4) > 1 and similarity.runs_for(0.999, 1.0, 4) == 1
+    with pytest.raises(ValueError):
+        similarity.near_duplicates(empty_documents(spark), similarity=0)
+
+
 def test_one_document_of_each_class(spark, texts):
     rows = list(enumerate(texts))
     docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
