@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import apart
 from sensorloom.llm.components import components
-from sensorloom.llm.shingles import SHINGLE_WORDS, SKETCH, packed, set_identity, shingle_sets, sketch, unpacked
+from sensorloom.llm.shingles import SHINGLE_BYTES, SHINGLE_WORDS, SKETCH, packed, set_identity, shingle_sets, sketch, unpacked
 from sensorloom.session import released_copies, scratch_path, stored
 
 SIMILARITY = 0.8
@@ -43,6 +43,10 @@ SKETCH_BLOCK = 1_024
 BLOCK = 256
 # Standard deviations of a sketch's estimate by which candidates may fall below the similarity.
 MARGIN = 4
+# Groups of one block are dealt into batches of about so many bytes, many more than cores in small tables.
+BATCH_BYTES = 8 << 20
+ROW_BYTES = 64
+LEAST_BATCHES = 4_096
 # Shingles in one slice of the comparison of a block.
 SLICE = 4096
 
@@ -175,13 +179,25 @@ def _links_within(rows: pd.DataFrame, share: float) -> pd.DataFrame:
     return pd.DataFrame({"a": sid[found[:, 0]], "b": sid[found[:, 1]]})
 
 
+def batches_of(small: DataFrame, bytes_of_row: Column) -> int:
+    """Batches for the rows of groups of one block, so that one stays at a fixed size however many there are."""
+    whole = small.agg(F.sum(bytes_of_row)).first()[0] or 0
+    return max(LEAST_BATCHES, math.ceil(whole / BATCH_BYTES))
+
+
 def in_blocks(
-    rows: DataFrame, group: str, size: str, block: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+    rows: DataFrame,
+    group: str,
+    size: str,
+    block: int,
+    work: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    batches: int,
 ) -> DataFrame:
     """Apply work to the rows of a group, dealt into blocks by their ``sid`` and then taken two blocks at a time.
 
     Every pair of rows meets in the task of its two blocks; ``part`` tells which of the two a row is from. Groups
-    of one block are handled many to a task: ``work`` gets rows of several groups.
+    of one block are dealt into batches: ``work`` gets rows of several groups.
     """
     blocks = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("sid"), "_blocks").cast("int")
@@ -193,7 +209,7 @@ def in_blocks(
     dealt = dealt.withColumn("_pair", F.explode(pairs)).withColumn("part", (F.col("_own") != F.col("_pair.i")).cast("int"))
     single = F.col("_blocks") == 1
     # Groups of one block share tasks by hash; a pair of blocks has a task of its own.
-    batch = F.when(single, F.pmod(F.xxhash64(group), F.lit(4096))).otherwise(F.xxhash64(group, "_pair.i", "_pair.j"))
+    batch = F.when(single, F.pmod(F.xxhash64(group), F.lit(batches).cast("long"))).otherwise(F.xxhash64(group, "_pair.i", "_pair.j"))
     dealt = dealt.withColumns({"_batch": batch, "_many": ~single, "_same": F.col("_pair.i") == F.col("_pair.j")})
     columns = [*rows.columns, "part", "_batch", "_many", "_same"]
     return dealt.select(*columns).groupBy("_batch", "_many").applyInPandas(work, schema)
@@ -223,7 +239,7 @@ def _blocks_linked(share: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: int) -> DataFrame:
     """Links (a, b) that connect all sets whose sketches agree, from rows (sid, sketch).
 
-    Two jobs a level and the writes between them; levels stop when no node is left to split.
+    One job that counts, two a level and the writes between them; levels stop when no node is left to split.
     """
     runs, share = runs_for(recall, similarity, levels), candidate_share(similarity)
     roots = [F.lit(run).cast("long") for run in range(1, runs + 1)]
@@ -260,8 +276,10 @@ def candidate_links(sets: DataFrame, similarity: float, recall: float, levels: i
         paths = left.select("sid", F.explode(_children(F.col("node"), similarity)).alias("node"))
     sorted_nodes = _all(small).join(sets, "sid").repartition("node").sortWithinPartitions("node")
     links.append(sorted_nodes.select("node", "sid", "sketch").mapInPandas(partial(_small_nodes, share=share), "a long, b long"))
-    of_blocks = _all(blocks).join(sets, "sid")
-    links.append(in_blocks(of_blocks, "node", "n", SKETCH_BLOCK, _blocks_linked(share), "a long, b long"))
+    of_blocks = _all(blocks)
+    batches = batches_of(of_blocks.filter(F.col("n") <= SKETCH_BLOCK), F.lit(4 * SKETCH + ROW_BYTES))
+    of_blocks = of_blocks.join(sets, "sid")
+    links.append(in_blocks(of_blocks, "node", "n", SKETCH_BLOCK, _blocks_linked(share), "a long, b long", batches))
     return _all(links)
 
 
@@ -366,7 +384,8 @@ def _classes(
     # Copies of a set are counted before anything else, so their number does not matter later.
     sets = stored(
         worded.groupBy("sid").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")
+            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"),
+            F.first("n_shingles").alias("n_shingles"),
         ),
         "sets",
     )
@@ -374,12 +393,19 @@ def _classes(
     candidates = stored(candidates.withColumnRenamed("node", "sid"), "families")
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blobs = worded.join(candidates, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    small = candidates.join(sizes.filter(F.col("n") <= BLOCK), "component").join(sets.select("sid", "n_shingles"), "sid")
     families = (
         candidates.join(sizes, "component").join(sets.select("sid", "copies"), "sid").join(blobs, "sid")
     )
     exact = stored(
         in_blocks(
-            families, "component", "n", BLOCK, _exact_links(similarity), "kind string, a long, b long, links long, texts long, settled boolean"
+            families,
+            "component",
+            "n",
+            BLOCK,
+            _exact_links(similarity),
+            "kind string, a long, b long, links long, texts long, settled boolean",
+            batches_of(small, F.lit(SHINGLE_BYTES) * F.col("n_shingles").cast("long") + ROW_BYTES),
         ),
         "exact-links",
     )
@@ -390,7 +416,7 @@ def _classes(
     classes = settled.unionByName(loose.withColumnRenamed("node", "sid"))
     counts = exact.filter("kind = 'count'").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     known = (
-        sets.drop("sketch")
+        sets.drop("sketch", "n_shingles")
         .join(classes, "sid", "left")
         .join(counts, "sid", "left")
         .withColumn("component", F.coalesce("component", "sid"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sensorloom.llm import components, shingles, similarity
 from tests.llm.build import documents, edge_rows, empty_documents
@@ -104,6 +105,26 @@ def test_settings_of_other_similarities(spark):
         similarity.near_duplicates(empty_documents(spark), similarity=0)
 
 
+def test_batches_keep_their_size(spark, monkeypatch):
+    """Ten times as many small groups are dealt into ten times as many batches; none is lost or cut."""
+    monkeypatch.setattr(similarity, "BATCH_BYTES", 4_000)
+    monkeypatch.setattr(similarity, "LEAST_BATCHES", 2)
+
+    def sizes(batch):
+        assert (batch.groupby("g")["sid"].count() == 4).all()
+        return batch.iloc[:1].assign(rows=len(batch))[["rows"]]
+
+    largest = {}
+    for groups in (100, 1_000):
+        rows = spark.range(4 * groups).selectExpr("id AS sid", "id div 4 AS g", "4 AS n")
+        batches = similarity.batches_of(rows, F.lit(100))
+        assert batches == groups // 10
+        found = similarity.in_blocks(rows, "g", "n", 4, sizes, "rows long", batches).collect()
+        assert sum(r.rows for r in found) == 4 * groups
+        largest[groups] = max(r.rows for r in found)
+    assert largest[1_000] <= 3 * largest[100]
+
+
 def test_one_document_of_each_class(spark, texts):
     rows = list(enumerate(texts))
     docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
