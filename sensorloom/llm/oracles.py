@@ -224,3 +224,97 @@ SELECT doc_id, size,
        row_number() OVER (PARTITION BY shard ORDER BY cell, text_key, id_key, doc_id) - 1 AS slot,
        CAST(NULL AS INTEGER) AS grown_shard
 FROM numbered, (SELECT CAST({_checksum_table()} AS BIGINT[]) AS table_of)"""
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and means, each as a step; distances come from dot products, exact as doubles."""
+    apart = "list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c)"
+
+    def assigned(n: int) -> str:
+        return f"""
+near{n} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min({{'d': {apart}, 'e': e}}) AS best FROM points JOIN book{n} USING (p) GROUP BY r, p)"""
+
+    def refined(n: int) -> str:
+        return f"""
+sums{n} AS (
+  SELECT p, e, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM near{n}) GROUP BY p, e, i),
+means{n} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM sums{n} GROUP BY p, e),
+book{n + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN means{n} m USING (p, e))"""
+
+    steps = ",".join(step for n in range(rounds) for step in (assigned(n), refined(n)))
+    return f"""
+WITH whole AS (
+  SELECT vec_id, label, embedding AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r,
+         list_transform(v, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM whole),
+points AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS x
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS (SELECT p, r - 1 AS e, x AS c FROM points WHERE r <= {entries}),{steps},{assigned(rounds)},
+coded AS (
+  SELECT r, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY r),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS h
+  FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
+VECTOR_CODES = _vector_codes()
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}')"
+
+
+SEARCH = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, {_terms('text')} AS w FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS q, list_distinct({_terms('text')}) AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM texts WHERE len(w) > 0),
+wanted AS (SELECT q, item_id, unnest(w) AS term FROM items),
+held AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM texts),
+times AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM times, totals GROUP BY term, docs),
+impacts AS (
+  SELECT r, doc_id, term,
+         weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS impact
+  FROM times JOIN weights USING (term), totals),
+scores AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+LINES = rf"""
+WITH texts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
+every AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM texts),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g'), '{UPPER}', '{UPPER.lower()}') AS key
+  FROM every),
+repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key
+  HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN 1 END) >= 2),
+judged AS (
+  SELECT doc_id, r, i, line, repeated.key IS NOT NULL AND doc_id IS DISTINCT FROM first AS dropped
+  FROM keyed LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY r"""

@@ -11,6 +11,8 @@ from sensorloom.llm import (
     decontamination,
     extraction,
     language,
+    lexical_search,
+    line_dedup,
     mixing,
     oracles,
     quality,
@@ -18,6 +20,7 @@ from sensorloom.llm import (
     sharding,
     similarity,
     toxicity,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,4 +55,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "op9_extraction": (_over("pages", extraction.extraction_digest), None),
     "op10_sharding": (_over("documents", sharding.shard_digest), oracles.SHARDING),
+    "op11_vector_codes": (_over("embeddings", vector_codes.vector_code_digest), oracles.VECTOR_CODES),
+    "op12_search": (
+        lambda spark, sf_dir: lexical_search.search_digest(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        ),
+        oracles.SEARCH,
+    ),
+    "op13_lines": (_over("documents", line_dedup.line_dedup_digest), oracles.LINES),
 }
