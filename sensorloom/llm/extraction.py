@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.html_blocks import Block, leaf_blocks
+from sensorloom.llm.html_blocks import PAGE, Block, Level, leaf_blocks
 
 TRAIN_PAGES = 500
 STEPS = 150
@@ -28,11 +29,19 @@ SENTENCE_ENDS = tuple(".!?:;…。\"»”")
 
 def features(block: Block) -> list[str]:
     """Names of the features that a block has."""
+    return [name for level in block.level.outwards() for name in _of_level(level)] + _own_features(block)
+
+
+def _of_level(level: Level) -> list[str]:
+    """What an element adds to the features of the elements around it."""
+    tags = [f"tag:{level.tag}"] if level.new_tag else []
+    return tags + [f"name:{name}" for name in level.new_names]
+
+
+def _own_features(block: Block) -> list[str]:
     text, words = block.text, block.text.count(" ") + 1
-    found = [f"tag:{tag}" for tag in set(block.tags)]
-    found += [f"name:{name}" for name in block.names]
-    found += [f"near:{name}" for name in block.nearest]
-    found.append(f"leaf:{block.tags[-1] if block.tags else ''}")
+    found = [f"near:{name}" for name in block.nearest]
+    found.append(f"leaf:{block.level.tag}")
     found.append(f"words:{min(words.bit_length(), 7)}")
     found.append(f"linked:{min(3, int(block.linked * 4))}")
     found.append(f"ended:{text.endswith(SENTENCE_ENDS)}")
@@ -51,12 +60,20 @@ class BlockLabels:
     moves: np.ndarray
 
     def scores(self, blocks: Sequence[Block]) -> np.ndarray:
+        """Sum of the weights of each block's features. What elements add is summed once for each, outermost first."""
         found = np.zeros((len(blocks), 2))
+        levels: dict[Level, np.ndarray] = {PAGE: np.zeros(2)}
         for row, block in enumerate(blocks):
-            known = [place for name in features(block) if (place := self.places.get(name)) is not None]
-            found[row] = self.weights[known].sum(axis=0)
+            missing = list(takewhile(lambda level: level not in levels, block.level.outwards()))
+            for level in reversed(missing):
+                levels[level] = levels[level.parent] + self._sum(_of_level(level))
+            found[row] = levels[block.level] + self._sum(_own_features(block))
         return found
 
+    def _sum(self, names: list[str]) -> np.ndarray:
+        known = [place for name in names if (place := self.places.get(name)) is not None]
+        return self.weights[known].sum(axis=0)
+
     def decode(self, blocks: Sequence[Block]) -> list[bool]:
         """The most likely labels (Viterbi)."""
         if not blocks:
@@ -85,33 +102,41 @@ def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
     return (most + np.log(np.exp(values - most).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]]) -> BlockLabels:
-    """Fit on pages of blocks with their labels by full gradient steps (Adam)."""
-    pages = [page for page in pages if len(page[0])]
-    names = sorted({name for blocks, _ in pages for block in blocks for name in features(block)})
-    places = {name: i for i, name in enumerate(names)}
-    longest, count = max(len(blocks) for blocks, _ in pages), len(pages)
-    # Blocks of all pages on a grid of page and place; the rest of a row is padding.
-    rows, columns = [], []
-    truth, real = np.zeros((count, longest), int), np.zeros((count, longest), bool)
-    for p, (blocks, labels) in enumerate(pages):
-        real[p, : len(blocks)] = True
-        truth[p, : len(blocks)] = labels
-        for t, block in enumerate(blocks):
-            for name in features(block):
-                rows.append(p * longest + t)
-                columns.append(places[name])
-    rows, columns = np.array(rows), np.array(columns)
-    both = real[:, 1:]
-    seen_moves = np.zeros((2, 2))
-    np.add.at(seen_moves, (truth[:, :-1][both], truth[:, 1:][both]), 1)
-    one_hot = np.eye(2)[truth] * real[..., None]
-
-    size = 2 * len(names)
-    theta, mean, square = np.zeros(size + 6), np.zeros(size + 6), np.zeros(size + 6)
-    for step in range(1, STEPS + 1):
-        weights, first, moves = theta[:size].reshape(-1, 2), theta[size : size + 2], theta[size + 2 :].reshape(2, 2)
-        unary = np.stack([np.bincount(rows, weights[columns, k], count * longest) for k in (0, 1)], axis=1)
+class Likelihood:
+    """The penalised negative log-likelihood of labelled pages, a mean over them, and its slope.
+
+    Parameters are one array: the weights of every feature by label, then of the first label, then of each label after each.
+    """
+
+    def __init__(self, pages: Sequence[tuple[Sequence[Block], Sequence[bool]]]) -> None:
+        names = sorted({name for blocks, _ in pages for block in blocks for name in features(block)})
+        self.places = {name: i for i, name in enumerate(names)}
+        self.longest, self.count = max(len(blocks) for blocks, _ in pages), len(pages)
+        # Blocks of all pages on a grid of page and place; the rest of a row is padding.
+        rows, columns = [], []
+        truth, self.real = np.zeros((self.count, self.longest), int), np.zeros((self.count, self.longest), bool)
+        for p, (blocks, labels) in enumerate(pages):
+            self.real[p, : len(blocks)] = True
+            truth[p, : len(blocks)] = labels
+            for t, block in enumerate(blocks):
+                for name in features(block):
+                    rows.append(p * self.longest + t)
+                    columns.append(self.places[name])
+        self.rows, self.columns = np.array(rows), np.array(columns)
+        both = self.real[:, 1:]
+        self.seen_moves = np.zeros((2, 2))
+        np.add.at(self.seen_moves, (truth[:, :-1][both], truth[:, 1:][both]), 1)
+        self.one_hot = np.eye(2)[truth] * self.real[..., None]
+        self.size = 2 * len(names) + 6
+
+    def parts(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return theta[:-6].reshape(-1, 2), theta[-6:-4], theta[-4:].reshape(2, 2)
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and slope by the forward-backward sums."""
+        weights, first, moves = self.parts(theta)
+        count, longest, real = self.count, self.longest, self.real
+        unary = np.stack([np.bincount(self.rows, weights[self.columns, k], count * longest) for k in (0, 1)], axis=1)
         unary = unary.reshape(count, longest, 2)
         ahead = np.zeros((count, longest, 2))
         ahead[:, 0] = first + unary[:, 0]
@@ -128,19 +153,30 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]]) -> BlockLabel
             expected += pair[on].sum(axis=0)
             behind[:, t - 1] = np.where(on[:, None], _log_sum(moves + after[:, None, :], 2), 0.0)
         likely = np.exp(ahead + behind - whole[:, None, None]) * real[..., None]
-        error = (likely - one_hot).reshape(-1, 2)
+        error = (likely - self.one_hot).reshape(-1, 2)
         slope = np.concatenate(
             [
-                np.stack([np.bincount(columns, error[rows, k], len(names)) for k in (0, 1)], axis=1).ravel(),
+                np.stack([np.bincount(self.columns, error[self.rows, k], len(weights)) for k in (0, 1)], axis=1).ravel(),
                 error.reshape(count, longest, 2)[:, 0].sum(axis=0),
-                (expected - seen_moves).ravel(),
+                (expected - self.seen_moves).ravel(),
             ]
         )
-        slope = slope / count + PENALTY * theta / count**0.5
+        reached = (unary * self.one_hot).sum() + (first * self.one_hot[:, 0]).sum() + (moves * self.seen_moves).sum()
+        shrink = PENALTY / count**0.5
+        return (whole.sum() - reached) / count + shrink / 2 * (theta**2).sum(), slope / count + shrink * theta
+
+
+def train(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]]) -> BlockLabels:
+    """Fit on pages of blocks with their labels by full gradient steps (Adam)."""
+    likelihood = Likelihood([page for page in pages if len(page[0])])
+    theta = np.zeros(likelihood.size)
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, STEPS + 1):
+        _, slope = likelihood(theta)
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         theta = theta - 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return BlockLabels(places, theta[:size].reshape(-1, 2), theta[size : size + 2], theta[size + 2 :].reshape(2, 2))
+    return BlockLabels(likelihood.places, *likelihood.parts(theta))
 
 
 # Layouts of the labelled pages: elements and the names that sites give to parts which are not main text.
@@ -276,11 +312,19 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[list[
         marked = page.replace("\x01", "<x-other>").replace("\x02", "</x-other>")
         blocks = leaf_blocks(f"<html><head><title>{writer.words(2, 6)}</title></head><body>{marked}</body></html>")
         labels = ["x-other" not in block.tags for block in blocks]
-        plain = [Block(b.text, tuple(t for t in b.tags if t != "x-other"), b.names, b.linked, b.nearest) for b in blocks]
-        found.append((plain, labels))
+        found.append(([Block(b.text, _unmarked(b.level), b.linked) for b in blocks], labels))
     return found
 
 
+def _unmarked(level: Level) -> Level:
+    """The same elements without those that carry labels."""
+    result = PAGE
+    for outer in reversed(list(level.outwards())):
+        if outer.tag != "x-other":
+            result = Level(outer.tag, outer.names, result, outer.new_tag, outer.new_names)
+    return result
+
+
 @lru_cache(maxsize=1)
 def trained() -> BlockLabels:
     return train(labelled_pages())

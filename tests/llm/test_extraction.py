@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,65 @@ def test_many_open_elements_take_linear_time():
     assert [b.text for b in leaf_blocks(page)] == ["one"]
 
 
+BROKEN = ["<x ", "<script ", "<div>t", "<!x", '<a "', "</script", "<a '\"", "</foo>", "<svg>", "<div class=ab>t", "<p><b", "<li><td>"]
+
+
+@pytest.mark.parametrize("form", BROKEN)
+def test_broken_pages_take_linear_time(form):
+    def seconds(size):
+        page = (form * (size // len(form) + 1))[:size]
+        start = time.process_time()
+        extraction.BlockLabels({}, np.zeros((0, 2)), np.zeros(2), np.zeros((2, 2))).main_text(page)
+        return time.process_time() - start
+
+    small = min(seconds(60_000) for _ in range(3))
+    # Square growth would be sixteen times as much.
+    assert seconds(240_000) < 9 * small + 0.2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<ul><li><ul>" + "<div>" * 20_000 + "<li>x</li>" * 20_000,
+        "<div>" * 20_000 + "x</foo>" * 20_000,
+        "".join(f"<div class=name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}>t" for i in range(20_000)),
+    ],
+)
+def test_deep_pages_end_soon(page):
+    start = time.process_time()
+    blocks = leaf_blocks(page)
+    extraction.trained().decode(blocks)
+    assert blocks and time.process_time() - start < 20
+
+
+def test_levels_tell_what_is_around_a_block():
+    page = "<div class=outer><div class='outer inner'><p id=leaf>x</p></div><p>y</p></div><p>z"
+    first, second, third = leaf_blocks(page)
+    assert first.tags == ("div", "div", "p") and first.names == {"outer", "inner", "leaf"} and first.nearest == {"leaf"}
+    assert second.tags == ("div", "p") and second.names == {"outer"} == second.nearest
+    assert third.tags == ("p",) and third.names == third.nearest == frozenset()
+    assert [f for f in extraction.features(first) if f.startswith("tag:")].count("tag:div") == 1
+
+
+def test_scores_are_the_sums_of_the_features():
+    blocks = [block for page, _ in extraction.labelled_pages(5, seed=3) for block in page]
+    model = extraction.trained()
+    plain = [sum(model.weights[model.places[f]] for f in extraction.features(b) if f in model.places) for b in blocks]
+    assert np.allclose(model.scores(blocks), np.array(plain))
+
+
+def test_slope_of_the_likelihood():
+    likelihood = extraction.Likelihood(extraction.labelled_pages(4, seed=8))
+    random = np.random.Generator(np.random.PCG64(3))
+    theta = random.normal(size=likelihood.size) / 3
+    _, slope = likelihood(theta)
+    for place in [*random.integers(0, likelihood.size - 6, 25), *range(likelihood.size - 6, likelihood.size)]:
+        step = np.zeros_like(theta)
+        step[place] = 1e-5
+        (up, _), (down, _) = likelihood(theta + step), likelihood(theta - step)
+        assert slope[place] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
 def test_viterbi_finds_the_best_of_all_labellings():
     random = np.random.Generator(np.random.PCG64(2))
     blocks = leaf_blocks("".join(f"<p>w{i}</p>" for i in range(7)))
