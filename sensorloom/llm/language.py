@@ -40,11 +40,19 @@ BATCH_CHARS = 1_000_000
 UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+# All letters, and numbers that are no digits, such as fractions and superscripts.
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category."""
+    return any(match[0].isalpha() for match in _LETTER_OR_NUMBER.finditer(text))
 
 
 def _codes(text: str) -> np.ndarray:
     letters = _NO_LETTERS.sub(" ", text.lower().encode("utf-8", "replace").decode("utf-8"))
+    if not letters.replace(" ", "a").isalpha():
+        letters = _NO_LETTERS.sub(" ", "".join(c if c.isalpha() else " " for c in letters))
     return np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype=np.uint32)
 
 
@@ -111,7 +119,7 @@ class LanguageModel:
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and calibrated score of each text; ``und`` and 0 without a letter or without languages."""
-        known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+        known = np.array([bool(t) and has_letter(t) for t in texts], dtype=bool)
         if not self.languages:
             known[:] = False
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -143,7 +151,7 @@ def _snippets(rows: Sequence[tuple[str, str]], random: np.random.Generator) -> l
         for length in SNIPPET_CHARS[:SNIPPETS]:
             start = int(random.integers(0, max(1, len(text) - length + 1)))
             piece = text[start : start + length]
-            if _LETTER.search(piece):
+            if has_letter(piece):
                 found.append((piece, language))
     return found
 
@@ -215,7 +223,7 @@ def fit_language(
 ) -> LanguageModel:
     """Model from documents with a language outside the held-out fold."""
     rows = training_rows(docs, docs, label, per_language, key, text)
-    return train([(content, str(language)) for content, language in rows if _LETTER.search(content)])
+    return train([(content, str(language)) for content, language in rows if has_letter(content)])
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
+import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,79 @@ def test_training_uses_neither_the_held_out_fold_nor_rows_without_language(spark
     assert used == {f"text {i}" for i in range(50) if i % 3 and zlib.crc32(str(i).encode()) % 5}
 
 
+def plain_score(model, text):
+    """Language and score of one text, n-gram by n-gram."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    word = [ord(c) for c in f" {' '.join(letters.split())} "]
+    mask, total, count = (1 << 64) - 1, np.zeros(len(model.languages)), 0
+    for size in language.SIZES:
+        for start in range(len(word) - size + 1):
+            gram = word[start : start + size]
+            inner = gram[1:-1] if size > 1 else gram
+            if 32 in inner or gram == [32, 32]:
+                continue
+            value = 0
+            for step, code in enumerate(gram, 1):
+                value = (value * 0x9E3779B97F4A7C15 + code + step) & mask
+            value = ((value ^ (value >> 31)) * 0xBF58476D1CE4E5B9) & mask
+            total += model.table[value >> (64 - language.BUCKET_BITS)]
+            count += 1
+    logits = (total / count + model.bias) / model.temperature
+    shares = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+    return model.languages[shares.argmax()], shares.max()
+
+
+def test_scores_against_plain_python(spark, model):
+    texts = ["Thé thing, and 3 others!", "der  Hund\nund", "ab½c² dé\u0301f", "x", "Ωμέγα and 漢字"]
+    docs = documents(spark, [(i, text, None, "a") for i, text in enumerate(texts)])
+    for row in language.identified(docs, model).collect():
+        name, score = plain_score(model, row.text)
+        assert (row.lang_pred, row.score) == (name, pytest.approx(score, rel=1e-5))
+
+
+@pytest.mark.parametrize("text", ["½ ② ² 12", "١٢٣ ४५", "№ 7 €", "Ⅳ ⑴ ㊀", "_ - \u0301"])
+def test_numbers_and_signs_are_no_letters(model, text):
+    assert not any(unicodedata.category(c).startswith("L") for c in text)
+    names, scores = model.predict([text, text + " ʰ"])
+    assert names[0] == "und" and scores[0] == 0 and names[1] != "und"
+
+
+def test_long_texts_are_trained_on(spark):
+    """A language that has long texts only, and none of whose words stand at a text's beginning."""
+    rows = [(i, "the thing and that one there " * 10, "en", "a") for i in range(40)]
+    rows += [(100 + i, "0 " * 50_000 + "der hund und die katze im schnee " * 9_000, "de", "a") for i in range(12)]
+    model = language.fit_language(documents(spark, rows))
+    assert model.languages == ("de", "en")
+    assert model.predict(["die katze und der hund"])[0] == ["de"]
+
+
+def test_repeated_keys_and_many_labels_are_bounded(spark, monkeypatch):
+    from sensorloom.llm import training
+
+    used = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 5)
+    ids = [used] * 3_000 + [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 5]
+    docs = documents(spark, [(key, f"text {i}", "en", "a") for i, key in enumerate(ids)] + [(used, "same", "de", "a")] * 500)
+    rows = training.training_rows(docs, docs, "lang", 100)
+    by_label = {label: sum(1 for _, k in rows if k == label) for label in ("en", "de")}
+    assert by_label["en"] < 200 and by_label["de"] < 200
+    assert sum(1 for row in rows if row == ("same", "de")) <= 1
+    monkeypatch.setattr(training, "MOST_ROWS", 60)
+    assert len(training.training_rows(docs, docs, "lang", 100)) < 120
+    many = documents(spark, [(i, "a text", f"l{i}", "a") for i in range(700)])
+    with pytest.raises(ValueError, match="more than 500"):
+        training.training_rows(many, many, "lang", 10)
+
+
+def test_pieces_come_from_the_whole_text(spark):
+    from sensorloom.llm.training import PIECES, TRAIN_CHARS, shortened
+
+    texts = ["é" * TRAIN_CHARS, "".join(chr(0x4E00 + i % 20_000) for i in range(100_000))]
+    short, long = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(shortened(F.col("t"))).collect()]
+    assert short == texts[0] and len(long) == TRAIN_CHARS + PIECES - 1
+    pieces = long.split(" ")
+    assert texts[1].startswith(pieces[0]) and texts[1].endswith(pieces[-1]) and all(p in texts[1] for p in pieces)
+
+
 def test_empty_table(spark):
     assert language.language_digest(empty_documents(spark)).count() == 0
     nothing = documents(spark, [(1, "abc", None, "a")])

@@ -34,6 +34,30 @@ def test_texts_do_not_depend_on_their_batch(model):
     assert (together[:3] > 0.5).all()
 
 
+def plain_score(model, text):
+    """Score of one text, n-gram by n-gram."""
+    codes = [ord(c) for c in f" {' '.join((text or '').lower().split())} "]
+    mask, buckets = (1 << 64) - 1, set()
+    for size in toxicity.SIZES:
+        for start in range(len(codes) - size + 1):
+            gram = codes[start : start + size]
+            if 32 in gram[1:-1]:
+                continue
+            value = 0
+            for step, code in enumerate(gram, 1):
+                value = (value * 0x9E3779B97F4A7C15 + code + step) & mask
+            value = ((value ^ (value >> 31)) * 0xBF58476D1CE4E5B9) & mask
+            buckets.add(value >> (64 - toxicity.BUCKET_BITS))
+    return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[b]) for b in sorted(buckets)))))
+
+
+def test_scores_against_plain_python(spark, model):
+    texts = ["word1 NASTYWORD, word3", "nastyword " * 300, "a\n\tb", "", None, "word7 wördé nasty word 漢字漢字", "x"]
+    docs = documents(spark, [(i, text, None, "a") for i, text in enumerate(texts)])
+    for row in toxicity.scored(docs, model).collect():
+        assert row.score == pytest.approx(plain_score(model, row.text), rel=1e-6)
+
+
 def test_one_class_gives_its_share():
     assert toxicity.train(["a", "b"], [0, 0]).scores(["x"])[0] < 0.5
     assert toxicity.train([], []).scores(["x"])[0] == pytest.approx(0.5)
