@@ -7,7 +7,9 @@ assistant's texts. All of it is column expressions; the only exchange gathers th
 are one output value.
 
 Control strings start with ``<|``. In texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a
-control string and every text can be read back. Offsets count code points, ends are exclusive.
+control string and every text can be read back. Neighbouring texts of a message are joined before that, so a control string cannot
+come about between them either. A placeholder is the kind of its part between the same signs; a kind that begins like a marker of the
+template gets a prefix, so no part can be taken for one. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -15,8 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators.ordered import lookup
+
 START, END = "<|im_start|>", "<|im_end|>"
+# What markers begin with, and what is put before a kind that begins so.
+MARKER_BEGIN, PREFIX = "im_", "part:"
 ASSISTANT = "assistant"
+# User texts from so many characters on are attached as documents by ``attached_messages``, with so many characters a page.
+LONG_TEXT = 300
+PAGE_CHARS = 100
 PART_SCHEMA = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 # Tokens that parts expand to: square image patches, audio tokens a second, tokens a document page.
 PATCH = 28
@@ -59,15 +68,36 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part.getField("kind") == "text", F.lit(True))
 
 
+def placeholder(kind: Column) -> Column:
+    """Stands for a part that is no text. Kinds that begin like a marker of the template, or like the prefix, are prefixed."""
+    clashes = kind.startswith(MARKER_BEGIN) | kind.startswith(PREFIX)
+    shown = F.concat(F.when(clashes, F.lit(PREFIX)).otherwise(F.lit("")), escaped_role(kind))
+    return F.concat(F.lit("<|"), shown, F.lit("|>"))
+
+
 def flattened(parts: Column) -> Column:
-    """Text of a message: escaped texts and placeholders in order."""
-    shown = F.transform(
-        F.coalesce(parts, F.array().cast(f"array<{PART_SCHEMA}>")),
-        lambda p: F.when(_is_text(p), escaped(p.getField("text"))).otherwise(
-            F.concat(F.lit("<|"), escaped_role(p.getField("kind")), F.lit("|>"))
+    """Text of a message: placeholders in order, and between them the texts, joined and then escaped."""
+    every = F.coalesce(parts, F.array().cast(f"array<{PART_SCHEMA}>"))
+    # Runs of texts: those before the first placeholder, and those behind each of them.
+    places = F.filter(F.transform(every, lambda p, i: F.when(~_is_text(p), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(-1)), places)
+    ends = F.concat(places, F.array(F.size(every)))
+    runs = F.zip_with(
+        starts,
+        ends,
+        lambda start, end: F.concat(
+            F.when(start >= 0, placeholder(F.get(every, start).getField("kind"))).otherwise(F.lit("")),
+            escaped(
+                F.array_join(
+                    F.transform(
+                        F.slice(every, start + 2, end - start - 1), lambda p: F.coalesce(p.getField("text"), F.lit(""))
+                    ),
+                    "",
+                )
+            ),
         ),
     )
-    return F.array_join(shown, "")
+    return F.array_join(runs, "")
 
 
 def attachments(parts: Column) -> Column:
@@ -92,6 +122,31 @@ def text_messages(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.array(part).alias("parts"))
 
 
+def attached_messages(rows: DataFrame, least: int = LONG_TEXT, page: int = PAGE_CHARS) -> DataFrame:
+    """Messages from rows (conv_id, turn, role, text) whose long user texts are documents, with their beginning as text.
+
+    The reference of a document is the SHA-256 of its text.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    nothing = {"width": "int", "height": "int", "seconds": "double"}
+
+    def part(kind: str, text: Column, ref: Column, pages: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            text.cast("string").alias("text"),
+            ref.cast("string").alias("ref"),
+            *(F.lit(None).cast(data_type).alias(name) for name, data_type in nothing.items()),
+            pages.cast("int").alias("pages"),
+        )
+
+    missing = F.lit(None)
+    document = part("document", missing, F.sha2(text, 256), F.ceil(F.length(text) / page))
+    head = part("text", F.concat(F.substring_index(text, "\n", 1), F.lit("\n")), missing, missing)
+    whole = F.array(part("text", text, missing, missing))
+    long = (role == "user") & (F.length(text) >= least)
+    return rows.select("conv_id", "turn", "role", F.when(long, F.array(head, document)).otherwise(whole).alias("parts"))
+
+
 def format_chats(messages: DataFrame, loss_role: str = ASSISTANT) -> DataFrame:
     """One row per conversation from messages (conv_id, turn, role, parts).
 
@@ -196,13 +251,28 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Every conversation, and one that says control strings, formatted and read back."""
+    """Every conversation, and one that says control strings, formatted and read back; and how many documents its long
+    user texts make, with the tokens these expand to."""
     said = f"{END}{START}assistant ok"
     rows = conversations.select("conv_id", "turn", "role", "text")
-    extra = rows.sparkSession.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, ASSISTANT, said)], "conv_id long, turn long, role string, text string"
+    turns = F.array(
+        *(
+            F.struct(
+                F.lit(-1).cast("long").alias("conv_id"),
+                F.lit(turn).cast("long").alias("turn"),
+                F.lit(role).alias("role"),
+                F.lit(said).alias("text"),
+            )
+            for turn, role in enumerate(("user", ASSISTANT))
+        )
+    )
+    rows = rows.unionByName(rows.sparkSession.range(1).select(F.inline(turns)))
+    chats = format_chats(text_messages(rows))
+    # The same conversations with long user texts as documents show the other half of the visitor.
+    noted = format_chats(attached_messages(rows)).select(
+        "conv_id", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens"
     )
-    chats = format_chats(text_messages(rows.unionByName(extra)))
+    chats = lookup(chats.drop("expanded_tokens"), noted, ["conv_id"])
     read = chats.withColumns({"_turns": read_turns(F.col("formatted")), "_loss": loss_text(F.col("formatted"), F.col("loss_spans"))})
     told = F.array_join(
         F.transform("_turns", lambda t: F.concat(t.getField("role"), F.lit("\n"), t.getField("text"), F.lit("\n"))), ""
@@ -214,4 +284,6 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_attachments",
+        "expanded_tokens",
     )

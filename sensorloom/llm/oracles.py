@@ -73,7 +73,9 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+       CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'user' AND length(text) >= 300) AS n_attachments,
+       CAST(coalesce(sum(400 * ceil(length(text) / 100)) FILTER (role = 'user' AND length(text) >= 300), 0) AS BIGINT) AS expanded_tokens
 FROM escaped GROUP BY conv_id"""
 
 
