@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators import limits, relations, sessions, stats
 from sensorloom.plans import daily
-from sensorloom.session import scratch_path
+from sensorloom.session import scratch_path, stored
 from sensorloom.sinks import tables
 from sensorloom.sources import readings as source
 
@@ -173,6 +174,14 @@ def _cluster_sizes(r: DataFrame) -> DataFrame:
     return relations.kmeans_clusters(_apart(r), LISTED, keys=("date",)).select("cluster_num")
 
 
+def _clusters_of_days(r: DataFrame) -> DataFrame:
+    """Clusters of every date, whose aligned readings are moved apart by their position."""
+    place = F.row_number().over(Window.partitionBy("date", "sensor").orderBy("ts", "seq")) - 1
+    apart = r.withColumn("measure", F.col("measure") + place % 3 * 100_000)
+    found = relations.kmeans_by_date(apart, LISTED)
+    return _rounded(found.drop("clusterid"), "sensor1", "sensor2", "sensor3")
+
+
 def _day_report(name: str) -> Query:
     """One day's report from the device-day layout of all events."""
 
@@ -201,6 +210,68 @@ def _rerun_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_result(spark, table, path)
 
 
+def _rerun_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outliers of all days, then those of one day again after a correction that leaves it none."""
+    path, table, r = scratch_path(spark, "results"), "sensor_outliers", _readings(spark, sf_dir)
+    tables.replace_days(limits.outliers(r), table, path)
+    corrected = r.filter(F.col("date") == F.lit(DAY).cast("date")).withColumn("measure", F.lit(1.0))
+    tables.replace_days(limits.outliers(corrected), table, path, days=[DAY])
+    return tables.read_result(spark, table, path)
+
+
+def _read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines accepted and rejected, counted by the scan that computes the daily totals."""
+    path, counts = scratch_path(spark, "readings"), Observation()
+    _raw_fields(spark, sf_dir).drop("seq").write.csv(path, header=True, quote="")
+    totals = stats.daily_total(source.read_readings(spark, path, counts=counts), "LiMo")
+    stored(totals, "totals")
+    lines, rejected = counts.get["lines"], counts.get["rejected"]
+    return totals.agg(
+        F.sum("count").alias("readings"),
+        F.lit(lines - rejected).cast("long").alias("accepted"),
+        F.lit(rejected).cast("long").alias("rejected"),
+    )
+
+
+# The reports of a day with the sensors of the events.
+DAY_REPORTS = {
+    "sensor-count": daily.Report("sensor_count", lambda r, sizes: stats.sensor_count(r), LISTED),
+    "top-value": daily.Report(
+        "sensor_top_value", lambda r, sizes: limits.top_value(r, sizes=sizes), LISTED, 2, daily.BY_GROUP
+    ),
+    "boxplot": daily.Report(
+        "sensor_boxplot", lambda r, sizes: limits.boxplot(r, sizes=sizes), None, 2, daily.BY_SENSOR
+    ),
+    "outliers": daily.Report(
+        "sensor_outliers", lambda r, sizes: limits.outliers(r, sizes=sizes), None, 2, daily.BY_SENSOR
+    ),
+    "restarts": daily.Report(
+        "sensor_restart_count",
+        lambda r, sizes: sessions.restart_count(r, STATUS, sizes=sizes),
+        [STATUS], 2, sessions.DEVICE_DAY,
+    ),
+}
+
+
+def _day_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several reports of a day from one parse and one count of its groups, as rows of one table."""
+    path = scratch_path(spark, "readings")
+    raw = _raw_fields(spark, sf_dir).drop("seq")
+    raw.write.csv(path, header=True, quote="")
+    results = daily.compute_day(spark, list(DAY_REPORTS), path, DAY, reports=DAY_REPORTS)
+    values = {"sensor-count": "count", "top-value": "topvalue", "boxplot": "upper", "outliers": "measure", "restarts": "spendtime"}
+
+    def shown(name: str, result: DataFrame) -> DataFrame:
+        keys = (
+            (F.col(key) if key in result.columns else F.lit(None)).cast("string").alias(key)
+            for key in ("date", "deviceid", "sensor")
+        )
+        value = F.round(F.col(values[name]).cast("double"), 6).alias("value")
+        return result.select(F.lit(name).alias("report"), *keys, value)
+
+    return reduce(DataFrame.unionByName, (shown(name, result) for name, result in results.items()))
+
+
 def _empty_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all days, and an append of nothing."""
     path, table = scratch_path(spark, "results"), "sensor_data_count"
@@ -234,6 +305,49 @@ WITH raw AS (
   FROM events)"""
 
 
+# Raw fields as readings, without the rows that have no time.
+ACCEPTED_SQL = (
+    RAW_SQL
+    + """,
+readings AS (
+  SELECT deviceid, sensor, measure, ts, seq, ts + INTERVAL 8 HOUR AS local_ts,
+         CAST(ts + INTERVAL 8 HOUR AS DATE) AS date
+  FROM raw WHERE sensor <> 'signup')"""
+)
+
+
+def _day_plan_sql() -> str:
+    """The reports of one day over the accepted rows; times are whole seconds, rows of a second follow the file."""
+    top = "CAST(floor(count(*) OVER g * CAST(0.001 AS DOUBLE)) AS BIGINT)"
+    return f"""{ACCEPTED_SQL},
+day AS (SELECT * FROM readings WHERE date = DATE '{DAY}'),
+ranked AS (
+  SELECT date, deviceid, sensor, measure, row_number() OVER (g ORDER BY measure DESC) AS place, {top} AS skipped
+  FROM day WHERE sensor IN ({_listed_sql(LISTED)}) WINDOW g AS (PARTITION BY date, deviceid, sensor)),
+fences AS (
+  SELECT date, sensor, quantile_disc(measure, 0.75) + 1.5 * (quantile_disc(measure, 0.75) - quantile_disc(measure, 0.25)) AS upper
+  FROM day GROUP BY date, sensor),
+steps AS (
+  SELECT *, lag(measure) OVER w AS before, lag(local_ts) OVER w AS before_ts
+  FROM day WHERE sensor = '{STATUS}' WINDOW w AS (PARTITION BY date, deviceid ORDER BY ts, seq)),
+times AS (
+  SELECT *, CASE WHEN before = 0 AND measure > 0 THEN local_ts WHEN before > 0 AND measure = 0 THEN before_ts END AS t FROM steps),
+restarts AS (
+  SELECT date, deviceid, count(t) AS k, arg_max(measure, (ts, seq)) AS last_state,
+         sum(CASE WHEN i % 2 = 0 THEN epoch(t) ELSE -epoch(t) END) AS paired, epoch(CAST(max(t) AS DATE) + INTERVAL 1 DAY) AS midnight
+  FROM (SELECT *, count(t) OVER (PARTITION BY date, deviceid ORDER BY ts, seq) AS i FROM times) GROUP BY date, deviceid),
+shown AS (
+  SELECT 'sensor-count' AS report, date, deviceid, sensor, CAST(count(*) AS DOUBLE) AS value
+  FROM day WHERE sensor IN ({_listed_sql(LISTED)}) GROUP BY ALL
+  UNION ALL SELECT 'top-value', date, deviceid, sensor, measure FROM ranked WHERE place = skipped + 1
+  UNION ALL SELECT 'boxplot', date, NULL, sensor, upper FROM fences
+  UNION ALL SELECT 'outliers', date, NULL, sensor, measure FROM day JOIN fences USING (date, sensor) WHERE measure > upper
+  UNION ALL SELECT 'restarts', date, deviceid, NULL,
+         CASE WHEN k = 0 THEN CASE WHEN last_state > 0 THEN 86400 ELSE 0 END WHEN k % 2 = 0 THEN paired ELSE paired + midnight END
+  FROM restarts)
+SELECT report, CAST(date AS VARCHAR) AS date, deviceid, sensor, round(value, 6) AS value FROM shown"""
+
+
 def _listed_sql(names: list[str]) -> str:
     return ", ".join(f"'{name}'" for name in names)
 
@@ -559,6 +673,25 @@ FROM groups GROUP BY apart""",
         _over_readings(_cluster_sizes),
         f"""{_aligned_sql(LISTED, 'date')}
 SELECT count(*) AS cluster_num FROM aligned GROUP BY day(date) % 3""",
+    ),
+    "kmeans_by_date": (
+        _over_readings(_clusters_of_days),
+        f"""{_aligned_sql(LISTED, 'date')},
+groups AS (SELECT *, (place - 1) % 3 * 100000 AS apart FROM aligned)
+SELECT date, count(*) AS cluster_num, round(avg({LISTED[0]} + apart), 6) AS sensor1,
+       round(avg({LISTED[1]} + apart), 6) AS sensor2, round(avg({LISTED[2]} + apart), 6) AS sensor3
+FROM groups GROUP BY date, apart""",
+    ),
+    "day_plan": (_day_plan, _day_plan_sql()),
+    "read_counts": (
+        _read_counts,
+        """SELECT count(*) FILTER (event_type <> 'signup') AS readings, count(*) FILTER (event_type <> 'signup') AS accepted,
+       count(*) FILTER (event_type = 'signup') AS rejected FROM events""",
+    ),
+    "outliers_rerun_empty": (
+        _rerun_without_rows,
+        f"""{_quartile_sql('date, sensor')} SELECT CAST(date AS VARCHAR) AS date, sensor, measure
+FROM readings JOIN fences USING (date, sensor) WHERE measure > upper AND date <> DATE '{DAY}'""",
     ),
     "day_report": (
         _day_report("max-min"),

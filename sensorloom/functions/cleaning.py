@@ -36,3 +36,9 @@ def wall_seconds(ts: Column) -> Column:
     """
     days = F.unix_date(ts.cast("date")).cast("long")
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a zone-free timestamp, by its calendar parts alike."""
+    minutes = F.unix_date(ts.cast("date")).cast("long") * 1_440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +14,22 @@ from sensorloom.operators.ordered import (
     WHOLE,
     GroupSizes,
     OrderedGroups,
-    by_merged_size,
+    by_size,
     grouping,
     join_per_group,
+    lookup,
     measure_groups,
 )
+from sensorloom.operators.ranks import Rank, select_ranks
 
 DEVICE_DAY_SENSOR = ("date", "deviceid", "sensor")
 DAY_SENSOR = ("date", "sensor")
 TOP_FRACTION = 0.001
+# Mean group size, in rows, from which equal measures are merged before they are sorted.
+MERGE_ROWS = 50_000
 # Fixed value: whisker length of a box plot in interquartile ranges.
 WHISKER = 1.5
 
-# Maps the group size to the wanted rank, counted from 1 in ascending order.
-Rank = Callable[[Column], Column]
-
-
 def quantile_rank(p: float) -> Rank:
     """Rank of the smallest value that at least the share ``p`` of the group does not exceed."""
     return lambda n: F.greatest(F.ceil(n * F.lit(p)).cast("long"), F.lit(1).cast("long"))
@@ -40,9 +40,17 @@ def top_rank(fraction: float) -> Rank:
     return lambda n: n - F.floor(n * F.lit(float(fraction))).cast("long")
 
 
-def _ranked(rows: DataFrame, keys: list[str], hot: GroupSizes | None) -> OrderedGroups:
+def _merged(rows: DataFrame, sizes: GroupSizes) -> DataFrame:
+    """Rows with a weight. Equal rows of large groups become one: measures are bound to repeat there, and merging them
+    shrinks the sort. For small groups it would only add a shuffle."""
+    if sizes.mean_rows >= MERGE_ROWS:
+        return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return rows.withColumn(WEIGHT, F.lit(1).cast("long"))
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> OrderedGroups:
     """Measures in ascending order with the rows before each and the group size."""
-    return OrderedGroups.of(rows, keys, ["measure"], hot).running_total(
+    return OrderedGroups.of(rows, keys, ["measure"], None).running_total(
         F.col(WEIGHT), "_before", "_n"
     )
 
@@ -58,8 +66,10 @@ def _order_statistics(
     rows: DataFrame, keys: list[str], ranks: Mapping[str, Rank], sizes: GroupSizes
 ) -> DataFrame:
     def pick(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
+        if hot is not None:
+            return select_ranks(part, keys, ranks, hot)
         return (
-            _ranked(part, keys, hot)
+            _ranked(_merged(part, sizes), keys)
             .rows.groupBy(*keys)
             .agg(
                 *(F.max(_at(rank)).alias(name) for name, rank in ranks.items()),
@@ -67,7 +77,7 @@ def _order_statistics(
             )
         )
 
-    return by_merged_size(rows.select(*keys, "measure"), keys, sizes, pick)
+    return by_size(rows.select(*keys, "measure"), keys, sizes, pick)
 
 
 def order_statistics(
@@ -164,18 +174,25 @@ def exceed_by_hour(
 ) -> DataFrame:
     """Readings strictly above the top value of their group, counted per hour.
 
-    Threshold and comparison share one sorted pass; the readings are not joined to themselves.
+    Threshold and comparison share one sorted pass; the readings are not joined to themselves. Hot groups are not
+    sorted: their thresholds are found by counting, and a second pass compares with them.
     """
     rows, by = grouping(readings, keys)
     sizes = sizes or measure_groups(rows, by, hot_rows)
+    hours = list(dict.fromkeys([*by, "hour"]))
+    top = top_rank(fraction)
 
     def count(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
-        compared = _ranked(part, by, hot).group_max(_at(top_rank(fraction)), "_top").rows
-        return (
-            compared.filter(F.col("measure") > F.col("_top"))
-            .groupBy(*dict.fromkeys([*by, "hour"]))
-            .agg(F.sum(WEIGHT).alias("count"))
-        )
-
-    compared_columns = dict.fromkeys([*by, "hour", "measure"])
-    return by_merged_size(rows.select(*compared_columns), by, sizes, count).drop(WHOLE)
+        if hot is not None:
+            tops = select_ranks(part, by, {"_top": top}, hot).drop("count")
+            few = hot.few(hot.hot_groups)
+            compared = lookup(part, tops, by, "inner", few, salted=True)
+            weight = F.count(F.lit(1))
+        else:
+            compared = _ranked(_merged(part, sizes), by).group_max(_at(top), "_top").rows
+            weight = F.sum(WEIGHT)
+        above = compared.filter(F.col("measure") > F.col("_top"))
+        return above.groupBy(*hours).agg(weight.alias("count"))
+
+    used = rows.select(*dict.fromkeys([*hours, "measure"]))
+    return by_size(used, by, sizes, count).drop(WHOLE)

@@ -3,13 +3,16 @@
 Ranks, running totals and previous-row lookups are windows, and a window puts a whole group into one
 task. That is right for the many small groups of sensor data and wrong for a device or sensor that
 holds a large part of all rows. So groups are counted first. Groups up to a row limit stay whole.
-Larger ones are range-partitioned by (keys, order) into chunks that are consecutive in that order;
-windows then run inside a chunk, and a small table with one row per chunk carries totals and last
-rows from one chunk to the next. Both ways give the same exact result.
+Larger ones are cut into chunks that are consecutive in the order; windows then run inside a chunk, and a small
+table with one row per chunk carries totals and last rows from one chunk to the next. Both ways give the same exact result.
 
-The chunk number of a row comes from a sampled range partitioning, so chunked rows are stored before
-anything is computed from them: a second evaluation could cut elsewhere. More chunks than one shuffle should have
-are cut in two steps, ranges first and then the chunks of some ranges at a time.
+Groups in the order of time are cut into cells of equal width, whose width is found for each group by counting until no
+cell has more rows than the limit. The cell of a row follows from its time and that width alone, so a second evaluation cuts
+alike, nothing is stored, and the windows need one shuffle by group and cell however many cells there are.
+
+Any other order, and a group of which more rows than the limit share one instant, is range-partitioned by (keys, order). These
+chunk numbers come from a sample, so the rows are stored before anything is computed from them: a second evaluation could cut
+elsewhere. More chunks than one shuffle should have are cut in two steps, ranges first and then the chunks of some ranges at a time.
 
 Nothing here grows in the driver: it receives counts only. A table is broadcast if its counted rows are few, and
 joined by a shuffle beyond, salted where one key can be hot.
@@ -24,7 +27,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sensorloom.functions.cleaning import wall_micros
 from sensorloom.session import scratch_path, stored
 
 # Largest group, in rows, that one task may sort.
@@ -33,8 +38,12 @@ HOT_ROWS = 5_000_000
 SHUFFLE_CHUNKS = 5_000
 # Largest table, in rows of a few numbers and keys, that is sent to every executor.
 BROADCAST_ROWS = 500_000
-# Mean group size, in rows, from which equal measures are merged before they are sorted.
-MERGE_ROWS = 50_000
+# Widths of time cells in microseconds, from a day down to the resolution of the type.
+SECOND = 1_000_000
+CELL_WIDTHS = (
+    *(n * SECOND for n in (86_400, 21_600, 3_600, 600, 60, 10, 1)),
+    *(10**n for n in range(5, -1, -1)),
+)
 
 # Parts into which the rows of a hot key are dealt when they meet a table that is too large to broadcast.
 SALTS = 32
@@ -89,16 +98,18 @@ def measure_groups(
     hot_rows: int = HOT_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     shuffle_chunks: int = SHUFFLE_CHUNKS,
+    counted: str | None = None,
 ) -> GroupSizes:
     """Count the groups with one partial aggregation, a job that runs at once.
 
-    The keys of the hot groups are stored as a table; the driver receives four numbers.
+    The keys of the hot groups are stored as a table; the driver receives four numbers. ``counted`` names a column with
+    the number of rows that each row stands for, such as counts by finer keys.
     """
     every, large = Observation(), Observation()
     count, total = F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))
     hot = (
         rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg((F.sum(counted) if counted else F.count(F.lit(1))).alias("_rows"))
         .observe(every, count.alias("groups"), total.alias("rows"))
         .filter(F.col("_rows") > hot_rows)
         .observe(large, count.alias("groups"), total.alias("rows"))
@@ -181,34 +192,75 @@ def join_per_group(
     return by_size(rows, keys, sizes, joined)
 
 
-def by_merged_size(
-    rows: DataFrame,
-    keys: Sequence[str],
-    sizes: GroupSizes,
-    work: Callable[[DataFrame, GroupSizes | None], DataFrame],
-) -> DataFrame:
-    """Like by_size, for work on rows with a weight: equal rows of large groups become one.
+def _instant(rows: DataFrame, time: str) -> Column:
+    """Microseconds of a time column."""
+    zoned = isinstance(rows.schema[time].dataType, T.TimestampType)
+    return F.unix_micros(time) if zoned else wall_micros(F.col(time))
 
-    Measures are bound to repeat in a large group. Merging them shrinks the sort, keeps a hot value
-    out of a single task, and often leaves a hot group small enough to stay whole. For small groups
-    it would only add a shuffle.
-    """
 
-    def merged(part: DataFrame) -> DataFrame:
-        return part.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+def _cell_of(instant: Column, width: Column | int) -> Column:
+    return F.floor(instant / width).cast("long")
 
-    def prepared(part: DataFrame, hot: GroupSizes | None) -> DataFrame:
-        if hot is not None:
-            fewer = stored(merged(part), "merged")
-            again = measure_groups(
-                fewer, keys, sizes.limit, sizes.broadcast_rows, sizes.shuffle_chunks
-            )
-            return by_size(fewer, keys, again, work)
-        if sizes.mean_rows >= MERGE_ROWS:
-            return work(merged(part), None)
-        return work(part.withColumn(WEIGHT, F.lit(1).cast("long")), None)
 
-    return by_size(rows, keys, sizes, prepared)
+@dataclass(frozen=True)
+class TimeCells:
+    """For each hot group the width of its time cells. ``dense`` has the groups that no width can cut."""
+
+    widths: DataFrame
+    cells: int
+    dense: DataFrame | None
+
+
+def measure_cells(rows: DataFrame, keys: Sequence[str], time: str, hot: GroupSizes) -> TimeCells:
+    """Find the widest cells with at most the row limit for each group, by counting at call.
+
+    Groups with fuller cells are counted again with narrower ones, at least as much narrower as the fullest cell of each asks for.
+    """
+    keys, instant, few = list(keys), _instant(rows, time), hot.few(hot.hot_groups)
+    settled: list[DataFrame] = []
+    cells, wanted, open_ = 0, CELL_WIDTHS[0], None
+    for width in CELL_WIDTHS:
+        if width > wanted:
+            continue
+        part = rows if open_ is None else lookup(rows, open_, keys, "left_semi", few, salted=True)
+        full, seen = F.col("_most") > hot.limit, Observation()
+        counted = (
+            part.groupBy(*keys, _cell_of(instant, width).alias("_cell"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            .groupBy(*keys)
+            .agg(F.max("_rows").alias("_most"), F.count(F.lit(1)).alias("_cells"))
+        )
+        counted = stored(
+            counted.observe(
+                seen,
+                F.count_if(full).alias("open"),
+                F.min(F.when(full, F.col("_most"))).alias("least"),
+                F.coalesce(F.sum(F.when(~full, F.col("_cells"))), F.lit(0)).alias("cells"),
+            ),
+            "cells",
+        )
+        settled.append(counted.filter(~full).select(*keys, F.lit(width).alias("_width")))
+        cells += seen.get["cells"]
+        if not seen.get["open"]:
+            open_ = None
+            break
+        open_ = counted.filter(full).select(*keys)
+        wanted = width * hot.limit // seen.get["least"]
+        wanted = max(wanted, CELL_WIDTHS[-1])
+        if width == CELL_WIDTHS[-1]:
+            break
+    return TimeCells(reduce(DataFrame.unionByName, settled), cells, open_)
+
+
+def cut_by_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: GroupSizes) -> tuple[DataFrame, int]:
+    """Rows of hot groups with the number of their time cell, and how many cells there are at most."""
+    found, few = measure_cells(rows, keys, order[0], hot), hot.few(hot.hot_groups)
+    placed = lookup(rows, found.widths, keys, "inner", few, salted=True)
+    placed = placed.withColumn(CHUNK, _cell_of(_instant(rows, order[0]), F.col("_width"))).drop("_width")
+    if found.dense is None:
+        return placed, found.cells
+    dense = lookup(rows, found.dense, keys, "left_semi", few, salted=True)
+    return placed.unionByName(cut_into_chunks(dense, [*keys, *order], hot)), found.cells + hot.chunks
 
 
 def cut_into_chunks(rows: DataFrame, order: list[str], hot: GroupSizes) -> DataFrame:
@@ -244,6 +296,7 @@ class OrderedGroups:
     keys: list[str]
     order: list[str]
     hot: GroupSizes | None
+    cells: int = 0
 
     @property
     def split(self) -> bool:
@@ -253,12 +306,15 @@ class OrderedGroups:
     def of(
         cls, rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: GroupSizes | None
     ) -> OrderedGroups:
-        """``hot`` tells how many chunks to cut the rows into, which stores them at once; None leaves the groups
-        whole."""
+        """``hot`` tells that the groups are to be cut, which counts them at once, or stores them if their order is not that
+        of time; None leaves the groups whole."""
         keys, order = list(keys), list(order)
         if hot is None:
             return cls(rows, keys, order, None)
-        return cls(cut_into_chunks(rows, [*keys, *order], hot), keys, order, hot)
+        if isinstance(rows.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+            cut, cells = cut_by_time(rows, keys, order, hot)
+            return cls(cut, keys, order, hot, cells)
+        return cls(cut_into_chunks(rows, [*keys, *order], hot), keys, order, hot, hot.chunks)
 
     @property
     def _cell(self) -> list[str]:
@@ -274,7 +330,7 @@ class OrderedGroups:
 
     def _beside(self, rows: DataFrame, per_chunk: DataFrame) -> DataFrame:
         """Rows with a table that has one row per group and chunk. By a shuffle a cell of it meets one chunk."""
-        few = self.hot.few(self.hot.hot_groups + self.hot.chunks)
+        few = self.hot.few(self.hot.hot_groups + self.cells)
         return lookup(rows, per_chunk, self._cell, broadcast=few)
 
     def _per_chunk(self, **values: Column) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from itertools import combinations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.ordered import (
@@ -29,6 +30,8 @@ from sensorloom.session import stored
 POSITION = "position"
 # Aligned rows in one partition of a clustering, whatever the session's settings.
 CLUSTER_ROWS = 1_000_000
+# Dates whose models are fitted at the same time.
+MODELS_AT_ONCE = 4
 
 
 def align(
@@ -302,3 +305,46 @@ def kmeans_clusters(
     return frame.join(found, "clusterid", "left").select(
         "clusterid", F.coalesce("cluster_num", F.lit(0).cast("long")).alias("cluster_num"), *names
     )
+
+
+def kmeans_by_date(
+    readings: DataFrame,
+    sensors: Sequence[str],
+    k: int = 3,
+    max_iter: int = 10,
+    seed: int = 1,
+    drop_last: bool = True,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
+    at_once: int = MODELS_AT_ONCE,
+) -> DataFrame:
+    """Centre and size of each cluster of every date, from a model of its own; one aligned table, stored by date.
+
+    Readings are aligned within their date. A date with at most ``k`` different rows has one cluster for each. The dates pass through the driver, as do the centres; ``at_once`` models
+    are fitted at the same time, each by Spark's own jobs over the folder of its date.
+    """
+    sensors = list(sensors)
+    aligned = align(readings, sensors, ("date",), drop_last, hot_rows, sizes)
+    aligned = stored(aligned.hint("rebalance", F.col("date")), "aligned", partition_by="date")
+    days = aligned.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*sensors).alias("points"))
+    names = [f"sensor{i}" for i in range(1, len(sensors) + 1)]
+
+    def of_day(day: Row) -> list[tuple]:
+        parts = max(1, math.ceil(day["rows"] / CLUSTER_ROWS))
+        own = aligned.filter(F.col("date").eqNullSafe(F.lit(day["date"]).cast("date")))
+        if day["points"] <= k:
+            # No more points than clusters: each is a cluster, which needs no model, nor would one accept them.
+            found = own.groupBy(*sensors).count().orderBy(*sensors).collect()
+            return [(day["date"], i, row["count"], *(row[s] for s in sensors)) for i, row in enumerate(found)]
+        own = own.repartition(parts, POSITION).sortWithinPartitions(POSITION)
+        model, clustered = fit_clusters(own, sensors, k, max_iter, seed)
+        sizes_of = dict(clustered.groupBy("prediction").count().collect())
+        return [
+            (day["date"], number, sizes_of.get(number, 0), *(float(x) for x in centre))
+            for number, centre in enumerate(model.clusterCenters())
+        ]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [row for found in pool.map(of_day, days.orderBy("date").collect()) for row in found]
+    schema = "date date, clusterid int, cluster_num long, " + ", ".join(f"{name} double" for name in names)
+    return readings.sparkSession.createDataFrame(rows, schema)

@@ -64,6 +64,12 @@ def refuse_machine_local(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{folder} is on one machine; set {CHECKPOINT_SETTING} to a shared folder")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if there is one."""
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
 _open_copies: list[list[str]] = []
 
 
@@ -79,8 +85,7 @@ def released_copies(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open_copies.pop():
-            folder, system = _folder(spark, path)
-            system.delete(folder, True)
+            remove_folder(spark, path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

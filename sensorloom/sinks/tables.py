@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.session import remove_folder, stored
 from sensorloom.sources.sensors import MATRIX
 
 # Rows per insert batch of a relational sink.
@@ -118,6 +120,12 @@ def without_existing(
     return conform(result, table).join(existing.select(*key), key, "left_anti")
 
 
+def by_date(result: DataFrame) -> DataFrame:
+    """Rows of a date together, so that the files of a write follow the dates and the bytes: a date with many rows is
+    split, small ones share a task."""
+    return result.hint("rebalance", F.col("date"))
+
+
 def write_result(
     result: DataFrame,
     table: str,
@@ -133,17 +141,14 @@ def write_result(
     that name with the caller's connection options, in batches. ``leave_out`` names columns that a table made
     elsewhere does not have, such as the row label of the matrix.
     """
-    writer = (
-        conform(result, table)
-        .drop(*leave_out)
-        .write.format(fmt)
-        .mode(mode)
-        .options(**sink_options(fmt, table, options))
-    )
+    rows, dated = conform(result, table).drop(*leave_out), "date" in CONTRACTS[table].names
+    if dated and fmt != "jdbc":
+        rows = by_date(rows)
+    writer = rows.write.format(fmt).mode(mode).options(**sink_options(fmt, table, options))
     if fmt == "jdbc":
         writer.save()
         return
-    if "date" in CONTRACTS[table].names:
+    if dated:
         writer = writer.partitionBy("date")
     writer.save(table_path(path, table))
 
@@ -154,15 +159,24 @@ def replace_days(
     path: str | None = None,
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
+    days: Sequence[str] = (),
 ) -> None:
     """Write a result in place of what its table holds of the same dates; other dates stay.
 
-    A date without rows in the result keeps its old ones. Relational tables cannot be replaced by day.
+    ``days`` are those that were run: one of them that has no row in the result loses the rows it had. The result is
+    stored first, so it may be read from the table itself, and a run that fails before that changes nothing. Relational tables cannot be
+    replaced by day.
     """
     if fmt == "jdbc":
         raise ValueError("days of a relational table cannot be replaced; delete them there first")
+    if "date" not in CONTRACTS[table].names:
+        raise ValueError(f"{table} has no date")
+    run = {dt.date.fromisoformat(day).isoformat() for day in days}
+    staged = stored(conform(result, table), "staged")
     dynamic = {"partitionOverwriteMode": "dynamic"}
-    write_result(result, table, path, fmt, {**(options or {}), **dynamic}, mode="overwrite")
+    write_result(staged, table, path, fmt, {**(options or {}), **dynamic}, mode="overwrite")
+    for day in sorted(run - set(dates_of(staged))):
+        remove_folder(staged.sparkSession, f"{table_path(path, table)}/date={day}")
 
 
 def sink_options(fmt: str, table: str, options: Mapping[str, str] | None) -> dict[str, str]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +35,18 @@ DOCUMENT_FIELDS = ["deviceid", "topic", "sensor", "measure", "timestamp"]
 
 
 def read_raw(
-    spark: SparkSession, path: str, date: str | None = None, sensors: Iterable[str] | None = None
+    spark: SparkSession,
+    path: str,
+    date: str | None = None,
+    sensors: Iterable[str] | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Text fields of comma-separated files with a header line; quotes have no meaning.
 
     ``{date}`` in the path is replaced by the date, for layouts with one file per day. ``seq`` follows
     the position in the file. ``sensors`` are chosen by the text field itself and before anything else, so that
-    the scan can skip the other lines.
+    the scan can skip the other lines. ``counts`` receives ``lines`` and ``rejected`` of all lines, whatever their sensor,
+    from the first job that reads them; the scan then skips none.
     """
     if date is not None:
         path = path.replace("{date}", date)
@@ -52,6 +57,12 @@ def read_raw(
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
+    if counts is not None:
+        lines = lines.observe(
+            counts,
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(parse_time(F.col("timestamp")).isNull()).alias("rejected"),
+        )
     if sensors is not None:
         lines = lines.filter(F.col("sensor").isin(list(sensors)))
     position = F.struct(
@@ -99,9 +110,17 @@ def read_readings(
     date: str | None = None,
     offset_hours: int = OFFSET_HOURS,
     sensors: Iterable[str] | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
-    """Readings of a path or, with ``{date}`` in it, of that day's file."""
-    return accepted(parse_readings(read_raw(spark, path, date, sensors), offset_hours))
+    """Readings of a path or, with ``{date}`` in it, of that day's file. ``counts`` as in ``read_raw``."""
+    return accepted(parse_readings(read_raw(spark, path, date, sensors, counts), offset_hours))
+
+
+def check_rejects(counts: Observation, most: float) -> None:
+    """Raise if more than the share ``most`` of the lines that were read had no readable time."""
+    lines, rejected = counts.get["lines"], counts.get["rejected"]
+    if rejected > most * lines:
+        raise ValueError(f"{rejected} of {lines} lines have no readable time, more than a share of {most}")
 
 
 def read_table(

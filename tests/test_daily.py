@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from sensorloom.operators import limits, relations, sessions
 from sensorloom.plans import daily
 from sensorloom.session import shared_folder
 from sensorloom.sinks import tables
@@ -113,3 +114,72 @@ def test_reports_leave_no_copies(spark, day_path, tmp_path):
     before = {p.name for p in folder.glob("*")} if folder.exists() else set()
     daily.run(spark, "exceed", day_path, DAY, str(tmp_path))
     assert {p.name for p in folder.glob("*")} == before
+
+
+def rows_of(df):
+    return canonical(map(tuple, df.collect()), df.columns)
+
+
+def test_all_reports_share_one_parse(spark, day_path, monkeypatch):
+    parses, counted = [], []
+    plain_raw, plain_sizes = daily.read_raw, daily.measure_groups
+    monkeypatch.setattr(daily, "read_raw", lambda *a, **k: parses.append(a) or plain_raw(*a, **k))
+    monkeypatch.setattr(daily, "measure_groups", lambda *a, **k: counted.append(k) or plain_sizes(*a, **k))
+    names = [*daily.REPORTS, *daily.VIEWS]
+    together = daily.compute_day(spark, names, day_path, DAY)
+    assert len(parses) == 1
+    # Sizes are sums of one count, and reports with the same groups share them.
+    assert all(k == {"counted": "count"} for k in counted) and len(counted) < len(names) - 5
+    for module in (limits, relations, sessions):
+        monkeypatch.setattr(module, "measure_groups", None)
+    again = daily.compute_day(spark, names, day_path, DAY)
+    monkeypatch.undo()
+    for name in names:
+        if name not in ("count-view",):
+            assert rows_of(again[name]) == rows_of(daily.compute(spark, name, day_path, DAY)), name
+            assert rows_of(together[name]) == rows_of(again[name])
+
+
+def test_all_reports_with_hot_groups(spark, day_path):
+    names = ["top-value", "exceed", "boxplot", "outliers", "restarts", "device-statistic", "matrix", "spearman"]
+    plain = daily.compute_day(spark, names, day_path, DAY)
+    split = daily.compute_day(spark, names, day_path, DAY, hot_rows=10)
+    for name in names:
+        assert rows_of(split[name]) == rows_of(plain[name]), name
+
+
+def test_several_reports_fill_their_tables(spark, day_path, tmp_path):
+    counts = daily.run(spark, "max-min,outliers,device-type", day_path, DAY, str(tmp_path))
+    assert counts["rejected"] == 1 and counts["lines"] > 1000
+    for name in ("max-min", "outliers", "device-type"):
+        table = daily.REPORTS[name].table
+        written = tables.read_result(spark, table, str(tmp_path))
+        expected = daily.compute(spark, name, day_path, DAY)
+        assert rows_of(written) == rows_of(tables.conform(expected, table))
+
+
+def test_rejects_are_counted_and_may_fail_a_run(spark, day_path, tmp_path):
+    for name in ("max-min", "outliers", "device-type"):
+        counts = daily.run(spark, name, day_path, DAY, str(tmp_path / name))
+        assert counts["rejected"] == 1 and counts["lines"] > 1000
+    for name in ("max-min", "max-min,boxplot"):
+        with pytest.raises(ValueError, match="no readable time"):
+            daily.run(spark, name, day_path, DAY, str(tmp_path / "failed"), most_rejected=0.0)
+    assert not (tmp_path / "failed").exists()
+    assert daily.run(spark, "max-min", day_path, DAY, str(tmp_path / "passed"), most_rejected=0.01)["rejected"] == 1
+
+
+def test_a_corrected_day_is_replaced(spark, day_path, tmp_path):
+    path, output = tmp_path / "day" / "{date}.csv", str(tmp_path / "out")
+    (tmp_path / "day").mkdir()
+    text = open(day_path.replace("{date}", DAY)).read()
+    file = tmp_path / "day" / f"{DAY}.csv"
+    for content, found, largest in ((text, 1, 9999.0), (text.replace(",9999,", ",50,"), 0, None)):
+        file.write_text(content)
+        for name in ("outliers", "max-min"):
+            daily.run(spark, name, str(path), DAY, output, replace=True)
+        assert tables.read_result(spark, "sensor_outliers", output).count() == found
+        written = tables.read_result(spark, "limo_max_min", output)
+        assert tables.duplicate_keys(written, "limo_max_min").count() == 0
+        top = written.filter(written.sensor == sensors.OUTLIER).agg({"max": "max"}).first()[0]
+        assert top == largest or top < 101

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sensorloom.operators import limits, ordered
+from sensorloom.operators import limits
 from tests.build import dicts, readings, sequence
 
 SENSOR = ("sensor",)
@@ -142,6 +142,6 @@ def test_merging_equal_measures_changes_nothing(spark, monkeypatch, hot_rows):
         ]
 
     plain = results()
-    monkeypatch.setattr(ordered, "MERGE_ROWS", 1)
+    monkeypatch.setattr(limits, "MERGE_ROWS", 1)
     assert results() == plain
     assert plain[2]

@@ -5,7 +5,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordered import GroupSizes, OrderedGroups, by_size, lookup, measure_groups
+from sensorloom.functions.cleaning import wall_micros
+from sensorloom.operators import ordered as ordered_module
+from sensorloom.operators.ordered import GroupSizes, OrderedGroups, by_size, lookup, measure_cells, measure_groups
 from sensorloom.session import (
     CHECKPOINT_SETTING,
     refuse_machine_local,
@@ -143,3 +145,65 @@ def test_cluster_needs_a_named_folder():
     session = SimpleNamespace(sparkContext=Context(), conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(ValueError, match=CHECKPOINT_SETTING):
         shared_folder(session)
+
+
+def timed(spark, seconds):
+    """Rows of one group at the given seconds of a day, in order of time and number."""
+    data = [("x", i, s) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(data, "k string, seq int, s double")
+    ts = F.lit("2017-06-17").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)"))
+    return df.withColumn("t", ts)
+
+
+BURST = [i * 40.0 for i in range(2_000)] + [5_000 + i / 1_000 for i in range(3_000)]
+
+
+def test_time_cells_are_bounded_and_cut_alike(spark):
+    df = timed(spark, BURST)
+    sizes = measure_groups(df, ["k"], 200)
+    found = measure_cells(df, ["k"], "t", sizes)
+    assert found.dense is None and found.widths.collect()[0]["_width"] == 100_000
+    ordered = OrderedGroups.of(df, ["k"], ["t", "seq"], sizes)
+    cells = ordered.rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    cells = cells.orderBy("_chunk").collect()
+    assert sum(r["n"] for r in cells) == len(BURST) and max(r["n"] for r in cells) <= 200
+    assert len(cells) == found.cells
+    assert all(a["high"] < b["low"] for a, b in zip(cells, cells[1:]))
+    again = OrderedGroups.of(df.repartition(7), ["k"], ["t", "seq"], sizes).rows
+    assert ordered.rows.exceptAll(again).isEmpty() and again.exceptAll(ordered.rows).isEmpty()
+
+
+@pytest.mark.parametrize("seconds", [BURST, [60.0] * 900 + [float(i) for i in range(1_000)]])
+def test_running_total_over_time_cells(spark, seconds):
+    """The second list has more rows at one instant than a chunk may have."""
+    df = timed(spark, seconds)
+    sizes = measure_groups(df, ["k"], 200)
+    rows = OrderedGroups.of(df, ["k"], ["t", "seq"], sizes).running_total(F.lit(1).cast("long"), "before", "total").rows
+    found = [(r["s"], r["seq"]) for r in sorted(rows.collect(), key=lambda r: r["before"])]
+    assert found == sorted((s, i) for i, s in enumerate(seconds))
+    assert rows.agg(F.count_distinct("before"), F.min("total")).first()[0] == len(seconds)
+
+
+def test_time_cells_take_one_shuffle_of_rows_and_no_copy(spark, tmp_path, capsys, monkeypatch):
+    path = str(tmp_path / "rows")
+    timed(spark, BURST).write.parquet(path)
+    df = spark.read.parquet(path)
+    copies = []
+    plain = ordered_module.stored
+    monkeypatch.setattr(ordered_module, "stored", lambda df, label, **k: copies.append(label) or plain(df, label, **k))
+    sizes = measure_groups(df, ["k"], 50, shuffle_chunks=2)
+    rows = OrderedGroups.of(df, ["k"], ["t", "seq"], sizes).running_total(F.lit(1).cast("long"), "before").rows
+    assert set(copies) == {"hot-keys", "cells"}
+    capsys.readouterr()
+    rows.explain()
+    text = capsys.readouterr().out
+    assert "rangepartitioning" not in text
+    by_cell = [line for line in text.splitlines() if "Exchange hashpartitioning(k" in line and "_chunk" in line]
+    # The rows once, and the counts of the cells.
+    assert len(by_cell) == 2
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    df = timed(spark, [0.5, 59.999999, 86_399.000001])
+    plain = [r[0] for r in df.orderBy("seq").select(wall_micros(F.col("t"))).collect()]
+    assert [v - plain[0] for v in plain] == [0, 59_499_999, 86_398_500_001]

@@ -1,0 +1,119 @@
+"""Ranks found by counting, against sorting."""
+
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sensorloom.operators import limits, ranks
+from sensorloom.operators.ordered import measure_groups
+
+SCHEMA = "k string, measure double"
+WANTED = {"q1": limits.quantile_rank(0.25), "q3": limits.quantile_rank(0.75), "top": limits.top_rank(0.01)}
+SPECIAL = [None, math.nan, math.inf, -math.inf, -0.0, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308]
+
+
+def by_sorting(df):
+    order = Window.partitionBy("k").orderBy("measure")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = df.withColumns({"_place": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)})
+    picked = (F.max(F.when(rank(F.col("_n")) == F.col("_place"), F.col("measure"))).alias(n) for n, rank in WANTED.items())
+    return numbered.groupBy("k").agg(*picked, F.max("_n").alias("count"))
+
+
+def rows_of(df):
+    def shown(value):
+        return value + 0.0 if isinstance(value, float) else value
+
+    return sorted(repr([shown(v) for v in row]) for row in df.select("k", *WANTED, "count").collect())
+
+
+def made(seed, kind):
+    draw = random.Random(seed)
+    values = {
+        "even": lambda: draw.uniform(-1000, 1000),
+        "ties": lambda: float(draw.randrange(5)),
+        "octaves": lambda: draw.choice([-1, 1]) * 2.0 ** draw.uniform(-1070, 1020),
+        "near": lambda: 1.0 + draw.randrange(2000) * 2.0**-52,
+        "special": lambda: draw.choice(SPECIAL),
+    }[kind]
+    return [(draw.choice(["a", "b", None]), values()) for _ in range(4_000)]
+
+
+@pytest.mark.parametrize("few_rows", [3, 50_000])
+@pytest.mark.parametrize("kind", ["even", "ties", "octaves", "near", "special"])
+def test_against_sorting(spark, monkeypatch, kind, few_rows):
+    monkeypatch.setattr(ranks, "FEW_ROWS", few_rows)
+    df = spark.createDataFrame(made(1, kind), SCHEMA)
+    for broadcast_rows in (0, 1_000):
+        sizes = measure_groups(df, ["k"], 10, broadcast_rows)
+        assert rows_of(ranks.select_ranks(df, ["k"], WANTED, sizes)) == rows_of(by_sorting(df))
+
+
+def test_narrow_ranges_are_settled_in_few_rounds(spark, monkeypatch):
+    """All measures in one octave, and each round only tells a part of the range apart."""
+    monkeypatch.setattr(ranks, "FEW_ROWS", 0)
+    rounds = []
+    plain = ranks._next_round
+    monkeypatch.setattr(ranks, "_next_round", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame(made(2, "near"), SCHEMA)
+    ranks.select_ranks(df, ["k"], WANTED, measure_groups(df, ["k"], 10)).collect()
+    assert 1 <= len(rounds) <= 5
+
+
+def test_cells_never_decrease(spark):
+    draw = random.Random(3)
+    values = [draw.choice([-1, 1]) * 2.0 ** draw.uniform(-1074, 1024) for _ in range(3_000)]
+    values += [2.0**e for e in range(-1074, 1024, 7)] + [math.nextafter(2.0**e, 0) for e in range(-1000, 1024, 7)] + SPECIAL
+    df = spark.createDataFrame([("a", v) for v in values], SCHEMA)
+    cells = [row[0] for row in df.orderBy("measure").select(ranks.octave_cell(F.col("measure"))).collect()]
+    assert cells == sorted(cells)
+
+
+@pytest.mark.parametrize("operator", ["quartiles", "top_value", "exceed_by_hour", "outliers"])
+def test_rows_of_hot_groups_are_not_exchanged(spark, monkeypatch, capsys, tmp_path, operator):
+    rows = [("d", "s", float(i % 977), i // 40 % 24) for i in range(1_000)]
+    path = str(tmp_path / "rows")
+    frame = spark.createDataFrame(rows, "deviceid string, sensor string, measure double, hour int")
+    frame.withColumn("date", F.lit("2017-06-17").cast("date")).write.parquet(path)
+    readings = spark.read.parquet(path)
+    plans = []
+    plain = ranks.stored
+
+    def explained(df, label):
+        capsys.readouterr()
+        df.explain("formatted")
+        plans.append(capsys.readouterr().out)
+        return plain(df, label)
+
+    monkeypatch.setattr(ranks, "stored", explained)
+    result = getattr(limits, operator)(readings, hot_rows=100)
+    explained(result, "result")
+    assert len(plans) >= 2
+    met = 0
+    for text in plans:
+        for number in re.findall(r"\((\d+)\) Scan parquet[^\n]*\n(?:[^\n]+\n)*?[^\n]*" + re.escape(path), text):
+            met += 1
+            assert _first_above(text, int(number)) in ("HashAggregate", None)
+    assert met >= 2
+
+
+def _first_above(text, scan):
+    """The first aggregation, exchange, sort or window on the way up from a scan."""
+    tree = text.split("\n\n")[0].splitlines()
+    at = next(i for i, line in enumerate(tree) if line.rstrip().endswith(f"({scan})"))
+    depth = _depth(tree[at])
+    for line in reversed(tree[:at]):
+        if _depth(line) < depth:
+            depth = _depth(line)
+            kind = re.search(r"\b(BroadcastExchange|HashAggregate|SortAggregate|Exchange|Sort|Window)\b", line)
+            if kind:
+                return kind[0]
+    return None
+
+
+def _depth(line):
+    return len(line) - len(line.lstrip(" :+-*"))

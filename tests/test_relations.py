@@ -139,3 +139,20 @@ def test_clusters_do_not_depend_on_the_layout(spark):
         for name, value in zip(names, before):
             spark.conf.set(name, value)
     assert all(other == found[0] for other in found)
+
+
+def test_clusters_of_every_date(spark):
+    """Three groups of rows on one date, two rows on the next, one on the last."""
+    rows = []
+    for day, points in (("2017-06-17", [1, 2, 3, 500, 501, 90_000, 90_002]), ("2017-06-18", [7, 7, 9]), ("2017-06-19", [4])):
+        for i, value in enumerate(points):
+            rows += [("d", sensor, value + shift, f"{day}T01:{i:02d}:00") for sensor, shift in (("a", 0), ("b", 10))]
+    df = readings(spark, rows, offset_hours=0)
+    found = relations.kmeans_by_date(df, ["a", "b"], drop_last=False).orderBy("date", "sensor1").collect()
+    assert [(str(r["date"]), r["cluster_num"], r["sensor1"], r["sensor2"]) for r in found] == [
+        ("2017-06-17", 3, 2.0, 12.0), ("2017-06-17", 2, 500.5, 510.5), ("2017-06-17", 2, 90_001.0, 90_011.0),
+        ("2017-06-18", 2, 7.0, 17.0), ("2017-06-18", 1, 9.0, 19.0),
+        ("2017-06-19", 1, 4.0, 14.0),
+    ]
+    assert len({(r["date"], r["clusterid"]) for r in found}) == len(found)
+    assert relations.kmeans_by_date(df.filter("measure < 0"), ["a", "b"]).count() == 0

@@ -99,7 +99,7 @@ def test_states_by_shuffle(spark, connection, name):
 
 @pytest.mark.parametrize("merge_rows", [0, 10**9])
 def test_merging_does_not_change_results(spark, connection, monkeypatch, merge_rows):
-    monkeypatch.setattr(ordered, "MERGE_ROWS", merge_rows)
+    monkeypatch.setattr(limits, "MERGE_ROWS", merge_rows)
     readings = registered._readings(spark, SF_DIR)
     check(connection, "quartiles_by_sensor", limits.quartiles(readings, SENSOR))
     check(connection, "exceed_by_hour_sensor", limits.exceed_by_hour(readings, SENSOR))

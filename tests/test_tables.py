@@ -65,6 +65,36 @@ def test_days_are_replaced(spark, tmp_path):
         tables.replace_days(rows, "sensor_outliers", fmt="jdbc")
 
 
+def test_a_run_without_rows_clears_its_day(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("2017-06-17", "a", 1.0), ("2017-06-18", "a", 2.0)], "date string, sensor string, measure double"
+    )
+    path, table = str(tmp_path), "sensor_outliers"
+    tables.replace_days(rows, table, path)
+    written = tables.read_result(spark, table, path)
+    # The result reads the table that it replaces.
+    tables.replace_days(written.filter("measure > 5"), table, path, days=["2017-06-17", "2017-06-30"])
+    assert [r["date"] for r in dicts(tables.read_result(spark, table, path))] == ["2017-06-18"]
+    with pytest.raises(ValueError, match="isoformat"):
+        tables.replace_days(written, table, path, days=["../x"])
+    with pytest.raises(ValueError, match="no date"):
+        tables.replace_days(rows.selectExpr("'d' AS deviceid", "'t' AS type"), "sensor_device_type", path)
+
+
+def test_files_follow_the_dates(spark, tmp_path):
+    days = 31
+    rows = spark.range(20_000).repartition(8).select(
+        F.date_add(F.lit("2017-06-01"), (F.col("id") % days).cast("int")).alias("date"),
+        F.lit("a").alias("sensor"),
+        F.col("id").cast("double").alias("measure"),
+    )
+    for _ in range(2):
+        tables.write_result(rows, "sensor_outliers", str(tmp_path))
+    files = list((tmp_path / "sensor_outliers").glob("date=*/*.parquet"))
+    assert len({f.parent for f in files}) == days
+    assert len(files) == 2 * days
+
+
 def test_matrix_without_its_label(spark, tmp_path):
     names = tables.CONTRACTS["sensor_matrix"].names
     row = spark.createDataFrame([("2017-06-17", "L1", *[1.0] * 13)], tables.CONTRACTS["sensor_matrix"].columns)
