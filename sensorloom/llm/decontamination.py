@@ -3,24 +3,28 @@
 Every run of ``n`` consecutive words of an item is a window; an item with fewer words is one window. The windows'
 hashes are broadcast. A document's words are scanned once: each run of words is hashed and looked up in a
 bitmap of the benchmark's hashes, which lets less than one other run in a hundred pass; only what passes
-leaves the row, meets the broadcast windows by hash, and is then verified word by word. Documents are
-never shuffled, only their identifiers and the verified hits are.
+leaves the row, meets the broadcast windows by hash, and is then verified word by word. Finding hits never
+shuffles documents, only their identifiers and the verified hits. Removing documents broadcasts the identifiers of those that go; beyond
+``BROADCAST_DOCUMENTS`` of them the documents, with their texts, are shuffled once.
 
-The broadcast is bounded: beyond ``BROADCAST_WINDOWS`` windows the candidates meet them by a shuffle join, and the
-bitmap, which has a fixed largest size, only gets less selective.
+The broadcast is bounded: beyond ``BROADCAST_WINDOWS`` windows the candidates meet them by a shuffle join, salted since a
+common passage is in many documents, and the bitmap, which has a fixed largest size, only gets less selective.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import apart, plain_words
+from sensorloom.operators.ordered import lookup
 from sensorloom.session import stored
 
 WINDOW = 10
 # Windows of the benchmark that are sent to every executor, about 300 bytes each.
 BROADCAST_WINDOWS = 1_000_000
+# Documents to remove whose identifiers and hashes are sent to every executor, some 50 bytes each.
+BROADCAST_DOCUMENTS = 500_000
 # Bits of the bitmap for each window, two of them set, and its size in bits at most (512 KB).
 BITS_PER_WINDOW = 32
 LARGEST_BITMAP = 1 << 22
@@ -116,8 +120,8 @@ def find_hits(
     found = rows.select("_id", "_digest", "n_words", (F.concat(*runs) if runs else empty).alias("_runs"))
     found = stored(found, "benchmark-candidates")
     candidates = found.select("_id", "_digest", F.explode("_runs").alias("_run")).select("_id", "_digest", "_run.*")
-    side = F.broadcast(windows) if count <= BROADCAST_WINDOWS else windows
-    hits = candidates.join(side, "hash").filter(F.col("run") == F.col("window"))
+    met = lookup(candidates, windows.drop("length"), ["hash"], "inner", count <= BROADCAST_WINDOWS, salted=True)
+    hits = met.filter(F.col("run") == F.col("window")).withColumn("length", F.size("run"))
     return found.drop("_runs"), hits.select("_id", "_digest", "place", "length", "items").distinct()
 
 
@@ -169,10 +173,11 @@ def remove_documents(
 ) -> DataFrame:
     """Documents of whose words a share of at most ``most_hit`` lies in benchmark windows, columns unchanged."""
     bad = contamination(docs, benchmark, n, key, text).filter(F.col("n_hit") > most_hit * F.col("n_words"))
-    bad = bad.select(F.col(key).alias("hit_id"), F.col("_digest").alias("hit_digest")).distinct()
+    bad, seen = bad.select(F.col(key).alias("id"), F.col("_digest").alias("digest")).distinct(), Observation()
+    bad = stored(bad.observe(seen, F.count(F.lit(1)).alias("documents")), "contaminated")
     rows = apart(docs, id=F.col(key), digest=F.xxhash64(F.coalesce(text, F.lit(""))))
-    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))
-    return rows.join(bad, same, "left_anti").select("row.*")
+    few = seen.get["documents"] <= BROADCAST_DOCUMENTS
+    return lookup(rows, bad, ["id", "digest"], "left_anti", few, salted=True).select("row.*")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

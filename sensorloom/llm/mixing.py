@@ -8,12 +8,14 @@ The mix is the copies sorted by that time.
 
 Demand beyond ``max_repeats`` times the words of a source goes to the others by weight. Running totals are taken
 in two steps, within buckets of about the square root of all rows and over the buckets of a source, so
-that a source with a large part of all documents needs no task of its own.
+that a source with a large part of all documents needs no task of its own. Rows that agree in key, text and source are counted
+first and told apart again when their places are known, a bounded number of them at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,10 @@ from sensorloom.session import stored
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 WEIGHTS = (1, 2, 3)
 ORDER_HEX = 15
+# Equal rows that are told apart in one step.
+EQUAL_ROWS = 10_000
+# Sources, each with one small row, that one task puts in order; more are an error.
+MOST_SOURCES = 1_000_000
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -105,25 +111,52 @@ def _name(key: Column, text: Column, source: Column) -> Column:
     return F.md5(F.concat(*parts, key.isNull().cast("string"), source.isNull().cast("string")))
 
 
-def plan_mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    schedules: Sequence[Schedule] = SCHEDULES,
-    max_repeats: int = 3,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-) -> DataFrame:
-    """One row per document with what the mix takes of it.
+@dataclass(frozen=True)
+class _Demand:
+    """One row for all rows of the same key, text and source, with ``_rows``, their number, and the place of the first
+    of them in its source's order; the largest number of equal rows."""
 
-    Returns the key, ``size`` (words, 0 for NULL text), ``source_size`` and ``target`` of its source, ``copies``
-    (array of epoch, words taken, position from 0 to 1) and ``_name``, which rows with the same key, text and source share. The last
-    copy that a source gives is cut where its demand ends, so the words taken add up to the target, rounded.
-    NULL is a source of its own, documents without words have no copies, and rows with the same key and text
-    follow each other in the order. Jobs at call: one pass that stores the sizes.
-    """
-    seen = Observation()
-    named = F.col(source)
+    rows: DataFrame
+    most: int
+    max_repeats: int
+
+    def copies(self, nth: Column) -> Column:
+        """Array of (epoch, words taken, position) of the nth of some equal rows."""
+        place = F.col("_place") + nth * F.col("size")
+
+        def copy(epoch: Column) -> Column:
+            start = epoch * F.col("source_size") + place
+            taken = F.greatest(F.least(F.col("_wanted") - start, F.col("size")), F.lit(0))
+            share = F.least((start + taken / 2) / F.col("_wanted"), F.lit(1.0))
+            return F.struct(
+                epoch.alias("epoch"),
+                taken.cast("long").alias("taken"),
+                demand_time(F.col("_segments"), share).alias("position"),
+            )
+
+        every = F.transform(F.sequence(F.lit(0), F.lit(self.max_repeats - 1)), copy)
+        return F.filter(every, lambda c: c.getField("taken") > 0)
+
+
+def _numbered(rows: DataFrame, most: int, equal_rows: int) -> DataFrame:
+    """Rows with the numbers of the equal rows that they stand for, from ``_from`` to ``_to``: all of them, or if some are too many, one
+    row for each ``equal_rows`` of them."""
+    last = F.col("_rows") - 1
+    if most <= equal_rows:
+        return rows.withColumns({"_from": F.lit(0).cast("long"), "_to": last})
+    starts = F.sequence(F.lit(0).cast("long"), last, F.lit(equal_rows).cast("long"))
+    return rows.withColumn("_from", F.explode(starts)).withColumn("_to", F.least(F.col("_from") + equal_rows - 1, last))
+
+
+def _spread(rows: DataFrame, most: int, equal_rows: int) -> DataFrame:
+    """Numbered rows over all tasks, if some stand for many."""
+    return rows if most <= equal_rows else rows.repartition("_name", "_from")
+
+
+def _demand(
+    docs: DataFrame, weights: Sequence[float], schedules: Sequence[Schedule], max_repeats: int, key: str, text: str, source: str
+) -> _Demand:
+    seen, named = Observation(), F.col(source)
     sized = docs.select(
         F.col(key).alias("_id"),
         named.isNull().alias("_no_source"),
@@ -135,45 +168,59 @@ def plan_mix(
             ORDER_HEX,
         ).alias("_order"),
     )
-    sized = stored(sized.observe(seen, F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    counted = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    numbers = (F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most"))
+    counted = stored(counted.observe(seen, *numbers), "mix-sizes")
     width = -(-(1 << 4 * ORDER_HEX) // bucket_count(seen.get["rows"]))
-    sized = sized.withColumn("_bucket", (F.col("_order") / F.lit(width)).cast("long"))
+    counted = counted.withColumns({"_bucket": (F.col("_order") / F.lit(width)).cast("long"), "_whole": F.col("size") * F.col("_rows")})
 
     same_source = ["_no_source", "_source"]
-    buckets = sized.groupBy(*same_source, "_bucket").agg(F.sum("size").alias("_words"))
-    sources = buckets.groupBy(*same_source).agg(F.sum("_words").alias("source_size"))
+    buckets = counted.groupBy(*same_source, "_bucket").agg(F.sum("_whole").alias("_words"))
+    sources, found = buckets.groupBy(*same_source).agg(F.sum("_words").alias("source_size")), Observation()
+    sources = stored(sources.observe(found, F.count(F.lit(1)).alias("sources")), "mix-sources")
+    if found.get["sources"] > MOST_SOURCES:
+        raise ValueError(f"{found.get['sources']} sources, more than {MOST_SOURCES}")
     earlier = (
         Window.partitionBy(*same_source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words")
-    targets = source_targets(sources, weights, schedules, max_repeats)
-    offsets = buckets.join(targets, same_source)
+    offsets = buckets.join(source_targets(sources, weights, schedules, max_repeats), same_source)
 
     in_bucket = Window.partitionBy(*same_source, "_bucket").orderBy("_order", "_id", "size")
+    so_far = F.sum("_whole").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_whole")
     placed = (
-        sized.withColumn(
-            "_place", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        )
+        counted.withColumn("_place", so_far)
         .join(offsets, [*same_source, "_bucket"])
         .withColumn("_place", F.col("_place") + F.col("_before"))
         .withColumn("_wanted", F.round("target").cast("long"))
     )
+    columns = ["_id", "_name", "size", "source_size", "target", "_rows", "_place", "_wanted", "_segments"]
+    return _Demand(placed.select(*columns), seen.get["most"], max_repeats)
 
-    def copy(epoch: Column) -> Column:
-        start = epoch * F.col("source_size") + F.col("_place")
-        taken = F.greatest(F.least(F.col("_wanted") - start, F.col("size")), F.lit(0))
-        share = F.least((start + taken / 2) / F.col("_wanted"), F.lit(1.0))
-        return F.struct(
-            epoch.alias("epoch"),
-            taken.cast("long").alias("taken"),
-            demand_time(F.col("_segments"), share).alias("position"),
-        )
 
-    copies = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), copy), lambda c: c.getField("taken") > 0
-    )
-    return placed.withColumn("copies", copies).select(
-        F.col("_id").alias(key), "_name", "size", "source_size", "target", "copies"
+def plan_mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    schedules: Sequence[Schedule] = SCHEDULES,
+    max_repeats: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    equal_rows: int = EQUAL_ROWS,
+) -> DataFrame:
+    """One row per document with what the mix takes of it.
+
+    Returns the key, ``size`` (words, 0 for NULL text), ``source_size`` and ``target`` of its source, ``copies``
+    (array of epoch, words taken, position from 0 to 1) and ``_name``, which rows with the same key, text and source share. The last
+    copy that a source gives is cut where its demand ends, so the words taken add up to the target, rounded.
+    NULL is a source of its own, documents without words have no copies, and rows with the same key and text
+    follow each other in the order. Jobs at call: one pass that stores the sizes, and the sources.
+    """
+    demand = _demand(docs, weights, schedules, max_repeats, key, text, source)
+    parts = _spread(_numbered(demand.rows, demand.most, equal_rows), demand.most, equal_rows)
+    each = parts.withColumn("_nth", F.explode(F.sequence("_from", "_to")))
+    return each.select(
+        F.col("_id").alias(key), "_name", "size", "source_size", "target", demand.copies(F.col("_nth")).alias("copies")
     )
 
 
@@ -185,6 +232,7 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    equal_rows: int = EQUAL_ROWS,
 ) -> DataFrame:
     """The mix: the documents' own columns once per copy, with ``epoch`` and ``position``, sorted by position.
 
@@ -192,13 +240,16 @@ def mix(
     key, text and source are one document that occurs so often; its other columns come from one of them. Texts move
     twice: to their copies, and into the order.
     """
-    plan = plan_mix(docs, weights, schedules, max_repeats, key, text, source)
-    wanted = F.filter("copies", lambda c: 2 * c.getField("taken") >= F.col("size"))
-    copies = plan.groupBy("_name").agg(F.flatten(F.collect_list(wanted)).alias("copies")).filter(F.size("copies") > 0)
+    demand = _demand(docs, weights, schedules, max_repeats, key, text, source)
+    # The first of some equal rows is wanted longest; without a copy of it there is none of the others.
+    used = demand.rows.filter(F.size(demand.copies(F.lit(0))) > 0)
     rows = apart(docs, id=F.col(key), _name=_name(F.col(key), F.col(text), F.col(source)))
     same_name = Window.partitionBy("_name").orderBy(F.xxhash64("row"))
-    first = rows.withColumn("_nth", F.row_number().over(same_name)).filter("_nth = 1")
-    found = first.join(copies, "_name").select("row", "id", F.explode("copies").alias("copy"))
+    first = rows.withColumn("_nth", F.row_number().over(same_name)).filter("_nth = 1").drop("_nth")
+    parts = _spread(first.join(_numbered(used, demand.most, equal_rows), "_name"), demand.most, equal_rows)
+    every = F.flatten(F.transform(F.sequence("_from", "_to"), demand.copies))
+    wanted = F.filter(every, lambda c: 2 * c.getField("taken") >= F.col("size"))
+    found = parts.select("row", "id", F.explode(wanted).alias("copy"))
     found = found.orderBy("copy.position", "id", "copy.epoch")
     return restored(found, docs.columns, epoch=F.col("copy.epoch"), position=F.col("copy.position"))
 

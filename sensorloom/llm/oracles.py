@@ -107,10 +107,14 @@ kept AS (
   WHERE kind <> '{secrets.OWNED}' OR (NOT coalesce(hidden, false)
     AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
     AND len(list_distinct(string_split(value, ''))) >= {secrets.TOKEN_CHARACTERS})),
-counts AS (SELECT value, count(DISTINCT source) AS owners FROM kept GROUP BY value),
-judged AS (
-  SELECT *, owners < {secrets.EXAMPLE_OWNERS} AS live, kind || ':' || start || ':' || stop AS shown
-  FROM kept JOIN counts USING (value) WHERE kind <> '{secrets.OWNED}' OR owners < {secrets.EXAMPLE_OWNERS}),
+counts AS (
+  SELECT value, count(DISTINCT source) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories
+  FROM kept GROUP BY value),
+named AS (
+  SELECT *, owners < {secrets.EXAMPLE_OWNERS} AND repositories < {secrets.EXAMPLE_REPOSITORIES} AS live,
+         kind || ':' || start || ':' || stop AS shown
+  FROM kept JOIN counts USING (value)),
+judged AS (SELECT * FROM named WHERE kind <> '{secrets.OWNED}' OR live),
 grouped AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
@@ -214,7 +218,8 @@ sums AS (
   FROM keyed),
 sharded AS (
   SELECT *, CAST(least(39, floor(before * 40 / total)) AS INTEGER) AS shard,
-         CAST(('0x' || id_key) AS BIGINT) % greatest(1, CAST(ceil(ceil(sqrt(n)) / 40) AS BIGINT)) AS cell
+         (CAST(('0x' || text_key) AS BIGINT) + CAST(('0x' || id_key) AS BIGINT))
+           % greatest(1, CAST(ceil(ceil(sqrt(n)) / 40) AS BIGINT)) AS cell
   FROM sums),
 numbered AS (
   SELECT *, list_transform(regexp_extract_all(bytes, '..'), lambda p: CAST('0x' || p AS BIGINT)) AS octets FROM sharded)

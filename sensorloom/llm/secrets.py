@@ -35,6 +35,8 @@ SHAPES = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 2
 
 # An example is held by at least so many owners; a long token has so many different characters.
 EXAMPLE_OWNERS = 3
+# Repositories from which on copies make an example, whoever owns them.
+EXAMPLE_REPOSITORIES = 20
 TOKEN_CHARACTERS = 10
 # Cells over which the occurrences of one hash are dealt when they meet its counts.
 CELLS = 64
@@ -135,7 +137,7 @@ def find_secrets(
     live).
 
     ``live`` tells that fewer than ``example_owners`` owners hold the secret and, if it is given, fewer than
-    ``example_repositories`` repositories. NULL texts are empty; NULL repositories and owners
+    ``example_repositories`` repositories, so that many copies make it an example even where one owner has them all. NULL texts are empty; NULL repositories and owners
     count as one of their own; rows with the same key and text get the same result. One job at call, which stores the
     candidates.
     """
@@ -165,13 +167,14 @@ def _shown(spans: Column) -> Column:
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
+    """Base spans, all spans and the number of live ones per document, judged by owners and by repositories."""
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s.getField("kind") != OWNED)
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s.getField("kind") == kind)).cast("long").alias(f"n_{kind}")
 
-    return find_secrets(docs).select(
+    return find_secrets(docs, example_repositories=EXAMPLE_REPOSITORIES).select(
         "doc_id",
         *(count(kind) for kind in BASE),
         F.sha2(_shown(base), 256).alias("base_sha256"),

@@ -8,6 +8,9 @@ the cell's lower boundary is within the tolerance. Then the rows are exchanged o
 
 Only the histogram, at most 1,024 cells for each open splitter, reaches the driver, whatever the size of
 the input.
+
+Within a shard rows are numbered in cells, by the sum of both key parts: neither one text nor a missing identifier fills a cell. Rows
+that agree in both are dealt by the task that first stored them if they are many, so no cell takes them all.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import apart, bucket_count, hash_digits, restored
+from sensorloom.operators.ordered import BROADCAST_ROWS, lookup
 from sensorloom.session import stored
 
 HEADER_BYTES = 16
 DIGIT_BITS = 10
+# Rows of the same text and identifier from which they are dealt over the cells of their shard.
+EQUAL_ROWS = 10_000
 # Hexadecimal digits of the two key parts: 40 and 60 bits, 4 and 6 digits of 10 bits.
 TEXT_HEX, ID_HEX = 10, 15
 DIGITS = [("_text_key", shift) for shift in (30, 20, 10, 0)]
@@ -133,7 +139,12 @@ def shard_of(splitters: list[Splitter]) -> Column:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 40, tolerance: float = 0.0, text: str = "text", key: str = "doc_id"
+    docs: DataFrame,
+    shards: int = 40,
+    tolerance: float = 0.0,
+    text: str = "text",
+    key: str = "doc_id",
+    equal_rows: int = EQUAL_ROWS,
 ) -> DataFrame:
     """Documents with ``size``, ``shard`` and ``slot``, in shards of nearly equal bytes.
 
@@ -141,40 +152,46 @@ def shard_documents(
     identifiers are allowed, rows with the same text and identifier stay in one shard, and an empty table gives
     an empty result. Columns named ``size``, ``shard`` or ``slot`` are replaced.
 
-    Jobs at call: one pass that stores the keys, one over them for each round of the histogram.
+    Jobs at call: one pass that stores the rows with their keys, one over the keys for each round of the histogram, one that counts equal keys.
     """
-    seen = Observation()
-    keys = keyed(docs, text, key).drop("_id")
-    keys = stored(keys.observe(seen, F.count(F.lit(1)).alias("rows")), "shard-keys")
-    splitters = find_splitters(keys, shards, tolerance)
-    placed = _place(apart(docs, **sort_key(text, key)), keys, splitters, seen.get["rows"], shards)
+    placed = _place(apart(docs, **sort_key(text, key)), shards, tolerance, equal_rows)
     return restored(placed, docs.columns, size=F.col("_size"), shard=F.col("shard"), slot=F.col("slot"))
 
 
-def _place(
-    rows: DataFrame, keys: DataFrame, splitters: list[Splitter], count: int, shards: int
-) -> DataFrame:
-    """Shard and slot of keyed rows, whose keys are also stored without the texts. A slot is the place in
-    the row's cell of the shard and the rows of the cells before it, so no task numbers a whole shard."""
+def cell_of(cells: int, dealt: Column | None = None) -> Column:
+    """Cell of a row within its shard, from both parts of its key and, where it is given, from where it was stored."""
+    place = F.col("_text_key") + F.col("_id_key")
+    return ((place if dealt is None else place + dealt) % cells).cast("int")
+
+
+def _celled(rows: DataFrame, count: int, shards: int, equal_rows: int) -> DataFrame:
+    """Stored rows with their cell."""
     cells = max(1, math.ceil(bucket_count(count) / shards))
-    place = {"shard": shard_of(splitters), "_cell": (F.col("_id_key") % cells).cast("int")}
-    placed = rows.withColumns(place)
+    seen = Observation()
+    key = ["_text_key", "_id_key"]
+    equal = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > equal_rows)
+    equal = stored(equal.select(*key, F.lit(True).alias("_equal")).observe(seen, F.count(F.lit(1)).alias("keys")), "equal")
+    if not seen.get["keys"]:
+        return rows.withColumn("_cell", cell_of(cells))
+    # There are fewer of these keys than rows by the limit.
+    marked = lookup(rows, equal, key, broadcast=seen.get["keys"] <= BROADCAST_ROWS)
+    dealt = F.when(F.col("_equal"), F.col("_dealt")).otherwise(0)
+    return marked.withColumn("_cell", cell_of(cells, dealt)).drop("_equal")
+
+
+def _place(docs: DataFrame, shards: int, tolerance: float, equal_rows: int) -> DataFrame:
+    """Shard and slot of rows with their key, which are stored first. A slot is the place in
+    the row's cell of the shard and the rows of the cells before it, so no task numbers a whole shard."""
+    seen = Observation()
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    rows = stored(docs.withColumn("_dealt", dealt).observe(seen, F.count(F.lit(1)).alias("rows")), "shard-rows")
+    splitters = find_splitters(rows, shards, tolerance)
+    placed = _celled(rows, seen.get["rows"], shards, equal_rows).withColumn("shard", shard_of(splitters))
+    earlier = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        keys.withColumns(place)
-        .groupBy("shard", "_cell")
+        placed.groupBy("shard", "_cell")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_rows").over(
-                    Window.partitionBy("shard")
-                    .orderBy("_cell")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_rows")
+        .select("shard", "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     in_cell = Window.partitionBy("shard", "_cell").orderBy("_text_key", "_id_key", "_id")
     numbered = placed.withColumn("_place", F.row_number().over(in_cell))
@@ -184,11 +201,9 @@ def _place(
 
 def shard_digest(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Where each document goes, without its text: the operator over identifiers, sizes and checksums."""
-    seen = Observation()
     checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select(*(c.alias(n) for n, c in sort_key().items()), checksum.alias("text_crc32"))
-    rows = stored(rows.observe(seen, F.count(F.lit(1)).alias("rows")), "shard-rows")
-    placed = _place(rows, rows, find_splitters(rows, shards), seen.get["rows"], shards)
+    rows = docs.select(*(column.alias(name) for name, column in sort_key().items()), checksum.alias("text_crc32"))
+    placed = _place(rows, shards, 0.0, EQUAL_ROWS)
     return placed.select(
         F.col("_id").alias("doc_id"),
         F.col("_size").alias("size"),

@@ -64,6 +64,17 @@ def test_without_broadcast(spark, items, monkeypatch):
     assert sorted(map(str, decontamination.contamination_digest(docs, some).collect())) == sorted(map(str, as_is))
 
 
+def test_removal_with_and_without_broadcast(spark, items, monkeypatch):
+    docs = documents(spark, [(i % 7, f"before {items[i % 3][1]} after" if i % 2 else f"clean text {i}", "en", "a") for i in range(40)])
+
+    def kept():
+        return sorted(str(r.text) for r in decontamination.remove_documents(docs, table(spark, items)).collect())
+
+    plain = kept()
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", 0)
+    assert kept() == plain == sorted(f"clean text {i}" for i in range(0, 40, 2))
+
+
 def test_edge_rows(spark, items):
     some = table(spark, [*items, (200, "fox jumps over the lazy dog")])
     docs = documents(spark)

@@ -76,3 +76,27 @@ def test_every_document_has_one_row(spark):
 def test_empty_table(spark):
     assert mixing.mix_digest(empty_documents(spark)).count() == 0
     assert mixing.mix(empty_documents(spark)).count() == 0
+
+
+def test_equal_rows_are_counted_and_told_apart(spark):
+    """A third of all rows are equal; they are told apart a few at a time, and no array holds them all."""
+    rows = [(i, f"some words of {i}", "en", "ab"[i % 2]) for i in range(200)]
+    rows += [(None, "one text that stands here often", "en", "a")] * 150
+    docs = documents(spark, rows)
+
+    def taken(equal_rows):
+        plan = mixing.plan_mix(docs, equal_rows=equal_rows).collect()
+        copies = mixing.mix(docs, equal_rows=equal_rows).select("doc_id", "source", "epoch", "position").collect()
+        shown = sorted(repr((r.doc_id, r.size, r.target, [(c.epoch, c.taken, round(c.position, 9)) for c in r.copies])) for r in plan)
+        return shown, sorted(repr((r.doc_id, r.source, r.epoch, round(r.position, 9))) for r in copies)
+
+    whole, dealt = taken(10_000), taken(7)
+    assert whole == dealt and len(whole[0]) == len(rows)
+    places = [float(row.split(", ")[-1][:-1]) for row in whole[1] if row.startswith("(None")]
+    assert len(set(places)) == len(places) > 20
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.plan_mix(documents(spark, [(i, "word", "en", f"s{i}") for i in range(5)]))

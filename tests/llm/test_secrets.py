@@ -62,6 +62,16 @@ def test_many_repositories_make_an_example(spark):
     assert by_both[3] == {("assign", False)} and by_both[100] == {("owned", True)}
 
 
+def test_digest_of_one_source_judges_by_copies(spark):
+    copied, owned = "Zx7Qw9Ert2Yui5Opa8Sdf3Gh", "Kl4Mn6Bv8Cx1Zas3Dfg5Hj7K"
+    rows = [(i, f"see {copied} and password={'p' * 8}", "en", "one") for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    rows += [(100 + i, f"my {owned}", "en", "one") for i in range(secrets.EXAMPLE_REPOSITORIES - 1)]
+    found = {r.doc_id: r for r in secrets.secrets_digest(documents(spark, rows)).collect()}
+    assert found[3].spans.startswith("assign:") and "owned" not in found[3].spans
+    assert (found[3].n_assign, found[3].n_live) == (1, 0)
+    assert found[100].spans.startswith("owned:") and found[100].n_live == 1
+
+
 def test_tokens_inside_other_spans_are_left_out(spark):
     rows = [(1, "token = Zx7Qw9Ert2Yui5Opa8Sdf3Gh", "en", "a")]
     assert secrets.secrets_digest(documents(spark, rows)).first().spans == "assign:0:32"

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sensorloom.llm import sharding
 from tests.llm.build import documents, edge_rows, empty_documents
@@ -64,3 +65,25 @@ def test_edge_rows(spark, shards):
 def test_empty_table(spark):
     assert sharding.shard_documents(empty_documents(spark)).count() == 0
     assert sharding.shard_digest(empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("equal_rows", [100, 10_000])
+def test_no_cell_takes_the_rows_without_identifier(spark, equal_rows):
+    rows = [(i if i % 3 else None, f"text {i} of many", "en", "a") for i in range(9_000)]
+    rows += [(None, None, None, None)] * 3_000 + [(5, "one text", "en", "a")] * 1_500
+    docs = documents(spark, rows)
+    stored_rows = sharding.stored(sharding.keyed(docs.repartition(6)).withColumn("_dealt", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))), "t")
+    celled = sharding._celled(stored_rows, len(rows), 1, equal_rows).groupBy("_cell").count().collect()
+    mean = len(rows) / len(celled)
+    if equal_rows == 100:
+        assert max(r["count"] for r in celled) <= 2 * mean
+    placed = sharding.shard_documents(docs, 3, equal_rows=equal_rows).collect()
+    assert len(placed) == len(rows)
+    check(placed, 3)
+
+
+def test_missing_identifiers_alone_need_no_dealing(spark):
+    rows = [(i if i % 3 else None, f"text {i}", "en", "a") for i in range(9_000)]
+    keys = sharding.keyed(documents(spark, rows))
+    cells = keys.groupBy(sharding.cell_of(20).alias("cell")).count().collect()
+    assert len(cells) == 20 and max(r["count"] for r in cells) <= 2 * 9_000 / 20
