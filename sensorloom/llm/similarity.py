@@ -39,8 +39,9 @@ LEVELS = 4
 SMALL_NODE = 32
 BLOCK_NODE = 4_096
 SKETCH_BLOCK = 1_024
-# Sets of a family that one task compares with as many others.
+# Sets of a family that one task compares with as many others, and the bytes of their shingles; a family has blocks enough for both.
 BLOCK = 256
+BLOCK_BYTES = 32 << 20
 # Standard deviations of a sketch's estimate by which candidates may fall below the similarity.
 MARGIN = 4
 # Groups of one block are dealt into batches of about so many bytes, many more than cores in small tables.
@@ -185,6 +186,11 @@ def batches_of(small: DataFrame, bytes_of_row: Column) -> int:
     return max(LEAST_BATCHES, math.ceil(whole / BATCH_BYTES))
 
 
+def family_blocks(sets: Column, whole: Column) -> Column:
+    """Blocks for so many sets with so many bytes. Sets are dealt by hash, so blocks of bytes are planned half full."""
+    return F.greatest(F.ceil(sets / BLOCK), F.least(F.ceil(2 * whole / BLOCK_BYTES) - 1, sets), F.lit(1)).cast("int")
+
+
 def in_blocks(
     rows: DataFrame,
     group: str,
@@ -391,21 +397,21 @@ def _classes(
     )
     candidates = components(candidate_links(sets.select("sid", "sketch"), similarity, recall, levels))
     candidates = stored(candidates.withColumnRenamed("node", "sid"), "families")
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.lit(SHINGLE_BYTES) * F.col("n_shingles").cast("long") + ROW_BYTES
+    weighed = candidates.join(sets.select("sid", "copies", weight.alias("_bytes")), "sid")
+    sizes = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("_whole"))
+    sizes = stored(sizes.withColumn("blocks", family_blocks(F.col("n"), F.col("_whole"))), "family-sizes")
     blobs = worded.join(candidates, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    small = candidates.join(sizes.filter(F.col("n") <= BLOCK), "component").join(sets.select("sid", "n_shingles"), "sid")
-    families = (
-        candidates.join(sizes, "component").join(sets.select("sid", "copies"), "sid").join(blobs, "sid")
-    )
+    families = weighed.drop("_bytes").join(sizes.drop("_whole"), "component").join(blobs, "sid")
     exact = stored(
         in_blocks(
             families,
             "component",
-            "n",
-            BLOCK,
+            "blocks",
+            1,
             _exact_links(similarity),
             "kind string, a long, b long, links long, texts long, settled boolean",
-            batches_of(small, F.lit(SHINGLE_BYTES) * F.col("n_shingles").cast("long") + ROW_BYTES),
+            batches_of(sizes.filter("blocks = 1"), F.col("_whole")),
         ),
         "exact-links",
     )

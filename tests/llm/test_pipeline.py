@@ -78,6 +78,6 @@ def test_stages_take_any_rows(spark, name):
     assert stage(spark, empty_documents(spark), SF_DIR).count() == 0
 
 
-def test_ten_operators_are_registered():
+def test_thirteen_operators_are_registered():
     names = [name for name in registered.queries() if re.match(r"op\d+_", name)]
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in names) == list(range(1, 14))

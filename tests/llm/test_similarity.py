@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import components, shingles, similarity
 from tests.llm.build import documents, edge_rows, empty_documents
+from tests.oracle import TESTDATA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -199,3 +202,54 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in components.components(edges).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1040)}}
     assert components.components(edges.limit(0)).count() == 0
+
+
+def test_blocks_follow_the_bytes_of_long_texts(spark, monkeypatch):
+    """A family of sets with 3,000 shingles each: no two blocks have much more than their bytes."""
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 200_000)
+    blob = bytes(3_000 * similarity.SHINGLE_BYTES)
+    rows = spark.range(60).select(F.col("id").alias("sid"), F.lit(7).alias("component"), F.lit(blob).alias("shingles"))
+    weight = F.lit(len(blob) + similarity.ROW_BYTES)
+    blocks = rows.agg(similarity.family_blocks(F.count("sid"), F.sum(weight)).alias("blocks"))
+    assert blocks.first()[0] == 10
+
+    def measured(group):
+        return pd.DataFrame({"bytes": [int(group["shingles"].str.len().sum())], "one": [not group["_many"].iloc[0] or bool(group["_same"].iloc[0])]})
+
+    found = similarity.in_blocks(rows.join(blocks), "component", "blocks", 1, measured, "bytes long, one boolean", 8).collect()
+    assert len([r for r in found if r.one]) == 10 and len(found) == 55
+    assert max(r["bytes"] for r in found if r.one) <= 250_000 and max(r["bytes"] for r in found) <= 450_000
+
+
+def test_long_texts_in_blocks_of_bytes_give_the_same_classes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(4_000)]
+    texts = [" ".join(words[:700] + [f"x{n}"] + words[700 : 1_400 + n]) for n in range(20)] + [" ".join(words[i::3]) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def classes():
+        rows = similarity.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_similar").collect()
+        return sorted(tuple(r) for r in rows)
+
+    plain = classes()
+    assert [r[2] for r in plain] == [19] * 20 + [0] * 3
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 30_000)
+    assert classes() == plain
+
+
+def test_recall_of_a_hundredth_of_the_documents(spark):
+    """Links of all documents whose number is divisible by 100, against all others: none is missed."""
+    docs = spark.read.parquet(str(TESTDATA / "sf0.1" / "documents.parquet")).select("doc_id", "text")
+    sets = {row.doc_id: shingle_set(row.text) for row in docs.collect()}
+    holders = {}
+    for key, grams in sets.items():
+        for gram in grams:
+            holders.setdefault(gram, []).append(key)
+    expected, linked = {}, {}
+    for key in (key for key in sets if key % 100 == 0):
+        shared = Counter(other for gram in sets[key] for other in holders[gram] if other != key)
+        near = {other for other, n in shared.items() if n >= 0.8 * (len(sets[key]) + len(sets[other]) - n) - 1e-9}
+        expected[key], linked[key] = len(near), near
+    assert sum(expected.values()) > 20
+    found = {r.doc_id: r for r in similarity.near_duplicates(docs).collect()}
+    assert {key: found[key].n_links for key in expected} == expected
+    assert all(found[other].class_id == found[key].class_id for key, near in linked.items() for other in near)
