@@ -162,7 +162,7 @@ def test_time_cells_are_bounded_and_cut_alike(spark):
     df = timed(spark, BURST)
     sizes = measure_groups(df, ["k"], 200)
     found = measure_cells(df, ["k"], "t", sizes)
-    assert found.dense is None and found.widths.collect()[0]["_width"] == 100_000
+    assert found.dense is None and found.widths.collect()[0]["_width"] == 1_000
     ordered = OrderedGroups.of(df, ["k"], ["t", "seq"], sizes)
     cells = ordered.rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
     cells = cells.orderBy("_chunk").collect()
