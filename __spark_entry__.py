@@ -223,13 +223,10 @@ def _read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines accepted and rejected, counted by the scan that computes the daily totals."""
     path, counts = scratch_path(spark, "readings"), Observation()
     _raw_fields(spark, sf_dir).drop("seq").write.csv(path, header=True, quote="")
-    totals = stats.daily_total(source.read_readings(spark, path, counts=counts), "LiMo")
-    stored(totals, "totals")
+    totals = stored(stats.daily_total(source.read_readings(spark, path, counts=counts), "LiMo"), "totals")
     lines, rejected = counts.get["lines"], counts.get["rejected"]
-    return totals.agg(
-        F.sum("count").alias("readings"),
-        F.lit(lines - rejected).cast("long").alias("accepted"),
-        F.lit(rejected).cast("long").alias("rejected"),
+    return totals.select(
+        "date", "count", F.lit(lines - rejected).cast("long").alias("accepted"), F.lit(rejected).cast("long").alias("rejected")
     )
 
 
@@ -685,8 +682,10 @@ FROM groups GROUP BY date, apart""",
     "day_plan": (_day_plan, _day_plan_sql()),
     "read_counts": (
         _read_counts,
-        """SELECT count(*) FILTER (event_type <> 'signup') AS readings, count(*) FILTER (event_type <> 'signup') AS accepted,
-       count(*) FILTER (event_type = 'signup') AS rejected FROM events""",
+        f"""{ACCEPTED_SQL}
+SELECT date, count(*) AS count, (SELECT count(*) FROM raw WHERE sensor <> 'signup') AS accepted,
+       (SELECT count(*) FROM raw WHERE sensor = 'signup') AS rejected
+FROM readings GROUP BY date""",
     ),
     "outliers_rerun_empty": (
         _rerun_without_rows,
