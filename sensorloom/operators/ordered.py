@@ -200,11 +200,12 @@ def _cell_of(instant: Column, width: Column | int) -> Column:
 
 @dataclass(frozen=True)
 class TimeCells:
-    """For each hot group the width of its time cells. ``dense`` has the groups that no width can cut."""
+    """For each hot group the width of its time cells. ``dense`` has the groups that no width can cut, with their rows."""
 
     widths: DataFrame
     cells: int
-    dense: DataFrame | None
+    dense: DataFrame | None = None
+    dense_rows: int = 0
 
 
 def measure_cells(rows: DataFrame, keys: Sequence[str], time: str, hot: GroupSizes) -> TimeCells:
@@ -224,13 +225,14 @@ def measure_cells(rows: DataFrame, keys: Sequence[str], time: str, hot: GroupSiz
             part.groupBy(*keys, _cell_of(instant, width).alias("_cell"))
             .agg(F.count(F.lit(1)).alias("_rows"))
             .groupBy(*keys)
-            .agg(F.max("_rows").alias("_most"), F.count(F.lit(1)).alias("_cells"))
+            .agg(F.max("_rows").alias("_most"), F.count(F.lit(1)).alias("_cells"), F.sum("_rows").alias("_rows"))
         )
         counted = stored(
             counted.observe(
                 seen,
                 F.count_if(full).alias("open"),
                 F.min(F.when(full, F.col("_most"))).alias("least"),
+                F.coalesce(F.sum(F.when(full, F.col("_rows"))), F.lit(0)).alias("rows"),
                 F.coalesce(F.sum(F.when(~full, F.col("_cells"))), F.lit(0)).alias("cells"),
             ),
             "cells",
@@ -238,14 +240,10 @@ def measure_cells(rows: DataFrame, keys: Sequence[str], time: str, hot: GroupSiz
         settled.append(counted.filter(~full).select(*keys, F.lit(width).alias("_width")))
         cells += seen.get["cells"]
         if not seen.get["open"]:
-            open_ = None
-            break
+            return TimeCells(reduce(DataFrame.unionByName, settled), cells)
         open_ = counted.filter(full).select(*keys)
-        wanted = width * hot.limit // seen.get["least"]
-        wanted = max(wanted, CELL_WIDTHS[-1])
-        if width == CELL_WIDTHS[-1]:
-            break
-    return TimeCells(reduce(DataFrame.unionByName, settled), cells, open_)
+        wanted = max(width * hot.limit // seen.get["least"], CELL_WIDTHS[-1])
+    return TimeCells(reduce(DataFrame.unionByName, settled), cells, open_, seen.get["rows"])
 
 
 def cut_by_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: GroupSizes) -> tuple[DataFrame, int]:
@@ -255,8 +253,8 @@ def cut_by_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot:
     placed = placed.withColumn(CHUNK, _cell_of(_instant(rows, order[0]), F.col("_width"))).drop("_width")
     if found.dense is None:
         return placed, found.cells
-    dense = lookup(rows, found.dense, keys, "left_semi", few, salted=True)
-    return placed.unionByName(cut_into_chunks(dense, [*keys, *order], hot)), found.cells + hot.chunks
+    dense, of_dense = lookup(rows, found.dense, keys, "left_semi", few, salted=True), replace(hot, hot_total=found.dense_rows)
+    return placed.unionByName(cut_into_chunks(dense, [*keys, *order], of_dense)), found.cells + of_dense.chunks
 
 
 def cut_into_chunks(rows: DataFrame, order: list[str], hot: GroupSizes) -> DataFrame:

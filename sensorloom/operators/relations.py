@@ -31,7 +31,7 @@ POSITION = "position"
 # Aligned rows in one partition of a clustering, whatever the session's settings.
 CLUSTER_ROWS = 1_000_000
 # Dates whose models are fitted at the same time.
-MODELS_AT_ONCE = 4
+MODELS_AT_ONCE = 8
 
 
 def align(
