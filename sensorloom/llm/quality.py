@@ -83,7 +83,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     words, windows = F.col("_words"), F.col("_windows")
     places = F.when(
         F.size(words) >= 3,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(words) - 3),
                 lambda i: F.struct(
