@@ -125,6 +125,25 @@ def test_cluster_refuses_a_folder_of_one_machine(spark):
         refuse_machine_local(spark, "file:///tmp/x")
 
 
+def test_cluster_takes_a_local_path_that_all_machines_share(cluster, monkeypatch):
+    folder = cluster.conf.get(CHECKPOINT_SETTING)
+    assert shared_folder(cluster) == folder
+    assert stored(cluster.range(5), "numbers").count() == 5
+    own = Path(folder) / f"sensorloom-{cluster.sparkContext.applicationId}"
+    assert not list(own.glob("trial-*"))
+    # It is tried once.
+    monkeypatch.setattr(type(cluster), "range", None)
+    assert shared_folder(cluster) == folder
+
+
+def test_cluster_refuses_a_local_path_that_lacks_the_files_of_a_task(cluster, monkeypatch):
+    plain = type(cluster.range(1)).inputFiles
+    monkeypatch.setattr(type(cluster.range(1)), "inputFiles", lambda self: plain(self)[1:])
+    for _ in range(2):
+        with pytest.raises(ValueError, match="one machine"):
+            shared_folder(cluster)
+
+
 def test_stored_rows_are_in_the_named_folder(spark):
     folder = spark.conf.get(CHECKPOINT_SETTING)
     assert shared_folder(spark) == folder
